@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import exact_sum
 from ..functions.predicates import accounting_rows, not_null
 from ..schema import BUCKET_LEVELS, BUCKET_VALUE, bucket_tree_ddl
+from ..sources.workspace import handoff
 
 # Document fields behind the bucket levels, and keys kept per level.
 LEVEL_FIELDS = ["site", "datatype", "datatype_grouped", "prod_step", "scope"]
@@ -19,8 +20,8 @@ def site_accounting(
 ) -> DataFrame:
     """Bytes per five-level group; each level keeps its last keys in key order.
 
-    Documents are summed first, so the ranking sees one row per group. The sites
-    to keep come from a distributed top-k; the inner levels rank within their
+    Documents are summed first and the sums written, so the ranking reads one row
+    per group and the documents are scanned once. The sites to keep come from a distributed top-k; the inner levels rank within their
     parent, whose groups are combinations of a few catalogue terms.
     """
     bound = [F.lit(t).cast("timestamp_ntz") for t in (start, end)]
@@ -32,6 +33,7 @@ def site_accounting(
         .groupBy(*names)
         .agg(exact_sum("bytes").cast("double").alias("bytes"))
     )
+    groups = handoff(groups, "accounting")
     sites = groups.select("site").distinct().orderBy(F.desc("site")).limit(keys_per_level)
     kept = groups.join(sites, "site", "left_semi")
     for depth in range(1, len(names)):

@@ -28,10 +28,22 @@ from ..functions.intervals import (
     time_bounds,
     weighted_total,
 )
+from ..functions.predicates import not_null, quality
 from ..functions.scalars import div, round_even
 
 DATASET = "datasetname"
 
+# The pairs of the per-project advice.
+PROJECTS = [
+    "data16_13TeV",
+    "mc16_13TeV",
+    "data18_13TeV",
+    "data15_13TeV",
+    "mc15_13TeV",
+    "data17_13TeV",
+]
+DATA_TYPES = ["DAOD", "AOD"]
+
 
 def interval_columns(n: int) -> list[Column]:
     return [F.col(f"n_{k}") for k in range(n)]
@@ -107,7 +119,7 @@ def interval_access(
     cells = F.array(
         *[
             F.struct(
-                interval_start(k, bounds, n).alias("timestamp"),
+                interval_start(k, F.col("_bounds"), n).alias("timestamp"),
                 recency_weight(k, n, scheme).alias("weight"),
                 count.alias("n_accesses"),
             )
@@ -115,7 +127,8 @@ def interval_access(
         ]
     )
     return (
-        profile.select(DATASET, F.inline(cells))
+        profile.withColumn("_bounds", bounds)
+        .select(DATASET, F.inline(cells))
         .withColumn("weighted_accesses", F.col("n_accesses") * F.col("weight"))
     )
 
@@ -161,21 +174,21 @@ def _advise(profile: DataFrame, group_af: Column, n: int, *keys: str) -> DataFra
 def advice_by_project(
     df: DataFrame,
     *,
+    projects: list[str] = PROJECTS,
+    data_types: list[str] = DATA_TYPES,
     n: int = 8,
     scheme: str = "newest_one",
     time_col: str = "attempt_start",
     count_col: str = "username",
-    keys: tuple[str, ...] = ("ds_scope", "ds_data_type"),
 ) -> DataFrame:
     """Advice on distinct users, all (project, data type) pairs in one job.
 
     Each pair has its own time bounds and group average. Both are one row per
-    pair. ``df`` must be restricted to a fixed list of pairs
-    (``quality_filter(project=[...], data_type=[...])``): that list is the size
-    bound of the two broadcasts.
+    pair, and the pairs come from the two lists, which bounds the broadcasts.
     """
-    keys = list(keys)
-    df = df.dropna(subset=[time_col, DATASET, *keys])
+    keys = ["ds_scope", "ds_data_type"]
+    df = df.where(quality(data_type=data_types, project=projects))
+    df = df.where(not_null(time_col, DATASET))
     bounds = group_bounds(df, time_col, keys)
     profile = access_profile(
         df.join(F.broadcast(bounds), keys),

@@ -20,6 +20,7 @@ from ..functions.measures import (
 )
 from ..functions.predicates import not_null
 from ..functions.scalars import div, fraction, round_even_1, strip_digits
+from ..sources.workspace import handoff
 
 SPLIT, LEVEL = "site_cloud", "site_name"
 
@@ -228,11 +229,12 @@ def metric_pivot(
     else:
         value = aggregate(how, target, weight).cast("double").alias("value")
         sites = df.groupBy(*keys).agg(value)
+    sites = handoff(sites, "sites")  # read by all three tables and their key lists
     clouds = sites.groupBy(by, split).agg(F.avg("value").alias("value"))
-    first_keys = df.select(by).distinct().orderBy(by).limit(limit)
+    first_keys = sites.select(by).distinct().orderBy(by).limit(limit)
     ranked = Window.partitionBy(split).orderBy(by)
     first_in_cloud = (
-        df.select(split, by).distinct()
+        sites.select(split, by).distinct()
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= limit)
         .drop("rank")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import gridtally as gt
 
 from ..functions import intervals, measures, predicates, scalars
-from ..operators import extracts, utilisation
+from ..operators import extracts, frequency, utilisation
 from ..operators.rolling import backfill as fill_back
 from ..operators.validation import split_label
 from ..schema import ACCESS_LOG_DDL, bucket_tree_ddl
@@ -23,8 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PROJECT, DATA_TYPE, STEP = "mc16_13TeV", "DAOD", "deriv"
-PROJECTS = ["mc16_13TeV", "data17_13TeV", "data18_13TeV"]
-DATA_TYPES = ["DAOD", "AOD"]
 ADVICE_COLUMNS = """
 datasetname jeditaskid username attempt_start task_modificationtime
 ds_replicas_number ds_bytes site_name site_cloud
@@ -106,10 +104,12 @@ def placement_site(spark, sf_dir):
 
 
 def _by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = predicates.quality(data_type=DATA_TYPES, project=PROJECTS)
-    columns = ["ds_scope", "ds_data_type", *ADVICE_COLUMNS]
-    extract = access_log(spark, sf_dir).where(wanted).select(*columns)
-    return gt.advice_by_project(workspace.handoff(extract, "extract"))
+    log = access_log(spark, sf_dir).where(predicates.first_good_attempt())
+    columns = [
+        "ds_scope", "ds_data_type", "task_attemptnr", "jobstatus", "attempt_status",
+        "datasetname", "username", "attempt_start", "ds_replicas_number",
+    ]
+    return gt.advice_by_project(workspace.handoff(log.select(*columns), "extract"))
 
 
 @query
@@ -175,17 +175,25 @@ def multi_user_records(spark, sf_dir):
 
 @query
 def weights_all_schemes(spark, sf_dir):
-    access = gt.interval_access(_extract(spark, sf_dir))
-    totals = access.groupBy("timestamp").agg(F.sum("n_accesses").alias("n_accesses"))
-    rank = F.row_number().over(Window.orderBy("timestamp")) - 1  # ten rows: the intervals
-    rows = totals.withColumn("i", rank)
-    for scheme in intervals.WEIGHT_SCHEMES:
-        weight = F.element_at(
-            F.array(*[intervals.recency_weight(k, 10, scheme) for k in range(10)]),
-            F.col("i") + 1,
+    extract, n = _extract(spark, sf_dir), 10
+    bounds = intervals.time_bounds(extract, "attempt_start")
+    profile = frequency.access_profile(
+        extract, bounds, n, keys=["datasetname"], time_col="attempt_start", count_col="jeditaskid"
+    )
+    totals = profile.agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in range(n)])
+    rows = [
+        F.struct(
+            F.lit(k).alias("i"),
+            intervals.interval_start(k, bounds, n).alias("timestamp"),
+            F.col(f"n_{k}").alias("n_accesses"),
+            *[
+                F.round(F.col(f"n_{k}") * intervals.recency_weight(k, n, scheme), 9).alias(scheme)
+                for scheme in intervals.WEIGHT_SCHEMES
+            ],
         )
-        rows = rows.withColumn(scheme, F.round(F.col("n_accesses") * weight, 9))
-    return rows
+        for k in range(n)
+    ]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 # --- rolling advice -------------------------------------------------------------
@@ -310,7 +318,7 @@ def metric_pivot_median(spark, sf_dir):
 
 @query
 def metric_pivot_wavg(spark, sf_dir):
-    return gt.metric_pivot(_not_gpu(spark, sf_dir), "jobs_timetostart", "wavg")
+    return _rounded(gt.metric_pivot(_not_gpu(spark, sf_dir), "jobs_timetostart", "wavg"), "value")
 
 
 @query
@@ -320,9 +328,16 @@ def single_dataset_wide(spark, sf_dir):
     return _rounded(wide, "Fraction of Task Attempt Execution Time")
 
 
+POPULARITY_FROM = "2001-04-02 00:00:00"  # sixty days before AS_OF
+
+
 @query
 def overall_popularity(spark, sf_dir):
-    return gt.overall_popularity(access_log(spark, sf_dir), as_of=AS_OF)
+    log = access_log(spark, sf_dir).where(predicates.quality(data_type=DATA_TYPE))
+    recent = log.where(
+        predicates.between("task_modificationtime", moment(POPULARITY_FROM), moment(AS_OF))
+    )
+    return gt.overall_popularity(workspace.handoff(recent, "recent"), as_of=AS_OF)
 
 
 @query
@@ -346,6 +361,15 @@ def document_scan(spark, sf_dir):
     return files.scan(access_log(spark, sf_dir), wanted, columns)
 
 
+@query
+def log_table(spark, sf_dir):
+    """The log written by month and read back for a time range."""
+    path = workspace.fresh_path(spark, "log")
+    columns = ["jeditaskid", "datasetname", "site_name", "task_modificationtime", "ds_bytes"]
+    files.write_log(access_log(spark, sf_dir).select(*columns), path)
+    return files.read_log(spark, path, "2001-03-15 00:00:00", AS_OF, columns)
+
+
 @query
 def training_extract(spark, sf_dir):
     rows = gt.training_extract(access_log(spark, sf_dir), marker="PROMO")
@@ -376,7 +400,9 @@ def processed_by_site(spark, sf_dir):
 
 @query
 def inventory_and_processing(spark, sf_dir):
-    return gt.inventory_and_processing(_usable(spark, sf_dir))
+    columns = ["site_name", "datasetname", "ds_bytes", "ds_replicas_sites"]
+    usable = _usable(spark, sf_dir).select(*columns, "jobs_primary_input_fsize")
+    return gt.inventory_and_processing(workspace.handoff(usable, "usable"))
 
 
 @query
@@ -473,6 +499,7 @@ def csv_bad_lines(spark, sf_dir):
 @query
 def upsert_by_task(spark, sf_dir):
     log = access_log(spark, sf_dir).select(*RECORD, "task_modificationtime")
+    log = workspace.handoff(log, "log")
     target = log.where(F.col("task_modificationtime") < moment(CUT))
     batch = log.where(F.col("task_modificationtime") >= moment(CUT))
     return gt.replace_by_task(target, gt.clean_batch(batch)).select(*RECORD)

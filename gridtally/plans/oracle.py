@@ -164,7 +164,8 @@ PAIRS = "ds_scope, ds_data_type"
 BY_PROJECT = sql(
     log(
         f"{GOOD} AND ds_data_type IN ('DAOD', 'AOD') AND attempt_start IS NOT NULL "
-        "AND ds_scope IN ('mc16_13TeV', 'data17_13TeV', 'data18_13TeV')"
+        "AND ds_scope IN ('data16_13TeV', 'mc16_13TeV', 'data18_13TeV', 'data15_13TeV', "
+        "'mc15_13TeV', 'data17_13TeV')"
     ),
     f"""
 slices AS (
@@ -669,7 +670,9 @@ GROUP BY ALL HAVING count(*) > 1""",
     "metric_pivot": pivot_sql(JOBS_SUM),
     "metric_pivot_datasets": pivot_sql("CAST(max(number_of_jobs) AS DOUBLE)", by="datasetname"),
     "metric_pivot_median": pivot_sql("median(jobs_timetostart)"),
-    "metric_pivot_wavg": pivot_sql(wavg("jobs_timetostart", 1)),
+    "metric_pivot_wavg": "SELECT * REPLACE (round(value, 9) AS value) FROM ("
+    + pivot_sql(wavg("jobs_timetostart", 1))
+    + ")",
     "single_dataset_wide": SINGLE,
     "overall_popularity": POPULARITY,
     "task_execution": sql(
@@ -689,6 +692,11 @@ WHERE {T} BETWEEN {MARCH} AND TIMESTAMP '{AS_OF}' ORDER BY ALL LIMIT 1000"""
         f"""
 SELECT jeditaskid, datasetname, username, site_name, ds_bytes FROM access_log
 WHERE {DAOD} AND {T} BETWEEN {MARCH} AND TIMESTAMP '{AS_OF}'"""
+    ),
+    "log_table": sql(
+        f"""
+SELECT jeditaskid, datasetname, site_name, {T}, ds_bytes FROM access_log
+WHERE {T} BETWEEN {MARCH} AND TIMESTAMP '{AS_OF}'"""
     ),
     "training_extract": sql(
         f"""
