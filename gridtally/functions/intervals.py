@@ -108,15 +108,3 @@ def latest_value(code: Column) -> Column:
     """The value inside a ``latest_code`` maximum."""
     low = code.bitwiseAND(F.lit(_CODE_MASK))
     return F.when(low > 0, low - F.lit(_CODE_SHIFT + 1)).cast("int")
-
-
-def lookback_starts(as_of: str) -> dict[str, Column]:
-    """Start of each look-back that ends at ``as_of``."""
-    end = F.lit(as_of).cast("timestamp_ntz")
-    return {
-        name: end - F.make_dt_interval(F.lit(days)) for name, days in LOOKBACK_DAYS.items()
-    }
-
-
-# Report look-backs in days.
-LOOKBACK_DAYS = {"last_week": 7, "last_month": 30, "last_2_months": 60}

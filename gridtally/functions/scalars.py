@@ -11,6 +11,8 @@ TIB = 1099511627776
 TB = 1000000000000
 GB = 1000000000
 DAY_SECONDS = 86400
+# Fixed value: how times are written.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def _col(c: Column | str) -> Column:
@@ -34,6 +36,11 @@ def seconds(ts: Column | str) -> Column:
     return F.unix_timestamp(_col(ts))
 
 
+def parse_time(text: Column | str) -> Column:
+    """Timestamp of a date-time text."""
+    return F.to_timestamp_ntz(_col(text), F.lit(TIME_FORMAT))
+
+
 def plus_seconds(ts: Column | str, n: Column) -> Column:
     return F.timestamp_add("SECOND", n, _col(ts))
 

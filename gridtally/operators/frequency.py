@@ -218,24 +218,26 @@ def frequency_for_list(
 ) -> DataFrame:
     """Access frequency of the listed datasets in ``df``; an unseen one gets 0.
 
-    Time bounds come from all records, the group average from the whole list.
+    Time bounds come from all records, the group average from the whole list. The
+    list meets the profile, one row per dataset. Joining the records with it first
+    would gather each dataset's records in one task.
     """
     listed = datasets.select(DATASET).where(F.col(DATASET).isNotNull()).distinct()
     profile = access_profile(
-        df.join(listed, DATASET, "left_semi"),
+        df.where(F.col(DATASET).isNotNull()),
         time_bounds(df, time_col),
         n,
         keys=[DATASET],
         time_col=time_col,
         count_col=count_col,
     )
-    profile = _weighted(profile, n, scheme)
-    total = profile.agg(F.sum("weight")).scalar()
-    size = listed.agg(F.count(F.lit(1))).scalar()
-    return listed.join(profile.select(DATASET, "weight"), DATASET, "left").select(
+    profile = listed.join(_weighted(profile, n, scheme), DATASET, "left").select(
+        DATASET, F.coalesce("weight", F.lit(0.0)).alias("weight")
+    )
+    return profile.select(
         DATASET,
-        F.coalesce(_frequency(n), F.lit(0.0)).alias("new_datasetAF"),
-        F.coalesce(div(total, size * n), F.lit(0.0)).alias("new_groupAF"),
+        _frequency(n).alias("new_datasetAF"),
+        _group_frequency(profile, n, "weight").alias("new_groupAF"),
     )
 
 

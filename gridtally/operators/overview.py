@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookbacks import band, lookbacks_of, within_longest
 from ..functions.measures import exact_sum
 from ..functions.predicates import not_null, quality
 from ..functions.scalars import MINUTE, TIB, div, queue_seconds, strip_digits
-from .utilisation import band, lookbacks_of, within_longest
 
 # Look-back labels in days, and the report's column names.
 POPULARITY_LOOKBACKS = {"Last Week": 7, "Last Month": 30, "Last 2 Months": 60}

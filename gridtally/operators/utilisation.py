@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import LOOKBACK_DAYS
+from ..functions.lookbacks import LOOKBACK_DAYS, band, lookbacks_of, within_longest
 from ..functions.measures import (
     QUANTILES,
     REPORT_METRICS,
@@ -124,42 +124,6 @@ def site_metrics(
     return merged.select(*keys, *[_value(m, j).alias(m.name) for j, m in enumerate(metrics)])
 
 
-# --- look-backs ---------------------------------------------------------------
-
-
-def _as_of(as_of: str) -> Column:
-    return F.lit(as_of).cast("timestamp_ntz")
-
-
-def _back(as_of: str, days: int) -> Column:
-    return _as_of(as_of) - F.make_dt_interval(F.lit(days))
-
-
-def within_longest(
-    df: DataFrame, as_of: str, lookbacks: dict[str, int], time_col: str
-) -> DataFrame:
-    """Records of the longest look-back; a plain range, so it reaches the scan."""
-    return df.where(
-        F.col(time_col).between(_back(as_of, max(lookbacks.values())), _as_of(as_of))
-    )
-
-
-def band(as_of: str, lookbacks: dict[str, int], time_col: str) -> Column:
-    """Rank of the shortest look-back that includes the record."""
-    days = sorted(lookbacks.values())
-    expr = F.lit(len(days) - 1)
-    for rank in reversed(range(len(days) - 1)):
-        inside = F.col(time_col) >= _back(as_of, days[rank])
-        expr = F.when(inside, F.lit(rank)).otherwise(expr)
-    return expr
-
-
-def lookbacks_of(band_col: str, lookbacks: dict[str, int]) -> Column:
-    """Names of the look-backs that include a band."""
-    names = F.array(*[F.lit(k) for k, _ in sorted(lookbacks.items(), key=lambda kv: kv[1])])
-    return F.slice(names, F.col(band_col) + 1, F.lit(len(lookbacks)))
-
-
 # --- long reports -----------------------------------------------------------
 
 

@@ -580,6 +580,20 @@ def queue_time(spark, sf_dir):
     return access_log(spark, sf_dir).select("jeditaskid", "datasetname", minutes)
 
 
+@query
+def text_times(spark, sf_dir):
+    """Times written as text and read again."""
+    written = F.date_format("attempt_start", scalars.TIME_FORMAT)
+    log = access_log(spark, sf_dir).select("jeditaskid", written.alias("text"))
+    return log.select("jeditaskid", scalars.parse_time("text").alias("attempt_start"))
+
+
+@query
+def time_slice(spark, sf_dir):
+    inside = predicates.half_open("attempt_start", moment(CUT), moment(AS_OF))
+    return access_log(spark, sf_dir).where(inside).select("jeditaskid", "attempt_start")
+
+
 @query
 def strip_digits(spark, sf_dir):
     return (

@@ -783,6 +783,12 @@ SELECT '{"jeditaskid":' || CAST(jeditaskid AS VARCHAR) || ',"datasetname":"' ||
         f"SELECT jeditaskid, datasetname, ({QUEUE_SECONDS}) / 60.0::DOUBLE AS queue_time "
         "FROM access_log"
     ),
+    "text_times": sql("SELECT jeditaskid, attempt_start FROM access_log"),
+    "time_slice": sql(
+        f"""
+SELECT jeditaskid, attempt_start FROM access_log
+WHERE attempt_start >= TIMESTAMP '{CUT}' AND attempt_start < TIMESTAMP '{AS_OF}'"""
+    ),
     "strip_digits": sql(
         """
 SELECT regexp_replace(ds_data_type_desc, '[0-9]+', '', 'g') AS ds_data_type_desc,
