@@ -20,38 +20,50 @@ def exact_sum(c: Column | str) -> Column:
 
 
 def weighted_average(
-    value: Column | str, weight: Column | str = "number_of_jobs", on_zero: str = "null"
+    value: Column | str,
+    weight: Column | str = "number_of_jobs",
+    on_zero: str = "null",
+    *,
+    integral: bool = False,
 ) -> Column:
     """Sum(value * weight) / sum(weight) over the rows that have a value.
 
     A plain aggregate with map-side combine. With weights summing to zero the
-    answer is NULL, or the plain mean with ``on_zero='mean'``.
+    answer is NULL, or the plain mean with ``on_zero='mean'``. Whole-number values
+    (``integral``) are summed exactly, others as doubles.
     """
     v, w = _col(value), _col(weight)
-    average = div(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+    product = exact_sum(v * w) if integral else F.sum(v.cast("double") * w)
+    average = div(product, F.sum(F.when(v.isNotNull(), w)))
     return F.coalesce(average, F.avg(v)) if on_zero == "mean" else average
 
 
 QUANTILES = {"median": 0.5, "q90": 0.9}
 
 AGGREGATES = {
-    "mean": lambda c, w: F.avg(_col(c)),
-    "sum": lambda c, w: F.coalesce(F.sum(_col(c)), F.lit(0)),
-    "median": lambda c, w: F.median(_col(c)),
-    "wavg": lambda c, w: weighted_average(c, w),
-    "q90": lambda c, w: F.percentile(_col(c), F.lit(0.9)),
-    "nunique": lambda c, w: F.countDistinct(_col(c)),
-    "max": lambda c, w: F.max(_col(c)),
-    "min": lambda c, w: F.min(_col(c)),
-    "count": lambda c, w: F.count(_col(c)),
+    "mean": lambda c, w, whole: F.avg(c),
+    "sum": lambda c, w, whole: exact_sum(c) if whole else F.coalesce(F.sum(c), F.lit(0)),
+    "median": lambda c, w, whole: F.median(c),
+    "wavg": lambda c, w, whole: weighted_average(c, w, integral=whole),
+    "q90": lambda c, w, whole: F.percentile(c, F.lit(0.9)),
+    "nunique": lambda c, w, whole: F.countDistinct(c),
+    "max": lambda c, w, whole: F.max(c),
+    "min": lambda c, w, whole: F.min(c),
+    "count": lambda c, w, whole: F.count(c),
 }
 
 
-def aggregate(how: str, column: Column | str, weight: Column | str = "number_of_jobs") -> Column:
-    """The aggregate called ``how`` over ``column``."""
+def aggregate(
+    how: str,
+    column: Column | str,
+    weight: Column | str = "number_of_jobs",
+    *,
+    integral: bool = False,
+) -> Column:
+    """The aggregate called ``how`` over ``column``; whole numbers add up exactly."""
     if how not in AGGREGATES:
         raise ValueError(f"unknown aggregate {how!r}; one of {sorted(AGGREGATES)}")
-    return AGGREGATES[how](column, weight)
+    return AGGREGATES[how](_col(column), _col(weight), integral)
 
 
 @dataclass(frozen=True)

@@ -6,8 +6,11 @@ printed layout when the columns are known.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lookbacks import LOOKBACK_DAYS, band, lookbacks_of, within_longest
 from ..functions.measures import (
@@ -176,45 +179,46 @@ def metric_pivot(
     how: str,
     *,
     by: str = "ds_scope",
-    split: str = SPLIT,
+    split: str | None = SPLIT,
     level: str = LEVEL,
     weight: str = "number_of_jobs",
     limit: int = 500,
 ) -> DataFrame:
     """One metric by (by, site) within each cloud, over all clouds, and by (by, cloud).
 
-    Each table keeps its first ``limit`` row keys. ``part`` names the table.
+    Each table keeps its first ``limit`` row keys. ``part`` names the table. Without
+    ``split`` there is one table, by (by, site), and it is whole.
     """
-    df = df.where(not_null(by, split, level))
-    keys = [by, split, level]
+    keys = [by, level] if split is None else [by, split, level]
+    df = df.where(not_null(*keys))
     if how in QUANTILES:
         # A site whose every value is missing has no row: its cell is empty anyway.
         sites = quantiles(df, keys, target, {"value": QUANTILES[how]})
     else:
-        value = aggregate(how, target, weight).cast("double").alias("value")
-        sites = df.groupBy(*keys).agg(value)
+        whole = isinstance(df.schema[target].dataType, T.IntegralType)
+        value = aggregate(how, target, weight, integral=whole).cast("double")
+        sites = df.groupBy(*keys).agg(value.alias("value"))
+    if split is None:
+        return sites
     sites = handoff(sites, "sites")  # read by all three tables and their key lists
     clouds = sites.groupBy(by, split).agg(F.avg("value").alias("value"))
     first_keys = sites.select(by).distinct().orderBy(by).limit(limit)
     ranked = Window.partitionBy(split).orderBy(by)
     first_in_cloud = (
-        sites.select(split, by).distinct()
+        sites.select(split, by)
+        .distinct()
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= limit)
         .drop("rank")
     )
-    layout = [F.col(by), F.col(split), F.col(level), F.col("value")]
-    parts = [
-        sites.join(first_in_cloud, [split, by], "left_semi").select(
-            F.lit("within_cloud").alias("part"), *layout
-        ),
-        sites.join(first_keys, by, "left_semi").select(F.lit("all_sites").alias("part"), *layout),
-        clouds.join(first_keys, by, "left_semi").select(
-            F.lit("by_cloud").alias("part"),
-            by,
-            split,
-            F.lit(None).cast("string").alias(level),
-            "value",
-        ),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    no_level = F.lit(None).cast("string").alias(level)
+    parts = {
+        "within_cloud": sites.join(first_in_cloud, [split, by], "left_semi"),
+        "all_sites": sites.join(first_keys, by, "left_semi"),
+        "by_cloud": clouds.join(first_keys, by, "left_semi").withColumn(level, no_level),
+    }
+    layout = [by, split, level, "value"]
+    return reduce(
+        DataFrame.unionByName,
+        [rows.select(F.lit(part).alias("part"), *layout) for part, rows in parts.items()],
+    )

@@ -304,6 +304,11 @@ def metric_pivot(spark, sf_dir):
     return gt.metric_pivot(_not_gpu(spark, sf_dir), "number_of_jobs", "sum")
 
 
+@query
+def metric_pivot_unsplit(spark, sf_dir):
+    return gt.metric_pivot(_not_gpu(spark, sf_dir), "number_of_jobs", "sum", split=None)
+
+
 @query
 def metric_pivot_datasets(spark, sf_dir):
     return gt.metric_pivot(
@@ -583,8 +588,8 @@ def queue_time(spark, sf_dir):
 @query
 def text_times(spark, sf_dir):
     """Times written as text and read again."""
-    written = F.date_format("attempt_start", scalars.TIME_FORMAT)
-    log = access_log(spark, sf_dir).select("jeditaskid", written.alias("text"))
+    written = F.col("attempt_start").cast("string").alias("text")
+    log = access_log(spark, sf_dir).select("jeditaskid", written)
     return log.select("jeditaskid", scalars.parse_time("text").alias("attempt_start"))
 
 

@@ -668,6 +668,10 @@ FROM (SELECT DISTINCT site_cloud, ds_scope, site_name FROM x WHERE site_cloud IS
 GROUP BY ALL HAVING count(*) > 1""",
     ),
     "metric_pivot": pivot_sql(JOBS_SUM),
+    "metric_pivot_unsplit": sql(
+        log(NO_GPU),
+        f"SELECT ds_scope, site_name, {JOBS_SUM} AS value FROM x GROUP BY ds_scope, site_name",
+    ),
     "metric_pivot_datasets": pivot_sql("CAST(max(number_of_jobs) AS DOUBLE)", by="datasetname"),
     "metric_pivot_median": pivot_sql("median(jobs_timetostart)"),
     "metric_pivot_wavg": "SELECT * REPLACE (round(value, 9) AS value) FROM ("

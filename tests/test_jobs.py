@@ -64,6 +64,21 @@ def test_advice_on_a_single_time(spark):
     assert got["a"]["optimal_n_replicas"] is None
 
 
+def test_empty_tables_give_empty_results(spark):
+    df = log(spark, [])
+    moved = df.withColumnRenamed("attempt_start", "task_modificationtime")
+    advice = gt.replication_advice(df)
+    for result in (
+        advice,
+        gt.interval_access(df),
+        gt.place_shares(df, "site"),
+        gt.placement(df, advice, "cloud"),
+        gt.rolling_advice(moved),
+        gt.advice_outcome(gt.rolling_advice(moved)),
+    ):
+        assert result.collect() == []
+
+
 def brute_force_profile(rows, n):
     times = [r[3] for r in rows if r[3] is not None]
     lo, span = min(times), int((max(times) - min(times)) * 3600)
@@ -382,6 +397,14 @@ def test_metric_pivot_limit_and_quantiles(spark):
     }
 
 
+def test_metric_pivot_without_split(spark):
+    df = records(spark, [{"site_cloud": None, "number_of_jobs": 2}, {"number_of_jobs": 2**62}] * 2)
+    got = gt.metric_pivot(df, "number_of_jobs", "sum", split=None).collect()
+    assert [(r.ds_scope, r.site_name, r.value) for r in got] == [
+        ("mc16_13TeV", "S1", float(2**63 + 4))
+    ]
+
+
 def test_pivot_wide_and_repeated_cells(spark):
     long = spark.createDataFrame(
         [("p", "C1", 1.0), ("p", "C2", 2.0), ("q", "C1", 3.0)], "p string, c string, value double"
