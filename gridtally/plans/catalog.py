@@ -478,14 +478,21 @@ def _ddl(columns: list[str]) -> str:
 
 @query
 def csv_union(spark, sf_dir):
-    """Two CSV layouts written from the log and read back as one table."""
+    """Two CSV layouts written from the log and read back as one table by name."""
     log = access_log(spark, sf_dir)
     path = workspace.fresh_path(spark, "csv")
-    narrow = [c for c in RECORD if c != "queue"]
+    narrow = ["datasetname", "ds_bytes", *[c for c in RECORD if c not in ("queue", "datasetname")]]
     files.write_csv(log.where(F.col("jobstatus") == "finished").select(*RECORD), f"{path}/wide")
     files.write_csv(log.where(F.col("jobstatus") == "failed").select(*narrow), f"{path}/narrow")
-    layouts = {f"{path}/wide/*.csv": _ddl(RECORD), f"{path}/narrow/*.csv": _ddl(narrow)}
-    return files.read_csv_layouts(spark, layouts)
+    layouts = [f"{path}/wide/*.csv", f"{path}/narrow/*.csv"]
+    return files.read_csv_layouts(spark, layouts, _ddl(RECORD))
+
+
+@query
+def csv_scan(spark, sf_dir):
+    path = workspace.fresh_path(spark, "csv")
+    files.write_csv(access_log(spark, sf_dir).select(*RECORD), path)
+    return files.read_csv(spark, path, _ddl(RECORD))
 
 
 @query

@@ -748,6 +748,7 @@ SELECT jeditaskid, datasetname, site_name,
        CASE WHEN jobstatus = 'finished' THEN queue END AS queue,
        attempt_start, number_of_jobs, ds_replicas_sites FROM access_log"""
     ),
+    "csv_scan": sql(f"SELECT {RECORD} FROM access_log"),
     "csv_bad_lines": sql(
         """
 SELECT jeditaskid, number_of_jobs, datasetname FROM access_log WHERE jobstatus <> 'failed'"""

@@ -37,12 +37,23 @@ def test_csv_layouts_by_name(spark, folder):
     files.write_csv(table(spark, [("q", 2)], "queue string, jeditaskid bigint"), f"{folder}/y")
     got = files.read_csv_layouts(
         spark,
-        {
-            f"{folder}/x/*.csv": "jeditaskid bigint, name string",
-            f"{folder}/y/*.csv": "queue string, jeditaskid bigint",
-        },
+        [f"{folder}/x/*.csv", f"{folder}/y/*.csv"],
+        "jeditaskid bigint, name string, queue string",
     )
-    assert rows_of(got.select("jeditaskid", "name", "queue")) == [(1, "a", None), (2, None, "q")]
+    assert rows_of(got) == [(1, "a", None), (2, None, "q")]
+
+
+def test_csv_by_name(spark, folder):
+    lines = [",started,jeditaskid,n", "0,2021-02-01 03:00:00,12345678901,3.0", "1,,,"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    got = files.read_csv_by_name(
+        spark, folder, "jeditaskid bigint, n tinyint, started timestamp_ntz, gone string"
+    )
+    assert rows_of(got) == sorted(
+        [(12345678901, 3, dt.datetime(2021, 2, 1, 3), None), (None, None, None, None)], key=repr
+    )
+    with pytest.raises(Exception):  # by position the header must match
+        files.read_csv(spark, folder, "jeditaskid bigint, a string, b string, c string").collect()
 
 
 def test_bad_lines(spark, folder):
