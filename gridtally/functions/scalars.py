@@ -65,7 +65,7 @@ def fraction(part: Column | str, whole: Column | str, scale: float = 1) -> Colum
 
 
 def strip_digits(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), "[0-9]+", "")
+    return F.translate(_col(c), "0123456789", "")
 
 
 def queue_seconds(created: Column | str, started: Column | str) -> Column:

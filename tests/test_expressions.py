@@ -188,8 +188,18 @@ def test_quantiles_equal_the_plain_aggregate(spark):
 
 
 def test_exact_sum_beyond_bigint(spark):
-    df = spark.createDataFrame([(2**62,)] * 4, "b bigint")
-    assert int(df.agg(measures.exact_sum("b").alias("s")).first().s) == 2**64
+    rng = random.Random(4)
+    cases = [
+        [2**62] * 4,
+        [2**63 - 1, -(2**63), -1, 0],
+        [-(2**62)] * 5 + [None],
+        [rng.randint(-(2**63), 2**63 - 1) for _ in range(200)],
+        [None],
+    ]
+    for case in cases:
+        df = spark.createDataFrame([(v,) for v in case], "b bigint")
+        got = df.agg(measures.exact_sum("b").alias("s")).first().s
+        assert int(got) == sum(v for v in case if v is not None)
 
 
 def test_queue_and_scope_filters(spark):
