@@ -104,7 +104,8 @@ def placement_site(spark, sf_dir):
 
 
 def _by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = access_log(spark, sf_dir).where(predicates.first_good_attempt())
+    wanted = predicates.quality(data_type=frequency.DATA_TYPES, project=frequency.PROJECTS)
+    log = access_log(spark, sf_dir).where(wanted)
     columns = [
         "ds_scope", "ds_data_type", "task_attemptnr", "jobstatus", "attempt_status",
         "datasetname", "username", "attempt_start", "ds_replicas_number",
