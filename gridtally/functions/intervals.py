@@ -14,9 +14,9 @@ from .scalars import plus_seconds, seconds, whole_div
 
 WEIGHT_SCHEMES = ("newest_one", "newest_half", "linear", "exponential")
 
-_CODE_BITS = 17
+_CODE_BITS = 24
 _CODE_MASK = (1 << _CODE_BITS) - 1
-_CODE_SHIFT = 1 << 15
+_CODE_SHIFT = 1 << (_CODE_BITS - 2)  # values lie within plus or minus this
 
 
 def time_bounds(df: DataFrame, time_col: str) -> Column:
@@ -96,10 +96,17 @@ def latest_code(value: str, time_col: str, value_type: T.DataType) -> Column:
     ``max`` of a bigint stays in a hash aggregate with map-side combine, which an
     ordering by ``struct(time, value)`` would not. Within one second the largest
     value wins and a missing one loses. Never NULL: a row without a time is oldest.
+    Types wider than smallint are checked; a value beyond four million is an error.
     """
+    if not isinstance(value_type, T.IntegralType):
+        raise TypeError(f"{value} must be a whole number, not {value_type.simpleString()}")
+    number = F.col(value).cast("bigint")
     if not isinstance(value_type, (T.ByteType, T.ShortType)):
-        raise TypeError(f"{value} must be tinyint or smallint, not {value_type.simpleString()}")
-    code = F.coalesce(F.col(value).cast("bigint") + F.lit(_CODE_SHIFT + 1), F.lit(0))
+        too_large = F.raise_error(F.concat(F.lit(f"{value} out of range: "), number.cast("string")))
+        number = F.when(F.abs(number) < _CODE_SHIFT, number).when(
+            number.isNotNull(), too_large.cast("bigint")
+        )
+    code = F.coalesce(number + F.lit(_CODE_SHIFT + 1), F.lit(0))
     packed = F.shiftleft(seconds(time_col), _CODE_BITS) + code
     return F.coalesce(packed, F.lit(-(1 << 62)))
 

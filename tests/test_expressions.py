@@ -98,10 +98,15 @@ def test_latest_value(spark, rows, wanted):
     ).first().v == wanted
 
 
-def test_latest_value_refuses_wide_types(spark):
-    df = spark.createDataFrame([], "t timestamp_ntz, v bigint")
+def test_latest_value_of_wider_types(spark):
+    df = spark.createDataFrame([(at(1), 40000), (at(2), -40000), (at(0), None)], "t timestamp_ntz, v int")
+    code = intervals.latest_code("v", "t", df.schema["v"].dataType)
+    got = df.agg(F.max(code).alias("c")).select(intervals.latest_value(F.col("c")).alias("v"))
+    assert got.first().v == -40000
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(at(1), 5_000_000)], df.schema).agg(F.max(code)).collect()
     with pytest.raises(TypeError):
-        intervals.latest_code("v", "t", df.schema["v"].dataType)
+        intervals.latest_code("x", "t", schema.T.DoubleType())
 
 
 def test_rounding_is_half_even(spark):
