@@ -20,9 +20,10 @@ def site_accounting(
 ) -> DataFrame:
     """Bytes per five-level group; each level keeps its last keys in key order.
 
-    Documents are summed first and the sums written, so the ranking reads one row
-    per group and the documents are scanned once. The sites to keep come from a distributed top-k; the inner levels rank within their
-    parent, whose groups are combinations of a few catalogue terms.
+    Documents are summed first and the sums written, so the documents are scanned
+    once. A level ranks the distinct keys under each parent, not the groups: what
+    meets in one task is the vocabulary of one level. The sites come from a
+    distributed top-k.
     """
     bound = [F.lit(t).cast("timestamp_ntz") for t in (start, end)]
     names = [name for _, name in BUCKET_LEVELS]
@@ -37,12 +38,10 @@ def site_accounting(
     sites = groups.select("site").distinct().orderBy(F.desc("site")).limit(keys_per_level)
     kept = groups.join(sites, "site", "left_semi")
     for depth in range(1, len(names)):
+        keys = names[: depth + 1]
         within = Window.partitionBy(*names[:depth]).orderBy(F.desc(names[depth]))
-        kept = (
-            kept.withColumn("_rank", F.dense_rank().over(within))
-            .where(F.col("_rank") <= keys_per_level)
-            .drop("_rank")
-        )
+        ranked = groups.select(*keys).distinct().withColumn("_rank", F.row_number().over(within))
+        kept = kept.join(ranked.where(F.col("_rank") <= keys_per_level), keys, "left_semi")
     return kept.withColumn("datetime", F.lit(start).cast("timestamp_ntz")).select(
         "datetime", *names, "bytes"
     )
@@ -65,11 +64,12 @@ def flatten_buckets(answers: DataFrame, json_col: str, start: str) -> DataFrame:
     )
 
 
-def nest_buckets(flat: DataFrame) -> DataFrame:
-    """The inverse: one nested answer per site, as JSON text in ``answer``.
+def nest_buckets(flat: DataFrame, answer_levels: int = 2) -> DataFrame:
+    """The inverse: nested answers as JSON text in ``answer``.
 
-    Every list holds the keys of one level under one parent, at most
-    ``KEYS_PER_LEVEL`` of them.
+    There is one answer per site and type (the first ``answer_levels`` levels), so
+    no answer gathers a whole site. Every list holds the keys of one level under
+    one parent.
     """
     names = [name for _, name in BUCKET_LEVELS]
     field = BUCKET_VALUE
@@ -77,8 +77,7 @@ def nest_buckets(flat: DataFrame) -> DataFrame:
     for depth in reversed(range(len(names))):
         bucket = F.struct(F.col(names[depth]).alias("key"), F.col("inner").alias(field))
         field = BUCKET_LEVELS[depth][0]
-        parents = names[:depth] or ["site"]
-        df = df.groupBy(*parents).agg(
+        df = df.groupBy(*names[: max(depth, answer_levels)]).agg(
             F.struct(F.collect_list(bucket).alias("buckets")).alias("inner")
         )
     aggregations = F.struct(F.struct(F.col("inner").alias(field)).alias("aggregations"))

@@ -32,6 +32,7 @@ from ..functions.scalars import (
 from ..sources.workspace import handoff
 from .frequency import DATASET
 
+
 class _Axis:
     """Window k covers ``[k * step, k * step + length)`` seconds after the first record."""
 

@@ -464,7 +464,30 @@ def test_flatten_undoes_nest(spark):
         [(*r, float(i)) for i, r in enumerate(rows)],
         "site string, datatype string, datatypeg string, prodstep string, scope string, bytes double",
     )
-    back = gt.flatten_buckets(gt.nest_buckets(flat), "answer", "2021-03-01 00:00:00")
     names = flat.columns
-    assert sorted(map(tuple, back.select(*names).collect())) == sorted(map(tuple, flat.collect()))
-    assert back.first().datetime == dt.datetime(2021, 3, 1)
+    for levels in (1, 2, 4):
+        answers = gt.nest_buckets(flat, levels)
+        assert answers.count() == flat.select(*names[:levels]).distinct().count()
+        back = gt.flatten_buckets(answers, "answer", "2021-03-01 00:00:00")
+        got = sorted(map(tuple, back.select(*names).collect()))
+        assert got == sorted(map(tuple, flat.collect()))
+        assert back.first().datetime == dt.datetime(2021, 3, 1)
+
+
+def test_accounting_keeps_the_last_keys_of_each_level(spark):
+    rows = [(s, t, g, "p", "c", 1) for s in ("S1", "S2", "S3") for t in "abc" for g in "xy"]
+    base = spark.createDataFrame(
+        rows, "site string, datatype string, datatype_grouped string, prod_step string, "
+        "scope string, bytes bigint"
+    )
+    rest = "account campaign country cloud provenance experiment_site stream_name tier token"
+    documents = base.withColumns(
+        {c: F.lit("v") for c in rest.split()}
+        | {
+            "rse": F.when(F.col("datatype") == "c", "a_none_b").otherwise("disk"),
+            "tombstone": F.when(F.col("site") == "S3", "UNKNOWN").otherwise("no"),
+            "timestamp": F.lit(at(0)),
+        }
+    )
+    got = gt.site_accounting(documents, "2021-02-01", "2021-02-02", keys_per_level=1).collect()
+    assert [(r.site, r.datatype, r.datatypeg, r.bytes) for r in got] == [("S2", "b", "y", 1.0)]
