@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridtally.llm.common import documents
+from gridtally.llm.licenses import license_scan
+from gridtally.llm.mixing import PFAIR_SQL, pfair_mix
 from gridtally.llm.packing import packed_documents
 from gridtally.llm.tokens import token_counts
 
@@ -30,3 +32,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+@query
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return pfair_mix(docs).drop("text")
+
+
+ORACLE_SQL["op9_pfair_mix"] = PFAIR_SQL
