@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridtally.llm.common import documents
+from gridtally.llm.language import language_mixture, learn
 from gridtally.llm.licenses import license_scan
 from gridtally.llm.mixing import PFAIR_SQL, pfair_mix
 from gridtally.llm.packing import packed_documents
+from gridtally.llm.quality import fertility_rules
 from gridtally.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +48,15 @@ def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_pfair_mix"] = PFAIR_SQL
+
+
+@query
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return fertility_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_mixture(docs, *learn(docs))
