@@ -12,6 +12,7 @@ from gridtally.llm.language import language_mixture, learn
 from gridtally.llm.licenses import license_scan
 from gridtally.llm.mixing import PFAIR_SQL, pfair_mix
 from gridtally.llm.packing import packed_documents
+from gridtally.llm.private import personal_data
 from gridtally.llm.quality import fertility_rules
 from gridtally.llm.tokens import token_counts
 
@@ -60,3 +61,8 @@ def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_mixture(docs, *learn(docs))
+
+
+@query
+def op8_disguised_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
