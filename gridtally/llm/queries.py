@@ -11,6 +11,7 @@ from gridtally.llm.common import documents
 from gridtally.llm.language import language_mixture, learn
 from gridtally.llm.licenses import license_scan
 from gridtally.llm.mixing import PFAIR_SQL, pfair_mix
+from gridtally.llm.neighbours import nearest
 from gridtally.llm.packing import packed_documents
 from gridtally.llm.private import personal_data
 from gridtally.llm.quality import fertility_rules
@@ -66,3 +67,8 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_disguised_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
+
+
+@query
+def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
