@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridtally.llm.common import documents
+from gridtally.llm.jaccard import jaccard_components
 from gridtally.llm.language import language_mixture, learn
 from gridtally.llm.licenses import license_scan
 from gridtally.llm.mixing import PFAIR_SQL, pfair_mix
@@ -72,3 +73,8 @@ def op8_disguised_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
