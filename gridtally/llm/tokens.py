@@ -191,9 +191,9 @@ def frequent_lengths(
 ) -> tuple[str, bytes]:
     """The compact table: runs joined by NUL, and one length byte for each.
 
-    It holds the most frequent runs of ``sample`` documents with the smallest hashes of
-    their ids. Both numbers bound it whatever the size of the corpus; no result depends
-    on what it holds. Lengths above 255 are left out.
+    It holds the most frequent runs of about ``sample`` documents drawn from all of them.
+    Both numbers bound it whatever the size of the corpus; no result depends on what it
+    holds. Lengths above 255 are left out.
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +219,8 @@ def frequent_lengths(
 
     if not encoder(path).ranks:
         return "", b""
-    chosen = (
-        docs.where(F.col("text").isNotNull())
-        .select("text", F.xxhash64("doc_id").alias("h"))
-        .orderBy("h")
-        .limit(sample)
-        .select("text")
-    )
+    share = sample / max(1, docs.count())
+    chosen = docs.where(F.rand(7) < share).where(F.col("text").isNotNull()).select("text")
     rows = (
         chosen.mapInArrow(runs, "run string, n long, length int")
         .groupBy("run", "length")
