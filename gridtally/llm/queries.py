@@ -16,6 +16,7 @@ from gridtally.llm.neighbours import nearest
 from gridtally.llm.packing import packed_documents
 from gridtally.llm.private import personal_data
 from gridtally.llm.quality import fertility_rules
+from gridtally.llm.substrings import substring_dedup
 from gridtally.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ def op5_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+@query
+def op2_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
