@@ -185,10 +185,11 @@ def bitmap(found: np.ndarray) -> bytes:
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n, node) of documents, and (shingle, times): frequent ones of a chunk."""
+    """Rows (doc_id, text_hash, n, node) of documents, and (shingle, times): frequent ones of a chunk."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[pa.Array] = []
+        texts: list[pa.Array] = []
         n: list[int] = []
         node: list[int | None] = []
         found: list[np.ndarray] = []
@@ -201,14 +202,15 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([*ids, pa.nulls(len(values), ids[0].type)]),
+                    pa.concat_arrays([*texts, pa.nulls(len(values), pa.int64())]),
                     pa.array([*n, *rest], pa.int64()),
                     pa.array([*node, *rest], pa.int64()),
                     pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(values.view(np.int64))]),
                     pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(times)]),
                 ],
-                names=["doc_id", "n", "node", "shingle", "times"],
+                names=["doc_id", "text_hash", "n", "node", "shingle", "times"],
             )
-            for part in (ids, n, node, found):
+            for part in (ids, texts, n, node, found):
                 part.clear()
             return out
 
@@ -223,15 +225,17 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
                 total += len(mine)
                 if total >= CHUNK:
                     ids.append(batch.column(0).slice(start, row + 1 - start))
+                    texts.append(batch.column(2).slice(start, row + 1 - start))
                     start, total = row + 1, 0
                     yield chunk()
             ids.append(batch.column(0).slice(start))
+            texts.append(batch.column(2).slice(start))
         if n:
             yield chunk()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        of, f"doc_id {kind}, n long, node long, shingle long, times long"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        of, f"doc_id {kind}, text_hash long, n long, node long, shingle long, times long"
     )
 
 
@@ -430,6 +434,22 @@ def true_links(families: DataFrame, docs: DataFrame, sets: DataFrame, size: int,
     return texts.groupBy("task", "one", "two").applyInArrow(traverse, "a long, b long")
 
 
+def linked_documents(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """doc_id, text_hash, n and root (of its component; NULL without shingles) of every row."""
+    rows = written(digests(docs, size), "digests")
+    own = rows.where(F.col("shingle").isNull()).select("doc_id", "text_hash", "n", "node")
+    documents = own.where(F.col("n") > 0).count()
+    frequent = frequent_shingles(rows, documents)
+    sets = written(features(docs, frequent, size, threshold).dropDuplicates(["node"]), "sets")
+    postings = (sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
+    met = written(meetings(sets, postings), "meetings")
+    families = components(possible_links(met, sets, threshold))
+    linked = components(true_links(families, docs, sets, size, threshold))
+    return own.join(linked, "node", "left").select(
+        "doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root")
+    )
+
+
 def jaccard_components(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id, one row for each row of ``docs``.
 
@@ -441,23 +461,31 @@ def jaccard_components(docs: DataFrame, *, size: int = SHINGLE, threshold: int =
     NULLs alone has a NULL component_id. Other columns are not read. An empty table gives an
     empty result.
     """
-    rows = written(digests(docs, size), "digests")
-    own = rows.where(F.col("shingle").isNull()).select("doc_id", "n", "node")
-    totals = own.where(F.col("n") > 0).agg(F.count("*").alias("documents")).first()
-    frequent = frequent_shingles(rows, totals.documents)
-    sets = written(
-        features(docs, frequent, size, threshold).dropDuplicates(["node"]), "sets"
-    )
-    postings = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    met = written(meetings(sets, postings // 8), "meetings")
-    families = components(possible_links(met, sets, threshold))
-    linked = components(true_links(families, docs, sets, size, threshold))
-    placed = own.join(linked, "node", "left").select(
-        "doc_id", "n", F.coalesce("root", "node").alias("root")
-    )
+    placed = linked_documents(docs, size, threshold)
     least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows, with all columns, of one document for each component: the smallest doc_id's.
+
+    Of equal doc_ids with different texts the one with the smaller text hash stays, of
+    rows equal in both one. Texts without shingles stay. NULL ids come after all others.
+    """
+    placed = written(linked_documents(docs, size, threshold), "linked")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    linked = placed.where(F.col("root").isNotNull())
+    first = linked.groupBy("root").agg(F.min(key).alias("first"))
+    out = (
+        linked.join(first, "root")
+        .where(~key.eqNullSafe(F.col("first")))
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .distinct()
+    )
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return hashed.join(out, same, "left_anti").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)

@@ -166,23 +166,16 @@ def infer(p: np.ndarray, times: np.ndarray, starts: np.ndarray, penalty: float)
 
 
 _WORDS: dict[int, Words] = {}
+MIXTURE = "_mixture"
 
 
-def language_mixture(
-    docs: DataFrame, languages: list[str], model: np.ndarray, *, penalty: float = 1.0
-) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages: one row for each row of ``docs``.
-
-    ``lang_pred`` is the selected language with the largest proportion (of equal ones, the
-    first by name), ``score`` that proportion, ``languages`` all selected ones as
-    name:proportion. A NULL text, one without letters, or a model without languages gives
-    ``und``, score 0 and an empty list. A NULL doc_id is not held out. lang and source are not
-    read. An empty table gives an empty result.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_mixture(docs: DataFrame, languages: list[str], model: np.ndarray, *, penalty: float = 1.0) -> DataFrame:
+    """All columns of ``docs``, and a last one, a struct of lang_pred, score and languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     digest = zlib.crc32(model.tobytes()) * 31 + len(languages)
     most = max(1, CHUNK // max(1, len(languages)))
+    docs = docs.drop(MIXTURE)
+    text_at = docs.columns.index("text")
 
     def chunk(texts: list[list[int]], words: Words) -> list[tuple[str, float, str]]:
         rows = words.likelihoods()
@@ -201,7 +194,8 @@ def language_mixture(
             shares = infer(rows[np.concatenate(keys)], times, starts, penalty)
             for i, share in zip(owners, shares, strict=True):
                 top = int(share.argmax())
-                mix = ",".join(f"{languages[k]}:{share[k]:.3f}" for k in np.argsort(-share, kind="stable") if share[k] > 0)
+                order = np.argsort(-share, kind="stable")
+                mix = ",".join(f"{languages[k]}:{share[k]:.3f}" for k in order if share[k] > 0)
                 out[i] = languages[top], min(1.0, float(share[top])), mix
         words.shrink()
         return out
@@ -215,7 +209,7 @@ def language_mixture(
             out: list[tuple[str, float, str]] = []
             waiting: list[list[int]] = []
             size = 0
-            for text in batch.column(2):
+            for text in batch.column(text_at):
                 waiting.append([words[w] for w in WORD.findall((text.as_py() or "").lower())])
                 size += len(waiting[-1])
                 if size >= most:
@@ -223,17 +217,35 @@ def language_mixture(
                     waiting, size = [], 0
             if waiting:
                 out += chunk(waiting, words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([x[0] for x in out], pa.string()),
-                    pa.array([x[1] for x in out], pa.float64()),
-                    pa.array([x[2] for x in out], pa.string()),
-                ],
-                names=["doc_id", "held_out", "lang_pred", "score", "languages"],
-            )
+            parts = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.string())]
+            mixture = pa.StructArray.from_arrays(parts, names=["lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, mixture], names=[*batch.schema.names, MIXTURE])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages string"
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(predict, f"{schema}, {MIXTURE} struct<lang_pred:string,score:double,languages:string>")
+
+
+def language_mixture(
+    docs: DataFrame, languages: list[str], model: np.ndarray, *, penalty: float = 1.0
+) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, languages: one row for each row of ``docs``.
+
+    ``lang_pred`` is the selected language with the largest proportion (of equal ones, the
+    first by name), ``score`` that proportion, ``languages`` all selected ones as
+    name:proportion. A NULL text, one without letters, or a model without languages gives
+    ``und``, score 0 and an empty list. A NULL doc_id is not held out. lang and source are not
+    read. An empty table gives an empty result.
+    """
+    rows = with_mixture(docs.select("doc_id", held_out().alias("held_out"), "text"), languages, model, penalty=penalty)
+    return rows.select("doc_id", "held_out", f"{MIXTURE}.*")
+
+
+def in_known_language(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
+    """The rows, with all columns, that a learned language fills to ``least`` of the words.
+
+    Rows without letters, and texts of several languages of which none has that share, go.
+    The model is learned from ``docs``.
+    """
+    mixture = with_mixture(docs, *learn(docs))
+    known = (F.col(f"{MIXTURE}.lang_pred") != UND) & (F.col(f"{MIXTURE}.score") >= least)
+    return mixture.where(known).select(*docs.columns)

@@ -77,6 +77,57 @@ def period_schedule(totals: DataFrame, *, power: float, period: int) -> DataFram
     return slots.select("source_key", "quota", turn.cast("long").alias("turn"), "slot")
 
 
+PLACE = "_place"
+
+
+def with_places(
+    docs: DataFrame, *, power: float = 0.5, block: int = BLOCK, period: int = PERIOD, seed: str = "mix"
+) -> DataFrame:
+    """All columns of ``docs``, and a last one, a struct of weight, block, slot and at."""
+    columns = [c for c in docs.columns if c != PLACE and not c.startswith("_mix_")]
+    digest = F.md5(F.concat_ws("-", F.lit(seed), F.col("doc_id").cast("string")))
+    sized = (
+        docs.select(*columns)
+        .withColumn("_mix_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+        .withColumn("_mix_digest", digest)
+        .withColumn("_mix_part", F.substring("_mix_digest", 1, 2))
+        .withColumn("_mix_size", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    )
+    parts = written(sized.groupBy("_mix_key", "_mix_part").agg(F.sum("_mix_size").alias("_mix_sum")), "mix-parts")
+    before = W.partitionBy("_mix_key").orderBy("_mix_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(
+        "_mix_key", "_mix_part", F.coalesce(F.sum("_mix_sum").over(before), F.lit(0)).alias("_mix_start")
+    )
+    totals = parts.groupBy(F.col("_mix_key").alias("source_key")).agg(F.sum("_mix_sum").alias("size"))
+    order = W.partitionBy("_mix_key", "_mix_part").orderBy("_mix_digest", "doc_id", "_mix_size")
+    own = F.coalesce(F.sum("_mix_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    schedule = written(period_schedule(totals, power=power, period=period), "mix-schedule")
+    placed = (
+        sized.withColumn("_mix_own", own)
+        .join(starts, ["_mix_key", "_mix_part"])
+        .withColumn("_mix_at", F.col("_mix_start") + F.col("_mix_own"))
+        .withColumn("_mix_block", F.expr(f"_mix_at div {block}"))
+    )
+    quotas = schedule.select(F.col("source_key").alias("_mix_key"), F.col("quota").alias("_mix_quota")).distinct()
+    turns = schedule.select(
+        F.col("source_key").alias("_mix_key"),
+        F.col("turn").alias("_mix_turn"),
+        F.col("slot").alias("_mix_slot"),
+    )
+    place = F.struct(
+        (F.col("_mix_quota") / F.lit(period)).alias("weight"),
+        F.col("_mix_block").alias("block"),
+        F.expr(f"_mix_block div _mix_quota * {period} + _mix_slot").alias("slot"),
+        (F.col("_mix_at") % F.lit(block)).alias("at"),
+    )
+    return (
+        placed.join(quotas, "_mix_key")
+        .withColumn("_mix_turn", F.col("_mix_block") % F.col("_mix_quota"))
+        .join(turns, ["_mix_key", "_mix_turn"])
+        .select(*columns, place.alias(PLACE))
+    )
+
+
 def pfair_mix(
     docs: DataFrame, *, power: float = 0.5, block: int = BLOCK, period: int = PERIOD, seed: str = "mix"
 ) -> DataFrame:
@@ -85,55 +136,27 @@ def pfair_mix(
     Adds weight (of the source), block (its number within the source), slot, and at (the
     characters of the source in the block before it): ordered by slot, at and doc_id, the
     rows are the mix, until a source runs out; its later slots stay empty. Columns of these
-    names are replaced. Target weights follow the sources' characters to the ``power``.
+    names are replaced, and such that begin with _mix_ are left out. Target weights follow
+    the sources' characters to the ``power``.
 
     Rows of a source are shuffled by a digest of their doc_id and cut every ``block``
     characters; a longer text takes the slots of several blocks. A NULL or empty text has no
-    characters and stays beside its neighbour. NULL is a source of its own. Rows
-    equal in doc_id keep to one block unless they exceed it. An empty table gives an empty result.
+    characters and stays beside its neighbour. NULL is a source of its own. Repeated rows stand
+    side by side; which of them is first makes no difference. An empty table gives an empty
+    result.
 
     A source may hold most rows: it is numbered in 256 parts by digest, whose sums are
     added up first.
     """
     docs = docs.drop("weight", "block", "slot", "at")
-    columns = docs.columns
-    digest = F.md5(F.concat_ws("-", F.lit(seed), F.col("doc_id").cast("string")))
-    sized = (
-        docs.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-        .withColumn("_digest", digest)
-        .withColumn("_part", F.substring("_digest", 1, 2))
-        .withColumn("_size", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    )
-    parts = written(sized.groupBy("_key", "_part").agg(F.sum("_size").alias("_sum")), "mix-parts")
-    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.select("_key", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    totals = parts.groupBy(F.col("_key").alias("source_key")).agg(F.sum("_sum").alias("size"))
-    # The sum before a row is taken over rows in full order, so that it does not change
-    # when a task is repeated; rows equal in all of it are interchangeable.
-    order = W.partitionBy("_key", "_part").orderBy("_digest", "doc_id", "_size").rowsBetween(W.unboundedPreceding, -1)
-    schedule = written(period_schedule(totals, power=power, period=period), "mix-schedule")
-    placed = (
-        sized.withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-        .join(starts, ["_key", "_part"])
-        .withColumn("_at", F.col("_start") + F.col("_before"))
-        .withColumn("block", F.expr(f"_at div {block}"))
-    )
-    quotas = schedule.select(F.col("source_key").alias("_key"), "quota").distinct()
-    turns = schedule.select(
-        F.col("source_key").alias("_key"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot")
-    )
-    return (
-        placed.join(quotas, "_key")
-        .withColumn("_turn", F.col("block") % F.col("quota"))
-        .join(turns, ["_key", "_turn"])
-        .select(
-            *columns,
-            (F.col("quota") / F.lit(period)).alias("weight"),
-            "block",
-            F.expr(f"block div quota * {period} + _slot").alias("slot"),
-            (F.col("_at") % F.lit(block)).alias("at"),
-        )
-    )
+    mixed = with_places(docs, power=power, block=block, period=period, seed=seed)
+    return mixed.select(*[c for c in mixed.columns if c != PLACE], f"{PLACE}.*")
+
+
+def in_mixed_order(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs``, sorted into the order of the mix."""
+    place = F.col(PLACE)
+    return with_places(docs).orderBy(place["slot"], place["at"], "doc_id").select(*docs.columns)
 
 
 #: The rows of pfair_mix over documents, as ``op9_pfair_mix`` selects them.
