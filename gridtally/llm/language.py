@@ -112,7 +112,9 @@ class Words(dict):
         return at
 
     def likelihoods(self) -> np.ndarray:
-        if self.new:
+        if not self.model.shape[1]:
+            self.new = []
+        elif self.new:
             of = [buckets(word) for word in self.new]
             starts = np.cumsum([0, *map(len, of)])[:-1]
             logs = np.add.reduceat(self.model[np.concatenate(of)], starts, axis=0)
