@@ -34,7 +34,6 @@ THRESHOLD = 80
 #: decides how much work there is, never a result; the number of them has this bound too.
 FREQUENT = 0.001
 MOST_FREQUENT = 2_000_000
-BITS = 1024
 #: Shingles that a task sorts at once, that a task of the index holds, and that a task of
 #: the last step holds; sets that a task of the tree holds.
 CHUNK = 2_000_000
@@ -61,13 +60,14 @@ def node_of(found: np.ndarray) -> int:
 
 
 class Tree:
-    """Nodes of every level over sets in order of size: bitmaps, size ranges, hidden counts."""
+    """Nodes of every level over sets in order of size: bitmaps, size ranges, hidden counts,
+    and whether one of them has a narrow bitmap."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, narrow: np.ndarray):
         self.order = np.lexsort([*bits.T[:2], sizes])
-        bits, sizes = bits[self.order], sizes[self.order]
+        bits, sizes, narrow = bits[self.order], sizes[self.order], narrow[self.order]
         hidden = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, sizes, sizes, hidden)]
+        self.levels = [(bits, sizes, sizes, hidden, narrow)]
         width = LEAF
         while len(self.levels[-1][1]) > 1:
             below = self.levels[-1]
@@ -78,17 +78,18 @@ class Tree:
                     np.minimum.reduceat(below[1], at),
                     np.maximum.reduceat(below[2], at),
                     np.maximum.reduceat(below[3], at),
+                    np.logical_or.reduceat(below[4], at),
                 )
             )
             width = FANOUT
 
     def possible(self, level: int, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
         """Whether a set below i and one below j may reach the threshold."""
-        bits, least, most, hidden = self.levels[level]
+        bits, least, most, hidden, narrow = self.levels[level]
         shared = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64)
         overlap = shared + np.minimum(hidden[i], hidden[j])
         overlap = np.minimum(overlap, np.minimum(most[i], most[j]))
-        return (100 + threshold) * overlap >= threshold * (least[i] + least[j])
+        return ((100 + threshold) * overlap >= threshold * (least[i] + least[j])) & (narrow[i] | narrow[j])
 
 
 class Forest:
@@ -110,9 +111,9 @@ class Forest:
                 self.label = jumped
 
 
-def dual_traversal(
+def linked_labels(
     sizes: np.ndarray,
-    bits: np.ndarray,
+    bitmaps: list[bytes],
     side: np.ndarray,
     threshold: int,
     check: Callable[[int, int], bool] | None,
@@ -120,34 +121,58 @@ def dual_traversal(
     """Labels of linked sets: by their bounds alone, or where ``check`` also agrees.
 
     ``side`` is -1 throughout, or the two halves of which only pairs across are asked for.
+    Bitmaps grow with their sets, and two sets that reach the threshold differ by one doubling
+    at most: there is a tree for each width, over its bitmaps and the next wider ones, folded.
     """
-    tree, forest = Tree(sizes, bits), Forest(len(sizes))
-    order = tree.order
-    across = side[order]
-    top = len(tree.levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    forest = Forest(len(sizes))
+    widths = np.array([len(b) for b in bitmaps])
+    for width in np.unique(widths):
+        chosen = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(chosen) > 1:
+            raw = [bitmaps[k] for k in chosen.tolist()]
+            bits = np.stack([folded(np.frombuffer(b, np.uint64), width // 8) for b in raw])
+            tree = Tree(sizes[chosen], bits, widths[chosen] == width)
+            dual_traversal(tree, chosen[tree.order], forest, side, threshold, check)
+    return forest.label
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return bits if len(bits) == words else bits[:words] | bits[words:]
+
+
+def dual_traversal(
+    tree: Tree,
+    sets: np.ndarray,
+    forest: Forest,
+    side: np.ndarray,
+    threshold: int,
+    check: Callable[[int, int], bool] | None,
+) -> None:
+    """Links in the forest what the tree against itself finds; ``sets`` are its leaves."""
+    across = side[sets]
+    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
         if len(i) > PAIRS:
             stack += [(level, i[at : at + PAIRS], j[at : at + PAIRS]) for at in range(0, len(i), PAIRS)][::-1]
             continue
+        label = forest.label[sets]
         if level == 0:
-            apart = (i < j) & (forest.label[i] != forest.label[j])
-            apart &= (across[i] < 0) | (across[i] != across[j])
+            apart = (i < j) & (label[i] != label[j]) & ((across[i] < 0) | (across[i] != across[j]))
             i, j = i[apart], j[apart]
             good = tree.possible(0, i, j, threshold)
-            i, j = i[good], j[good]
+            i, j = sets[i[good]], sets[j[good]]
             if check is None:
                 forest.link(i, j)
                 continue
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if forest.label[a] != forest.label[b] and check(int(order[a]), int(order[b])):
+                if forest.label[a] != forest.label[b] and check(a, b):
                     forest.link(np.array([a]), np.array([b]))
             continue
         good = tree.possible(level, i, j, threshold)
         width = LEAF if level == 1 else FANOUT
-        span = LEAF * FANOUT ** (level - 1)
-        low, high = spans(forest.label, span)
+        at = np.arange(0, len(sets), LEAF * FANOUT ** (level - 1))
+        low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
         good &= ~((low[i] == high[i]) & (low[i] == low[j]) & (low[j] == high[j]))
         i, j = i[good], j[good]
         below = len(tree.levels[level - 1][1])
@@ -158,14 +183,6 @@ def dual_traversal(
         ok = (x < below) & (y < below) & (x <= y)
         if ok.any():
             stack.append((level - 1, x[ok], y[ok]))
-    labels = np.empty(len(sizes), np.int64)
-    labels[order] = forest.label
-    return labels
-
-
-def spans(label: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(0, len(label), span)
-    return np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
 
 
 def stars(nodes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +196,10 @@ def stars(nodes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(found % np.uint64(BITS)).astype(np.int64)] = 1
+    """Two bits to four for each shingle, 256 at least; the width is a power of two."""
+    width = max(256, 1 << (2 * len(found) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(found & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -386,8 +405,9 @@ def possible_links(met: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
         found = []
         for group in by_key(table, "leader"):
             sizes = group.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(sizes), -1)
-            labels = dual_traversal(sizes, bits, group.column("half").to_numpy(), threshold, None)
+            labels = linked_labels(
+                sizes, group.column("bits").to_pylist(), group.column("half").to_numpy(), threshold, None
+            )
             found.append(stars(group.column("node").to_numpy(), labels))
         return edge_table(found)
 
@@ -419,7 +439,7 @@ def true_links(families: DataFrame, docs: DataFrame, sets: DataFrame, size: int,
             half = np.array([k[1] for k in known], np.int64)
             values = list(known.values())
             sizes = np.array([len(v) for v in values])
-            bits = np.frombuffer(b"".join(map(bitmap, values)), np.uint64).reshape(len(sizes), -1)
+            bits = list(map(bitmap, values))
 
             def check(a: int, b: int) -> bool:
                 x, y = values[a], values[b]
@@ -428,7 +448,7 @@ def true_links(families: DataFrame, docs: DataFrame, sets: DataFrame, size: int,
                 shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 return 100 * shared >= threshold * (len(x) + len(y) - shared)
 
-            found.append(stars(names, dual_traversal(sizes, bits, half, threshold, check)))
+            found.append(stars(names, linked_labels(sizes, bits, half, threshold, check)))
         return edge_table(found)
 
     return texts.groupBy("task", "one", "two").applyInArrow(traverse, "a long, b long")
@@ -470,6 +490,10 @@ def jaccard_components(docs: DataFrame, *, size: int = SHINGLE, threshold: int =
     )
 
 
+#: A column name that documents must not have.
+HASH = "_llm_text_hash"
+
+
 def one_of_each(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows, with all columns, of one document for each component: the smallest doc_id's.
 
@@ -483,9 +507,10 @@ def one_of_each(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESH
     out = (
         linked.join(first, "root")
         .where(~key.eqNullSafe(F.col("first")))
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .select("doc_id", "text_hash")
         .distinct()
+        .alias("out")
     )
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return hashed.join(out, same, "left_anti").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    hashed = docs.withColumn(HASH, F.xxhash64("text")).alias("docs")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("out.doc_id")) & (F.col(f"docs.{HASH}") == F.col("out.text_hash"))
+    return hashed.join(out, same, "left_anti").dropDuplicates(["doc_id", HASH]).select(*docs.columns)
