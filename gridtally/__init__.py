@@ -13,7 +13,7 @@ from .operators.frequency import (
 )
 from .operators.overview import overall_popularity
 from .operators.popular import keep_popular, most_popular, multi_user
-from .operators.rolling import advice_outcome, rolling_advice
+from .operators.rolling import advice_outcome, rolling_advice, rolling_calendar
 from .operators.storage import (
     inventory_and_processing,
     processed_by_site,
@@ -60,6 +60,7 @@ __all__ = [
     "replica_inventory",
     "replication_advice",
     "rolling_advice",
+    "rolling_calendar",
     "site_accounting",
     "site_metrics",
     "site_report",

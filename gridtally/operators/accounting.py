@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import exact_sum
+from ..functions.measures import exact_sum, first_of_each
 from ..functions.predicates import accounting_rows, not_null
 from ..schema import BUCKET_LEVELS, BUCKET_VALUE, bucket_tree_ddl
-from ..sources.workspace import handoff
 
-# Document fields behind the bucket levels, and keys kept per level.
+# Document fields behind the bucket levels.
 LEVEL_FIELDS = ["site", "datatype", "datatype_grouped", "prod_step", "scope"]
-KEYS_PER_LEVEL = 500
 
 
 def site_accounting(
-    documents: DataFrame, start: str, end: str, *, keys_per_level: int = KEYS_PER_LEVEL
+    documents: DataFrame, start: str, end: str, *, keys_per_level: int | None = None
 ) -> DataFrame:
-    """Bytes per five-level group; each level keeps its last keys in key order.
+    """Bytes per five-level group.
 
-    Documents are summed first and the sums written, so the documents are scanned
-    once. A level ranks the distinct keys under each parent, not the groups: what
-    meets in one task is the vocabulary of one level. The sites come from a
-    distributed top-k.
+    With ``keys_per_level`` each level keeps that many of its last keys in key order
+    under each parent. A level ranks the distinct keys, not the groups, in salted parts
+    first. The sites come from a distributed top-k.
     """
     bound = [F.lit(t).cast("timestamp_ntz") for t in (start, end)]
     names = [name for _, name in BUCKET_LEVELS]
@@ -34,14 +31,16 @@ def site_accounting(
         .groupBy(*names)
         .agg(exact_sum("bytes").cast("double").alias("bytes"))
     )
-    groups = handoff(groups, "accounting")
-    sites = groups.select("site").distinct().orderBy(F.desc("site")).limit(keys_per_level)
-    kept = groups.join(sites, "site", "left_semi")
-    for depth in range(1, len(names)):
-        keys = names[: depth + 1]
-        within = Window.partitionBy(*names[:depth]).orderBy(F.desc(names[depth]))
-        ranked = groups.select(*keys).distinct().withColumn("_rank", F.row_number().over(within))
-        kept = kept.join(ranked.where(F.col("_rank") <= keys_per_level), keys, "left_semi")
+    kept = groups
+    if keys_per_level is not None:
+        sites = groups.select("site").distinct().orderBy(F.desc("site")).limit(keys_per_level)
+        kept = kept.join(sites, "site", "left_semi")
+        for depth in range(1, len(names)):
+            keys = names[: depth + 1]
+            last = first_of_each(
+                groups.select(*keys).distinct(), keys[:-1], F.desc(keys[-1]), keys[-1], keys_per_level
+            )
+            kept = kept.join(last, keys, "left_semi")
     return kept.withColumn("datetime", F.lit(start).cast("timestamp_ntz")).select(
         "datetime", *names, "bytes"
     )

@@ -9,8 +9,10 @@ Shape of every job here:
    its tasks and never meets in one place.
 2. Totals over all datasets are one-row scalar subqueries over the same profile;
    they share its shuffle (``ReusedExchange``).
-3. Zeros of the dense results are restored from the profile's own columns, with
-   no join of datasets with intervals.
+3. Zeros of the intervals are restored from the profile's own columns, with no join
+   of datasets with intervals. Places have rows where there was use; zeros are added
+   for the places a caller lists.
+4. Time bounds come from all records of the table, those without a name included.
 """
 
 from __future__ import annotations
@@ -111,8 +113,8 @@ def interval_access(
     count_col: str = "jeditaskid",
 ) -> DataFrame:
     """Accesses of every dataset in every interval, zeros included."""
-    df = df.where(F.col(DATASET).isNotNull())
     bounds = time_bounds(df, time_col)
+    df = df.where(F.col(DATASET).isNotNull())
     profile = access_profile(
         df, bounds, n, keys=[DATASET], time_col=time_col, count_col=count_col
     )
@@ -142,9 +144,8 @@ def replication_advice(
     count_col: str = "jeditaskid",
 ) -> DataFrame:
     """Optimal replica number per dataset against its latest known number."""
-    df = df.where(F.col(DATASET).isNotNull())
     profile = access_profile(
-        df,
+        df.where(F.col(DATASET).isNotNull()),
         time_bounds(df, time_col),
         n,
         keys=[DATASET],
@@ -184,14 +185,14 @@ def advice_by_project(
     """Advice on distinct users, all (project, data type) pairs in one job.
 
     Each pair has its own time bounds and group average. Both are one row per
-    pair, and the pairs come from the two lists, which bounds the broadcasts.
+    pair, and the pairs come from the two lists, which bounds the broadcasts. A record
+    without a time or a name counts towards the bounds at most.
     """
     keys = ["ds_scope", "ds_data_type"]
     df = df.where(quality(data_type=data_types, project=projects))
-    df = df.where(not_null(time_col, DATASET))
     bounds = group_bounds(df, time_col, keys)
     profile = access_profile(
-        df.join(F.broadcast(bounds), keys),
+        df.where(not_null(time_col, DATASET)).join(F.broadcast(bounds), keys),
         F.col("bounds"),
         n,
         keys=[*keys, DATASET],
@@ -266,8 +267,8 @@ def dataset_frequency(
     count_col: str = "jeditaskid",
 ) -> DataFrame:
     """Frequency, group frequency and optimal replicas, one row per dataset."""
-    df = df.where(F.col(DATASET).isNotNull())
     bounds = time_bounds(df, time_col)
+    df = df.where(F.col(DATASET).isNotNull())
     profile = access_profile(
         df, bounds, n, keys=[DATASET], time_col=time_col, count_col=count_col
     )
@@ -286,59 +287,44 @@ def dataset_frequency(
     )
 
 
-def all_places(df: DataFrame, place_col: str) -> Column:
-    """Every cloud or site of the table as one array.
-
-    Its length is the number of places of the grid, which does not grow with the
-    number of records.
-    """
-    return df.agg(F.array_sort(F.collect_set(place_col))).scalar()
-
-
-def place_frequency(
+def place_use(
     df: DataFrame,
     place_col: str,
+    places: list[str] | None,
     *,
     n: int,
     scheme: str,
     time_col: str,
     count_col: str,
 ) -> DataFrame:
-    """Per dataset: its places with their weighted use, and whether it was used at all.
+    """datasetname, _place, its weighted use _use and the dataset's _total.
 
-    Only places with records are shuffled; the list has at most one entry per
-    place. Records without a place count towards ``active`` alone.
+    One row per place with use, and for listed ``places`` one of zero where a used
+    dataset had none there. Records without a place count towards which datasets were
+    used, never towards use.
     """
     profile = access_profile(
-        df,
+        df.where(F.col(DATASET).isNotNull()),
         time_bounds(df, time_col),
         n,
         keys=[DATASET, place_col],
         time_col=time_col,
         count_col=count_col,
     )
-    profile = _weighted(profile, n, scheme)
-    entry = F.when(
-        F.col(place_col).isNotNull(), F.struct(F.col(place_col).alias("place"), "weight")
-    )
-    return profile.groupBy(DATASET).agg(
-        F.collect_list(entry).alias("_by_place"), F.bool_or("active").alias("active")
-    )
-
-
-def spread_over_places(df: DataFrame, places: Column) -> DataFrame:
-    """One row per dataset and place, zeros included.
-
-    Adds ``_place``, its weighted use ``_use`` and the dataset's ``_total`` use.
-    """
-    entries = F.col("_by_place")
-    missing = F.array_except("_places", F.transform(entries, lambda e: e["place"]))
-    zeros = F.transform(missing, lambda p: F.struct(p.alias("place"), F.lit(0.0).alias("weight")))
-    rows = df.withColumn("_places", places).withColumn(
-        "_total", F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["weight"])
-    )
-    kept = [F.col(c) for c in rows.columns if c not in ("_by_place", "_places")]
-    return rows.select(*kept, F.inline(F.concat(entries, zeros)).alias("_place", "_use"))
+    profile = _weighted(profile, n, scheme).withColumnRenamed(place_col, "_place")
+    if places is not None:
+        used = profile.groupBy(DATASET).agg(F.bool_or("active").alias("active")).where("active")
+        listed = F.explode(F.array(*[F.lit(p) for p in places]).cast("array<string>"))
+        zeros = used.select(DATASET, listed.alias("_place"), F.lit(0.0).alias("weight"))
+        used_places = profile.select(DATASET, "_place", "weight").where(F.col("weight") > 0)
+        profile = used_places.unionByName(zeros).groupBy(DATASET, "_place").agg(
+            F.max("weight").alias("weight")
+        )
+    else:
+        profile = profile.where(F.col("weight") > 0)
+    rows = profile.where(F.col("_place").isNotNull())
+    totals = rows.groupBy(DATASET).agg(F.sum("weight").alias("_total"))
+    return rows.select(DATASET, "_place", F.col("weight").alias("_use")).join(totals, DATASET)
 
 
 def place_shares(
@@ -349,17 +335,16 @@ def place_shares(
     scheme: str = "newest_half",
     time_col: str = "attempt_start",
     count_col: str = "jeditaskid",
+    places: list[str] | None = None,
 ) -> DataFrame:
-    """Share of every place in a dataset's use, and the replicas due there.
+    """Share of every used place in a dataset's use, and the replicas due there.
 
-    ``place`` is ``'cloud'`` or ``'site'``.
+    ``place`` is ``'cloud'`` or ``'site'``. Listed ``places`` have rows of zero as well.
     """
     place_col = {"cloud": "site_cloud", "site": "site_name"}[place]
     options = {"n": n, "scheme": scheme, "time_col": time_col, "count_col": count_col}
-    df = df.where(F.col(DATASET).isNotNull())
-    by_place = place_frequency(df, place_col, **options).drop("active")
+    by_place = place_use(df, place_col, places, **options)
     rows = dataset_frequency(df, **options).join(by_place, DATASET)
-    rows = spread_over_places(rows, all_places(df, place_col))
     share, due = f"x_{place}s", f"n_replicas_at_{place}"
     return (
         rows.withColumn(share, div("_use", "_total"))
@@ -388,18 +373,16 @@ def placement(
     scheme: str = "newest_one",
     time_col: str = "attempt_start",
     count_col: str = "jeditaskid",
+    places: list[str] | None = None,
 ) -> DataFrame:
-    """Spread the replicas of earlier advice over clouds or sites by use.
+    """Spread the replicas of earlier advice over the clouds or sites in use.
 
-    Datasets without a record inside an interval are left out.
+    Datasets without a record inside an interval are left out. Listed ``places`` have
+    rows of zero as well.
     """
     place_col = {"cloud": "site_cloud", "site": "site_name"}[place]
-    df = df.where(F.col(DATASET).isNotNull())
-    by_place = place_frequency(
-        df, place_col, n=n, scheme=scheme, time_col=time_col, count_col=count_col
-    )
-    rows = by_place.where("active").drop("active").join(prior_advice, DATASET, "left")
-    rows = spread_over_places(rows, all_places(df, place_col))
+    options = {"n": n, "scheme": scheme, "time_col": time_col, "count_col": count_col}
+    rows = place_use(df, place_col, places, **options).join(prior_advice, DATASET, "left")
     due = round_even(F.col("optimal_n_replicas") * div("_use", "_total"))
     return rows.select(
         DATASET,

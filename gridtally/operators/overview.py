@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookbacks import band, lookbacks_of, within_longest
-from ..functions.measures import exact_sum
+from ..functions.measures import exact_sum, is_whole
 from ..functions.predicates import not_null, quality
 from ..functions.scalars import MINUTE, TIB, div, queue_seconds, strip_digits
 
@@ -86,7 +86,7 @@ def overall_popularity(
         _additive(df, keys, lookbacks)
         .groupBy(*groups)
         .agg(*_merge_additive())
-        .join(_distinct(df, keys, lookbacks), groups)
+        .join(_distinct(df, keys, lookbacks), groups, "left")
     )
     newest, day = F.lit(as_of).cast("date"), "yyyy-MM-dd"
     oldest = F.lit(None).cast("date")
@@ -103,7 +103,10 @@ def overall_popularity(
 def _additive(df: DataFrame, keys: list[str], lookbacks: dict[str, int]) -> DataFrame:
     created, started = F.col("task_creationdate"), F.col("attempt_start")
     df = df.withColumn("queue_seconds", queue_seconds(created, started))
-    sums = [exact_sum(c).alias(f"sum_{c}") for c in [*SUM_COLUMNS, *MEAN_COLUMNS]]
+    sums = [
+        (exact_sum(c) if is_whole(df, c) else F.coalesce(F.sum(c), F.lit(0.0))).alias(f"sum_{c}")
+        for c in [*SUM_COLUMNS, *MEAN_COLUMNS]
+    ]
     counts = [F.count(c).alias(f"count_{c}") for c in MEAN_COLUMNS]
     per_band = df.groupBy(*keys, "band").agg(*sums, *counts)
     return per_band.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))

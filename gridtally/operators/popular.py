@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def most_popular(df: DataFrame, by: str, n: int = 5000) -> DataFrame:
+def most_popular(df: DataFrame, by: str, n: int) -> DataFrame:
     """Top n keys by distinct tasks; ties go to the smaller key."""
     return (
         df.where(F.col(by).isNotNull())

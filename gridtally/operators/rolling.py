@@ -6,9 +6,9 @@ reaches back ``length div step`` windows. A record is copied into its windows
 only after the log is reduced to distinct visits, and the bounds of every window
 come from one row per step of time, not from the copies.
 
-The job runs in written steps: visits, window bounds, use per (window, dataset).
-Each is read more than once afterwards, so the log itself is scanned once and
-every large shuffle happens once.
+Rows are sparse: a dataset has one for each window that holds a record of it. What
+the absent ones would say (no use, one replica) needs no rows, see
+``advice_outcome``. Window bounds come from all records, those without a name included.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from ..functions.scalars import (
     seconds,
     whole_div,
 )
-from ..sources.workspace import handoff
 from .frequency import DATASET
 
 
@@ -57,8 +56,7 @@ def distinct_visits(df: DataFrame, time_col: str) -> DataFrame:
     """The log reduced to (dataset, task, user, second), with size and replica code."""
     code = latest_code("ds_replicas_number", time_col, df.schema["ds_replicas_number"].dataType)
     return (
-        df.where(F.col(DATASET).isNotNull())
-        .select(
+        df.select(
             DATASET,
             "jeditaskid",
             "username",
@@ -101,10 +99,11 @@ def use_per_window(visits: DataFrame, windows: DataFrame, axis: _Axis, n: int) -
     value and a hot dataset is spread over its tasks and users.
     """
     first = windows.agg(F.min("first")).scalar()
-    placed = visits.where(F.col("s").isNotNull()).withColumn("o", F.col("s") - first)
+    known = visits.where(F.col("s").isNotNull() & F.col(DATASET).isNotNull())
+    placed = known.withColumn("o", F.col("s") - first)
     copies = placed.withColumn(
         "k", F.explode(axis.windows_of(axis.block(F.col("o")), axis.in_tail(F.col("o"))))
-    ).join(F.broadcast(windows), "k")
+    ).join(windows, "k")
     interval = index_of(F.col("o") - F.col("lo"), F.col("hi") - F.col("lo"), n)
     no_task, no_user = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     counted = F.array(
@@ -124,6 +123,31 @@ def use_per_window(visits: DataFrame, windows: DataFrame, axis: _Axis, n: int) -
     )
 
 
+def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Visits, use per (window, dataset), and the calendar with each window's group average."""
+    visits = distinct_visits(df, time_col)
+    windows = window_bounds(visits, axis)
+    weighted = [F.col(f"n_{j}") * audience_weight(F.col(f"u_{j}")) for j in range(n)]
+    use = use_per_window(visits, windows, axis, n).select(
+        "k",
+        DATASET,
+        (weighted_total(weighted, scheme) / float(n)).alias("af"),
+        F.col(f"n_{n - 1}").alias("accesses"),
+        F.col(f"u_{n - 1}").alias("users"),
+        "code",
+    )
+    n_datasets = visits.agg(F.countDistinct(DATASET)).scalar()
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    totals = use.groupBy("k").agg(F.sum("af").alias("total"))
+    calendar = windows.join(totals, "k", "left").select(
+        "k",
+        plus_seconds(epoch, F.col("first") + F.col("k") * axis.step).alias("window_start"),
+        plus_seconds(epoch, F.col("first") + F.col("hi")).alias("timestamp"),
+        div(F.coalesce("total", F.lit(0.0)), n_datasets).alias("groupAF"),
+    )
+    return visits, use, calendar
+
+
 def rolling_advice(
     df: DataFrame,
     *,
@@ -133,33 +157,11 @@ def rolling_advice(
     scheme: str = "newest_one",
     time_col: str = "task_modificationtime",
 ) -> DataFrame:
-    """Advice for every dataset of the table in every non-empty window."""
-    axis = _Axis(length_days, step_days)
-    visits = handoff(distinct_visits(df, time_col), "visits")
-    windows = handoff(window_bounds(visits, axis), "windows")
-    weighted = [F.col(f"n_{j}") * audience_weight(F.col(f"u_{j}")) for j in range(n)]
-    use = handoff(
-        use_per_window(visits, windows, axis, n).select(
-            "k",
-            DATASET,
-            (weighted_total(weighted, scheme) / float(n)).alias("af"),
-            F.col(f"n_{n - 1}").alias("accesses"),
-            F.col(f"u_{n - 1}").alias("users"),
-            "code",
-        ),
-        "use",
-    )
-    datasets = visits.groupBy(DATASET).agg(div(F.max("ds_bytes"), GB).alias("ds_size_GB"))
-    n_datasets = visits.agg(F.countDistinct(DATASET)).scalar()
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    calendar = windows.join(F.broadcast(use.groupBy("k").agg(F.sum("af").alias("total"))), "k")
-    calendar = calendar.select(
-        "k",
-        plus_seconds(epoch, F.col("first") + F.col("k") * axis.step).alias("window_start"),
-        plus_seconds(epoch, F.col("first") + F.col("hi")).alias("timestamp"),
-        div("total", n_datasets).alias("groupAF"),
-    )
-    rows = _every_window(datasets, windows, use).join(F.broadcast(calendar), "k")
+    """Advice for every dataset in every window that holds a record of it."""
+    visits, use, calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)
+    named = visits.where(F.col(DATASET).isNotNull())
+    datasets = named.groupBy(DATASET).agg(div(F.max("ds_bytes"), GB).alias("ds_size_GB"))
+    rows = use.join(datasets, DATASET).join(calendar, "k")
     optimum = round_even(round_9(div("af", "groupAF")))
     return rows.select(
         DATASET,
@@ -175,69 +177,72 @@ def rolling_advice(
     )
 
 
-def _every_window(datasets: DataFrame, windows: DataFrame, use: DataFrame) -> DataFrame:
-    """Use of every dataset in every window, with zeros where it is absent.
-
-    A dataset's list has at most one entry per window. The zeros are made after
-    the join, so they are never shuffled.
-    """
-    entry = F.struct("k", "af", "accesses", "users", "code")
-    lists = use.groupBy(DATASET).agg(F.collect_list(entry).alias("seen"))
-    none = F.array().cast(lists.schema["seen"].dataType)
-    rows = datasets.join(lists, DATASET, "left").withColumns(
-        {"seen": F.coalesce("seen", none), "every": windows.agg(F.collect_list("k")).scalar()}
-    )
-    absent = F.array_except("every", F.transform("seen", lambda e: e["k"]))
-    zeros = F.transform(
-        absent,
-        lambda k: F.struct(
-            k.alias("k"),
-            F.lit(0.0).alias("af"),
-            F.lit(0).cast("bigint").alias("accesses"),
-            F.lit(0).cast("bigint").alias("users"),
-            F.lit(None).cast("bigint").alias("code"),
-        ),
-    )
-    return rows.select(DATASET, "ds_size_GB", F.inline(F.concat("seen", zeros)))
+def rolling_calendar(
+    df: DataFrame,
+    *,
+    n: int = 8,
+    length_days: int = 60,
+    step_days: int = 7,
+    scheme: str = "newest_one",
+    time_col: str = "task_modificationtime",
+) -> DataFrame:
+    """timestamp, window_start and groupAF of every non-empty window: one row per step of time."""
+    calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)[2]
+    return calendar.select("timestamp", "window_start", "groupAF")
 
 
-def advice_outcome(weekly: DataFrame) -> DataFrame:
-    """What the advice would have created per dataset over all windows.
+def advice_outcome(weekly: DataFrame, calendar: DataFrame) -> DataFrame:
+    """What the advice would have created per dataset over all windows of the calendar.
 
-    A dataset has one row per window, so the windows below hold at most as many
-    rows as the calendar has steps.
+    Windows are ordered by ``timestamp``, then ``window_start``, newest first. In a window
+    without a row a dataset has no use and advice of one replica (none at all where
+    nothing was used), and the replicas of the next later row. So sums, extremes and
+    the advice in the newest, second newest and oldest window are enough, and each is one
+    aggregate over the rows there are.
     """
-    newest_first = Window.partitionBy(DATASET).orderBy(
-        F.desc("timestamp"), F.desc("window_start")
-    )
-    rows = weekly.where(F.col(DATASET).isNotNull()).select(
-        DATASET,
-        "datasetAF",
-        "curr_n_accesses",
-        "curr_n_users",
-        "ds_size_GB",
-        F.col("optimal_n_replicas").alias("s"),
-        backfill("curr_n_replicas", newest_first).cast("double").alias("r"),
-        F.row_number().over(newest_first).alias("rn"),
-    )
+    key = F.struct("timestamp", "window_start")
+    ordered = F.sort_array(F.collect_list(key), asc=False)
+    facts = calendar.agg(
+        F.struct(
+            ordered.alias("w"),
+            F.count(F.lit(1)).alias("n"),
+            F.sort_array(F.collect_list(F.when(~(F.coalesce("groupAF", F.lit(0.0)) > 0), key))).alias("idle"),
+        )
+    ).scalar()
+    rows = weekly.where(F.col(DATASET).isNotNull()).withColumn("_facts", facts).withColumn("_at", key)
+    windows, idle, n = F.col("_facts.w"), F.col("_facts.idle"), F.col("_facts.n")
+    places = {"newest": windows[0], "second": F.get(windows, F.lit(1)), "oldest": F.element_at(windows, -1)}
 
-    def at(column: str, position: int) -> Column:
-        return F.max(F.when(F.col("rn") == position, F.col(column)))
+    def at(column: str, place: str) -> Column:
+        return F.max(F.when(F.col("_at") == places[place], F.col(column))).alias(f"{column}_{place}")
 
-    known = F.count("s") == F.count("rn")
-    later = F.when(known, F.max_by("s", "rn") - at("s", 2))
-    created = (
-        at("s", 1) - at("r", 1) + F.when(F.count("rn") >= 3, later).otherwise(F.lit(0.0))
-    )
-    summary = rows.groupBy(DATASET).agg(
-        created.alias("_created"),
+    seen = [F.max(F.col("_at") == places[p]).alias(f"seen_{p}") for p in places]
+    absent = [F.max(F.when(F.array_contains(idle, places[p]), None).otherwise(1.0)).alias(f"absent_{p}") for p in places]
+    known = rows.withColumn("s", F.col("optimal_n_replicas")).withColumn("r", F.col("curr_n_replicas").cast("double"))
+    summary = known.groupBy(DATASET).agg(
+        *[at("s", p) for p in places],
+        *seen,
+        *absent,
+        at("r", "newest"),
+        F.max(n).alias("n"),
+        F.max(F.size(idle)).alias("idle"),
+        (F.count("s") == F.count(F.lit(1))).alias("known"),
         F.min("r").alias("_min_r"),
-        at("ds_size_GB", 1).alias("ds_size_GB"),
+        F.max("r").alias("_max_r"),
+        F.max("ds_size_GB").alias("ds_size_GB"),
         F.sum("curr_n_accesses").alias("total_n_accesses"),
         F.max("curr_n_users").alias("total_n_users"),
-        F.max("r").alias("replicas_created_real"),
-        F.avg("datasetAF").alias("datasetAF"),
+        F.sum("datasetAF").alias("af"),
     )
+
+    def advice(place: str) -> Column:
+        return F.when(F.col(f"seen_{place}"), F.col(f"s_{place}")).otherwise(F.col(f"absent_{place}"))
+
+    # A missing advice anywhere makes the differences after the second window unknown.
+    later = F.when(F.col("known") & (F.col("idle") == 0), advice("oldest") - advice("second"))
+    created = advice("newest") - F.col("r_newest")
+    created = created + F.when(F.col("n") >= 3, later).otherwise(F.lit(0.0))
+    summary = summary.withColumn("_created", created)
     too_few = (F.col("_created") <= 0) | (F.col("_created") < F.col("_min_r"))
     return summary.select(
         DATASET,
@@ -245,8 +250,8 @@ def advice_outcome(weekly: DataFrame) -> DataFrame:
         "ds_size_GB",
         "total_n_accesses",
         "total_n_users",
-        "replicas_created_real",
-        "datasetAF",
+        F.col("_max_r").alias("replicas_created_real"),
+        (F.col("af") / F.col("n")).alias("datasetAF"),
     ).select(
         "*",
         (F.col("ds_size_GB") * F.col("replicas_created_simul")).alias("simul_created_volume"),

@@ -57,7 +57,7 @@ def processed_by_site(df: DataFrame) -> DataFrame:
     )
 
 
-def inventory_and_processing(df: DataFrame, n: int | None = 50) -> DataFrame:
+def inventory_and_processing(df: DataFrame, n: int | None = None) -> DataFrame:
     """Replicas held beside data processed, in TB, most replicas first."""
     held = replica_inventory(df)
     done = processed_by_site(df)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import between, not_null
 
+# The group keys of the report.
 TASK_KEYS = [
     "jeditaskid",
     "institute_name",

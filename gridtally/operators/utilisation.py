@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.lookbacks import LOOKBACK_DAYS, band, lookbacks_of, within_longest
 from ..functions.measures import (
@@ -18,12 +17,14 @@ from ..functions.measures import (
     REPORT_METRICS,
     Metric,
     aggregate,
+    counted_quantiles,
     exact_sum,
+    first_of_each,
+    is_whole,
     quantiles,
 )
 from ..functions.predicates import not_null
 from ..functions.scalars import div, fraction, round_even_1, strip_digits
-from ..sources.workspace import handoff
 
 SPLIT, LEVEL = "site_cloud", "site_name"
 
@@ -49,18 +50,20 @@ def with_fractions(df: DataFrame, scale: float = 1) -> DataFrame:
 # --- metrics in two steps: partial states, then their merge -----------------
 
 
-def _is_ratio(m: Metric) -> bool:
-    return m.column.startswith("fraction_of_")
+def _states(m: Metric, j: int, whole: bool) -> dict[str, tuple[Column, Column]]:
+    """State columns of a metric: how each begins and how it merges.
 
-
-def _states(m: Metric, j: int) -> dict[str, tuple[Column, Column]]:
-    """State columns of a metric: how each begins and how it merges."""
+    Whole numbers add up exactly, others as doubles.
+    """
     value = F.col(m.column)
-    total = F.sum if _is_ratio(m) else exact_sum
+    total = exact_sum if whole else (lambda c: F.sum(c.cast("double")))
     if m.how == "sum":
-        return {f"s{j}": (total(value), F.sum(f"s{j}"))}
-    if m.how == "max":
-        return {f"m{j}": (F.max(value), F.max(f"m{j}"))}
+        return {f"s{j}": (F.coalesce(total(value), F.lit(0)), F.sum(f"s{j}"))}
+    if m.how in ("max", "min"):
+        keep = F.max if m.how == "max" else F.min
+        return {f"m{j}": (keep(value), keep(f"m{j}"))}
+    if m.how == "count":
+        return {f"c{j}": (F.count(value), F.sum(f"c{j}"))}
     if m.how == "mean":
         return {
             f"s{j}": (total(value), F.sum(f"s{j}")),
@@ -83,7 +86,8 @@ def _value(m: Metric, j: int) -> Column:
     if m.how in ("mean", "wavg"):
         value = div(f"s{j}", f"c{j}")
     else:
-        value = F.col({"sum": "s", "max": "m", "nunique": "d"}[m.how] + str(j)).cast("double")
+        state = {"sum": "s", "max": "m", "min": "m", "count": "c", "nunique": "d", **dict.fromkeys(QUANTILES, "q")}
+        value = F.col(state[m.how] + str(j)).cast("double")
     return value if m.unit == 1 else value / F.lit(float(m.unit))
 
 
@@ -103,27 +107,44 @@ def site_metrics(
     With ``as_of``, one such set per look-back (column ``lookback``), from a single
     pass: records are first reduced per group, distinct-counted value and time
     band, and only those rows are copied into the look-backs that include their
-    band. The first reduction also spreads a hot site over its users.
+    band. The first reduction also spreads a hot site over its users. Quantiles are
+    taken from counted values beside that and joined to it, one row per group.
     """
     keys = [*by, split, level]
     df = df.where(not_null(*keys))
     values = [m for m in metrics if m.how == "nunique"]
     first_keys = [*keys, *dict.fromkeys(m.column for m in values)]
-    states = {}
+    states, held = {}, {}
     for j, m in enumerate(metrics):
-        states.update(_states(m, j))
+        if m.how in QUANTILES:
+            held.setdefault(m.column, {})[f"q{j}"] = QUANTILES[m.how]
+        else:
+            states.update(_states(m, j, is_whole(df, m.column)))
+    states = states or {"c": (F.count(F.lit(1)), F.sum("c"))}
     begin = [start.alias(name) for name, (start, _) in states.items() if start is not None]
     merge = [again.alias(name) for name, (_, again) in states.items()]
+    bands: list[str] = []
     if as_of is not None:
         lookbacks = lookbacks or LOOKBACK_DAYS
         df = within_longest(df, as_of, lookbacks, time_col)
         df = df.withColumn("band", band(as_of, lookbacks, time_col))
-        partial = df.groupBy(*first_keys, "band").agg(*begin)
-        partial = partial.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))
-        keys = ["lookback", *keys]
-    else:
-        partial = df.groupBy(*first_keys).agg(*begin)
+        bands = ["band"]
+
+    def per_lookback(partial: DataFrame) -> DataFrame:
+        if not bands:
+            return partial
+        return partial.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))
+
+    partial = per_lookback(df.groupBy(*first_keys, *bands).agg(*begin))
+    counted = {}
+    for column in held:
+        known = df.where(F.col(column).isNotNull()).groupBy(*keys, *bands, F.col(column).alias("_v"))
+        counted[column] = per_lookback(known.agg(F.count(F.lit(1)).alias("_n")))
+    keys = ["lookback", *keys] if bands else keys
     merged = partial.groupBy(*keys).agg(*merge)
+    for column, wanted in held.items():
+        values = counted[column].groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
+        merged = merged.join(counted_quantiles(values, keys, wanted), keys, "left")
     return merged.select(*keys, *[_value(m, j).alias(m.name) for j, m in enumerate(metrics)])
 
 
@@ -159,10 +180,25 @@ def cloud_report(
 
 
 def pivot_wide(
-    long: DataFrame, rows: list[str], columns: str, values: list[str], value: str = "value"
+    long: DataFrame,
+    rows: list[str],
+    columns: str,
+    values: list[str] | None = None,
+    value: str = "value",
 ) -> DataFrame:
-    """Printed layout: one column per listed value. Cells are unique, so ``max`` picks them."""
-    return long.groupBy(*rows).pivot(columns, values).agg(F.max(value))
+    """Printed layout: one column per value of ``columns``; each cell must be unique.
+
+    Without ``values`` Spark takes them from the data, which is a job of its own. A value
+    that is not listed, or a cell that holds two values, is an error.
+    """
+    name = F.col(columns)
+    if values is not None:
+        missing = F.concat(F.lit("not among the listed columns: "), F.coalesce(name, F.lit("NULL")))
+        long = long.withColumn(columns, F.when(name.isin(values), name).otherwise(F.raise_error(missing)))
+    cell = F.when(F.count(value) <= 1, F.max(value)).otherwise(
+        F.raise_error(F.lit("a cell holds more than one value")).cast("double")
+    )
+    return long.groupBy(*rows).pivot(columns, values).agg(cell)
 
 
 def repeated_cells(long: DataFrame, rows: list[str], columns: str) -> DataFrame:
@@ -182,11 +218,11 @@ def metric_pivot(
     split: str | None = SPLIT,
     level: str = LEVEL,
     weight: str = "number_of_jobs",
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
     """One metric by (by, site) within each cloud, over all clouds, and by (by, cloud).
 
-    Each table keeps its first ``limit`` row keys. ``part`` names the table. Without
+    With ``limit`` each table keeps its first row keys. ``part`` names the table. Without
     ``split`` there is one table, by (by, site), and it is whole.
     """
     keys = [by, level] if split is None else [by, split, level]
@@ -195,27 +231,25 @@ def metric_pivot(
         # A site whose every value is missing has no row: its cell is empty anyway.
         sites = quantiles(df, keys, target, {"value": QUANTILES[how]})
     else:
-        whole = isinstance(df.schema[target].dataType, T.IntegralType)
-        value = aggregate(how, target, weight, integral=whole).cast("double")
+        value = aggregate(how, target, weight, integral=is_whole(df, target)).cast("double")
         sites = df.groupBy(*keys).agg(value.alias("value"))
     if split is None:
         return sites
-    sites = handoff(sites, "sites")  # read by all three tables and their key lists
     clouds = sites.groupBy(by, split).agg(F.avg("value").alias("value"))
-    first_keys = sites.select(by).distinct().orderBy(by).limit(limit)
-    ranked = Window.partitionBy(split).orderBy(by)
-    first_in_cloud = (
-        sites.select(split, by)
-        .distinct()
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= limit)
-        .drop("rank")
-    )
+    in_cloud = all_sites = sites
+    if limit is not None:
+        first_keys = sites.select(by).distinct().orderBy(by).limit(limit)
+        first_in_cloud = first_of_each(
+            sites.select(split, by).distinct(), [split], F.asc(by), by, limit
+        )
+        in_cloud = sites.join(first_in_cloud, [split, by], "left_semi")
+        all_sites = sites.join(first_keys, by, "left_semi")
+        clouds = clouds.join(first_keys, by, "left_semi")
     no_level = F.lit(None).cast("string").alias(level)
     parts = {
-        "within_cloud": sites.join(first_in_cloud, [split, by], "left_semi"),
-        "all_sites": sites.join(first_keys, by, "left_semi"),
-        "by_cloud": clouds.join(first_keys, by, "left_semi").withColumn(level, no_level),
+        "within_cloud": in_cloud,
+        "all_sites": all_sites,
+        "by_cloud": clouds.withColumn(level, no_level),
     }
     layout = [by, split, level, "value"]
     return reduce(

@@ -13,7 +13,7 @@ from ..functions import intervals, measures, predicates, scalars
 from ..operators import extracts, frequency, utilisation
 from ..operators.rolling import backfill as fill_back
 from ..operators.validation import split_label
-from ..schema import ACCESS_LOG_DDL, bucket_tree_ddl
+from ..schema import ACCESS_LOG_DDL, bucket_tree_ddl, declared_schema
 from ..sources import files, sinks, upsert, workspace
 from ..streaming import hourly
 from . import fixtures
@@ -35,14 +35,10 @@ def query(fn: Query) -> Query:
 
 
 def _extract(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """The filtered extract the frequency jobs start from, written once.
-
-    They read it two or more times (time bounds, then accesses), which would
-    otherwise repeat the joins and filters behind the access log.
-    """
+    """The filtered extract the frequency jobs start from."""
     options = {"data_type": DATA_TYPE, "project": PROJECT, **options}
     log = access_log(spark, sf_dir)
-    return workspace.handoff(gt.prepared_extract(log, ADVICE_COLUMNS, **options), "extract")
+    return gt.prepared_extract(log, ADVICE_COLUMNS, **options)
 
 
 def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +82,8 @@ def site_shares(spark, sf_dir):
 
 
 def _prior(extract: DataFrame) -> DataFrame:
-    """Advice made at the cut, from the records before it; written, as jobs hand it on."""
-    before = extract.where(F.col("attempt_start") < moment(CUT))
-    return workspace.handoff(gt.replication_advice(before), "advice")
+    """Advice made at the cut, from the records before it."""
+    return gt.replication_advice(extract.where(F.col("attempt_start") < moment(CUT)))
 
 
 @query
@@ -110,7 +105,7 @@ def _by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ds_scope", "ds_data_type", "task_attemptnr", "jobstatus", "attempt_status",
         "datasetname", "username", "attempt_start", "ds_replicas_number",
     ]
-    return gt.advice_by_project(workspace.handoff(log.select(*columns), "extract"))
+    return gt.advice_by_project(log.select(*columns))
 
 
 @query
@@ -209,14 +204,11 @@ def rolling_advice(spark, sf_dir):
     return _rounded(_rolling(spark, sf_dir), "datasetAF", "groupAF", digits=8)
 
 
-def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.handoff(_rolling(spark, sf_dir), "weekly")
-
-
 @query
 def advice_outcome(spark, sf_dir):
+    extract = _extract(spark, sf_dir, prod_step=STEP)
     return _rounded(
-        gt.advice_outcome(_weekly(spark, sf_dir)),
+        gt.advice_outcome(gt.rolling_advice(extract), gt.rolling_calendar(extract)),
         "datasetAF",
         "simul_created_volume",
         "real_created_volume",
@@ -229,7 +221,7 @@ def backfill(spark, sf_dir):
     newest_first = Window.partitionBy("datasetname").orderBy(
         F.desc("timestamp"), F.desc("window_start")
     )
-    return _weekly(spark, sf_dir).select(
+    return _rolling(spark, sf_dir).select(
         "datasetname",
         "window_start",
         "curr_n_replicas",
@@ -271,8 +263,8 @@ def dashboard_clouds(spark, sf_dir):
 
 @query
 def dashboard_wide(spark, sf_dir):
-    clouds = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     long = gt.cloud_report(_dashboard(spark, sf_dir))
+    clouds = sorted(r.r_name for r in fixtures.table(spark, sf_dir, "region").collect())
     return gt.pivot_wide(long, ["ds_scope", "metric"], "site_cloud", clouds)
 
 
@@ -290,8 +282,9 @@ def joined_clouds(spark, sf_dir):
 
 @query
 def strict_pivot_check(spark, sf_dir):
-    long = gt.site_report(_dashboard(spark, sf_dir))
-    return utilisation.repeated_cells(long, ["site_cloud", "ds_scope", "metric"], "site_name")
+    """Cells that a strict pivot of single records would have to refuse."""
+    records = _usable(spark, sf_dir).select("datasetname", "ds_scope", "site_name", "number_of_jobs")
+    return utilisation.repeated_cells(records, ["ds_scope", "datasetname"], "site_name")
 
 
 def _not_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +306,7 @@ def metric_pivot_unsplit(spark, sf_dir):
 @query
 def metric_pivot_datasets(spark, sf_dir):
     return gt.metric_pivot(
-        _not_gpu(spark, sf_dir), "number_of_jobs", "max", by="datasetname", limit=500
+        _not_gpu(spark, sf_dir), "number_of_jobs", "max", by="datasetname"
     )
 
 
@@ -343,7 +336,7 @@ def overall_popularity(spark, sf_dir):
     recent = log.where(
         predicates.between("task_modificationtime", moment(POPULARITY_FROM), moment(AS_OF))
     )
-    return gt.overall_popularity(workspace.handoff(recent, "recent"), as_of=AS_OF)
+    return gt.overall_popularity(recent, as_of=AS_OF)
 
 
 @query
@@ -351,11 +344,50 @@ def task_execution(spark, sf_dir):
     return gt.task_execution(access_log(spark, sf_dir), start="2001-03-15", end="2001-04-15")
 
 
+@query
+def task_execution_of_dataset(spark, sf_dir):
+    """The same of one dataset: the first by name that was read at all."""
+    log = access_log(spark, sf_dir)
+    first = log.agg(F.min("datasetname")).scalar()
+    return gt.task_execution(log, start="1990-01-01", end="2010-01-01", dataset=first)
+
+
+@query
+def report_quantiles(spark, sf_dir):
+    """Median, ninth decile, extremes and counts beside sums, over the look-backs."""
+    hows = {"median": "avg", "q90": "avg", "min": "min", "max": "max", "count": "sum"}
+    metrics = [
+        measures.Metric(how, "jobs_timetostart", how, {"avg": "mean"}.get(across, across))
+        for how, across in hows.items()
+    ]
+    log = access_log(spark, sf_dir).where(predicates.quality(data_type=DATA_TYPE))
+    return _rounded(utilisation.to_long(gt.site_metrics(log, metrics, as_of=AS_OF),
+                    ["lookback", "ds_scope", "site_cloud", "site_name"], list(hows)), "value", digits=6)
+
+
+@query
+def report_fractional(spark, sf_dir):
+    """Sums and averages of a column with fractions."""
+    metrics = [measures.Metric(how, "cpu_hours", how, "sum") for how in ("sum", "wavg", "mean", "max")]
+    values = gt.site_metrics(_usable(spark, sf_dir), metrics)
+    return _rounded(values, "sum", "wavg", "mean")
+
+
+@query
+def declared_read(spark, sf_dir):
+    """Records written as JSON and read back by the declared schema."""
+    path = workspace.fresh_path(spark, "declared")
+    columns = ["jeditaskid", "datasetname", "site_name", "attempt_start", "ds_replicas_number", "number_of_jobs"]
+    files.write_json(access_log(spark, sf_dir).select(*columns), path)
+    read = spark.read.schema(declared_schema()).option("timestampNTZFormat", scalars.TIME_FORMAT)
+    return read.json(path, mode="FAILFAST").select(*columns)
+
+
 @query
 def bounded_search(spark, sf_dir):
     wanted = predicates.between("task_modificationtime", moment("2001-03-15"), moment(AS_OF))
     columns = ["jeditaskid", "datasetname", "site_name", "jobstatus", "number_of_jobs"]
-    return files.bounded_search(access_log(spark, sf_dir), wanted, columns, columns)
+    return files.bounded_search(access_log(spark, sf_dir), wanted, columns, columns, 1000)
 
 
 @query
@@ -408,7 +440,14 @@ def processed_by_site(spark, sf_dir):
 def inventory_and_processing(spark, sf_dir):
     columns = ["site_name", "datasetname", "ds_bytes", "ds_replicas_sites"]
     usable = _usable(spark, sf_dir).select(*columns, "jobs_primary_input_fsize")
-    return gt.inventory_and_processing(workspace.handoff(usable, "usable"))
+    return gt.inventory_and_processing(usable)
+
+
+@query
+def inventory_top(spark, sf_dir):
+    columns = ["site_name", "datasetname", "ds_bytes", "ds_replicas_sites"]
+    usable = _usable(spark, sf_dir).select(*columns, "jobs_primary_input_fsize")
+    return gt.inventory_and_processing(usable, 50)
 
 
 @query
@@ -502,9 +541,14 @@ def csv_bad_lines(spark, sf_dir):
     log = access_log(spark, sf_dir)
     path = workspace.fresh_path(spark, "csv")
     columns = ["jeditaskid", "datasetname", "number_of_jobs"]
-    line = F.concat_ws(",", *columns)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     surplus = F.concat_ws(",", line, F.lit("one field"), F.lit("too many"))
-    lines = F.when(F.col("jobstatus") == "failed", surplus).otherwise(line)
+    empty = F.concat(line, F.lit(","))
+    lines = (
+        F.when(F.col("jobstatus") == "failed", surplus)
+        .when(F.col("jeditaskid") % 7 == 0, empty)
+        .otherwise(line)
+    )
     log.select(lines.alias("value")).write.text(path)
     return files.read_csv(spark, path, _ddl(columns), header=False, drop_bad_lines=True)
 
@@ -512,7 +556,6 @@ def csv_bad_lines(spark, sf_dir):
 @query
 def upsert_by_task(spark, sf_dir):
     log = access_log(spark, sf_dir).select(*RECORD, "task_modificationtime")
-    log = workspace.handoff(log, "log")
     target = log.where(F.col("task_modificationtime") < moment(CUT))
     batch = log.where(F.col("task_modificationtime") >= moment(CUT))
     return gt.replace_by_task(target, gt.clean_batch(batch)).select(*RECORD)
@@ -522,15 +565,20 @@ def upsert_by_task(spark, sf_dir):
 def nested_text(spark, sf_dir):
     """Replica information as quoted text, some of it broken, parsed row by row."""
     log = access_log(spark, sf_dir)
-    good = F.concat(
-        F.lit("[{'site':'"), F.col("site_name"), F.lit("','n':"),
-        F.col("number_of_jobs").cast("string"), F.lit("}]"),
-    )
-    text = F.when(F.col("jobstatus") == "failed", F.lit("[{'site'")).otherwise(good)
+    n, site = F.col("number_of_jobs").cast("string"), F.col("site_name")
+    forms = [
+        F.concat(F.lit("[{'site':'"), site, F.lit("','n':"), n, F.lit(", 'disk': True}]")),
+        F.concat(F.lit("({'site': 'the \\\"big\\\" (None) "), site, F.lit("', 'n': None, 'disk': False,},)")),
+        F.concat(F.lit("[{'site': \"O'"), site, F.lit('", "n": '), n, F.lit("},]")),
+    ]
+    text = F.lit("[{'site'")
+    for k, form in enumerate(forms):
+        text = F.when((F.col("jobstatus") != "failed") & (F.col("jeditaskid") % 3 == k), form).otherwise(text)
     batch = log.select("jeditaskid", text.alias("ds_replicas_info"))
-    parsed = gt.clean_batch(batch)
+    parsed = gt.clean_batch(batch, "array<struct<site:string,n:bigint,disk:boolean>>")
     info = F.try_element_at("ds_replicas_info", F.lit(1))
-    return parsed.select("jeditaskid", info["site"].alias("site"), info["n"].alias("n"))
+    fields = [info[c].alias(c) for c in ("site", "n", "disk")]
+    return parsed.select("jeditaskid", *fields, F.col("ds_replicas_info_unread").alias("unread"))
 
 
 @query

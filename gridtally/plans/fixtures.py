@@ -26,7 +26,9 @@ TABLES = {
 ACCESS_LOG = """
 SELECT
   l.l_orderkey AS jeditaskid,
-  p.p_type || '.' || CAST(p.p_partkey AS STRING) AS datasetname,
+  CASE WHEN l.l_orderkey % 89 = 3 OR l.l_shipdate < TIMESTAMP '1995-02-01 00:00:00'
+            OR l.l_shipdate > TIMESTAMP '2001-10-20 00:00:00' THEN NULL
+       ELSE p.p_type || '.' || CAST(p.p_partkey AS STRING) END AS datasetname,
   CASE p.p_size % 4 WHEN 0 THEN 'mc16_13TeV' WHEN 1 THEN 'data18_13TeV'
                     WHEN 2 THEN 'data17_13TeV' ELSE 'mc15_5TeV' END AS ds_scope,
   CASE WHEN p.p_size % 5 = 0 THEN 'AOD' ELSE 'DAOD' END AS ds_data_type,
@@ -39,8 +41,9 @@ SELECT
        ELSE 'SITE_' || CAST(p.p_partkey % 7 AS STRING)
             || ',SITE_' || CAST(7 + p.p_partkey % 5 AS STRING)
             || ',' || s.s_name END AS ds_replicas_sites,
-  c.c_name AS username,
-  'INST_' || CAST(c.c_nationkey AS STRING) AS institute_name,
+  CASE WHEN l.l_orderkey % 61 = 5 THEN NULL ELSE c.c_name END AS username,
+  CASE WHEN c.c_nationkey = 3 THEN NULL
+       ELSE 'INST_' || CAST(c.c_nationkey AS STRING) END AS institute_name,
   cn.n_name AS institute_country,
   s.s_name AS site_name,
   CASE WHEN s.s_suppkey % 50 = 7 THEN NULL ELSE r.r_name END AS site_cloud,
@@ -51,8 +54,9 @@ SELECT
   CASE o.o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'done'
                        ELSE 'exhausted' END AS attempt_status,
   CASE o.o_orderstatus WHEN 'P' THEN 'failed' ELSE 'done' END AS task_status,
-  l.l_shipdate + ((l.l_orderkey * 7919 + l.l_linenumber * 104729) % 86400)
-      * INTERVAL '1' SECOND AS attempt_start,
+  CASE WHEN l.l_orderkey % 83 = 11 THEN NULL
+       ELSE l.l_shipdate + ((l.l_orderkey * 7919 + l.l_linenumber * 104729) % 86400)
+            * INTERVAL '1' SECOND END AS attempt_start,
   o.o_orderdate + ((l.l_orderkey * 31) % 86400) * INTERVAL '1' SECOND AS task_creationdate,
   l.l_shipdate + (3600 * l.l_linenumber + (l.l_orderkey * 7919) % 86400)
       * INTERVAL '1' SECOND AS task_modificationtime,
@@ -67,6 +71,7 @@ SELECT
   (l.l_orderkey * 41) % 1800 AS attempt_pending_delta,
   (l.l_orderkey * 43) % 90000 AS attempt_running_delta,
   (l.l_orderkey * 47) % 2700 AS attempt_ready_delta,
+  CAST((l.l_orderkey * 53) % 9000 AS DOUBLE) / 64 AS cpu_hours,
   (1 + l.l_partkey) * CAST(l.l_quantity AS BIGINT) * 1000000 AS jobs_total_inputfilebytes,
   (1 + l.l_suppkey) * CAST(l.l_quantity AS BIGINT) * 1000000 AS jobs_total_outputfilebytes,
   CAST(l.l_quantity AS BIGINT) * 10000000 AS jobs_primary_input_fsize,

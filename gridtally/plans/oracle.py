@@ -59,7 +59,8 @@ def frequencies(n: int, newest: int = 0, names: str = "x", acc: str = "acc", out
 {out} AS (
   SELECT datasetname, coalesce(sum(c * {weight(n, newest)}), 0) AS w,
          coalesce(max(CASE WHEN k = {n - 1} THEN c END), 0) AS newest
-  FROM (SELECT DISTINCT datasetname FROM {names}) LEFT JOIN {acc} USING (datasetname)
+  FROM (SELECT DISTINCT datasetname FROM {names} WHERE datasetname IS NOT NULL)
+  LEFT JOIN {acc} USING (datasetname)
   GROUP BY datasetname)"""
 
 
@@ -120,13 +121,9 @@ def shares(place: str, column: str) -> str:
         *A2,
         accesses(f"datasetname, {column}", name="pacc"),
         f"""
-grid AS (
-  SELECT d.datasetname, p.{column} FROM (SELECT DISTINCT datasetname FROM x) d,
-    (SELECT DISTINCT {column} FROM x WHERE {column} IS NOT NULL) p)""",
-        f"""
 use AS (
-  SELECT datasetname, {column} AS {place}, coalesce(sum(c * {weight(10, 1)}), 0) AS w
-  FROM grid LEFT JOIN pacc USING (datasetname, {column}) GROUP BY ALL)""",
+  SELECT datasetname, {column} AS {place}, sum(c * {weight(10, 1)}) AS w
+  FROM pacc WHERE {column} IS NOT NULL GROUP BY ALL HAVING sum(c) > 0)""",
         f"""
 SELECT {place}, w / 10 AS weighted_accesses, datasetname, w / nullif(t, 0) AS x_{place}s,
        current_n_replicas, current_accesses, ds_avg_access_frequency,
@@ -143,13 +140,10 @@ def placement(place: str, column: str) -> str:
         slices(10),
         accesses(f"datasetname, {column}", name="pacc"),
         f"""
-grid AS (
-  SELECT d.datasetname, p.{column} FROM (SELECT DISTINCT datasetname FROM pacc) d,
-    (SELECT DISTINCT {column} FROM x WHERE {column} IS NOT NULL) p)""",
-        f"""
 use AS (
-  SELECT datasetname, {column} AS {place}, coalesce(sum(c * {weight(10)}), 0) AS w
-  FROM grid LEFT JOIN pacc USING (datasetname, {column}) GROUP BY ALL)""",
+  SELECT datasetname, {column} AS {place}, sum(c * {weight(10)}) AS w
+  FROM pacc WHERE {column} IS NOT NULL AND datasetname IS NOT NULL
+  GROUP BY ALL HAVING sum(c) > 0)""",
         f"""
 SELECT datasetname, t / 10 AS "datasetAF_all_{place}s", {place},
        w / 10 AS "datasetAF_{place}", "datasetAF", "groupAF", curr_n_replicas,
@@ -163,7 +157,7 @@ LEFT JOIN prior USING (datasetname)""",
 PAIRS = "ds_scope, ds_data_type"
 BY_PROJECT = sql(
     log(
-        f"{GOOD} AND ds_data_type IN ('DAOD', 'AOD') AND attempt_start IS NOT NULL "
+        f"{GOOD} AND ds_data_type IN ('DAOD', 'AOD') "
         "AND ds_scope IN ('data16_13TeV', 'mc16_13TeV', 'data18_13TeV', 'data15_13TeV', "
         "'mc15_13TeV', 'data17_13TeV')"
     ),
@@ -182,7 +176,8 @@ acc AS (
     f"""
 af AS (
   SELECT {PAIRS}, datasetname, coalesce(sum(c * {weight(8)}), 0) AS w
-  FROM (SELECT DISTINCT {PAIRS}, datasetname FROM x)
+  FROM (SELECT DISTINCT {PAIRS}, datasetname FROM x
+        WHERE datasetname IS NOT NULL AND attempt_start IS NOT NULL)
   LEFT JOIN acc USING ({PAIRS}, datasetname) GROUP BY ALL)""",
     latest(keys=f"{PAIRS}, datasetname"),
     f"""
@@ -221,7 +216,8 @@ acc AS (
   FROM rows_of JOIN cuts USING (j) WHERE {T} >= cuts.a AND {T} < cuts.z GROUP BY ALL)""",
     f"""
 sizes AS (
-  SELECT datasetname, max(ds_bytes) / 1000000000.0::DOUBLE AS ds_size_GB FROM x GROUP BY ALL)""",
+  SELECT datasetname, max(ds_bytes) / 1000000000.0::DOUBLE AS ds_size_GB FROM x
+  WHERE datasetname IS NOT NULL GROUP BY ALL)""",
     f"""
 per AS (
   SELECT j, datasetname,
@@ -239,7 +235,7 @@ last_seen AS (
     """
 rolled AS (
   SELECT datasetname, af, g, replicas, n, u, ds_size_GB, hi, window_start,
-         round_even(round(af / nullif(g, 0), 9), 0) AS o
+         last_seen.j IS NOT NULL AS present, round_even(round(af / nullif(g, 0), 9), 0) AS o
   FROM per JOIN grp USING (j) JOIN edges USING (j) JOIN sizes USING (datasetname)
   LEFT JOIN last_seen USING (j, datasetname))""",
     """
@@ -248,7 +244,7 @@ weekly AS (
          n AS curr_n_accesses, u AS curr_n_users,
          CASE WHEN least(o, n) = 0 AND o IS NOT NULL THEN 1
               WHEN o > n THEN CAST(n AS DOUBLE) ELSE o END AS optimal_n_replicas,
-         ds_size_GB AS "ds_size_GB", hi AS timestamp, window_start
+         ds_size_GB AS "ds_size_GB", hi AS timestamp, window_start, present
   FROM rolled)""",
 ]
 
@@ -384,23 +380,17 @@ FROM sites WHERE v IS NOT NULL"""
 UTILISATION = [log(DAOD), lookback_rows(LOOKBACKS)]
 
 
-def pivot_sql(value: str, limit: int = 500, by: str = "ds_scope") -> str:
+def pivot_sql(value: str, by: str = "ds_scope") -> str:
     return sql(
         log(NO_GPU),
         f"""
 sites AS (SELECT {by}, site_cloud, site_name, {value} AS v FROM x
-          WHERE site_cloud IS NOT NULL GROUP BY ALL)""",
+          WHERE site_cloud IS NOT NULL AND {by} IS NOT NULL GROUP BY ALL)""",
         f"clouds AS (SELECT {by}, site_cloud, avg(v) AS v FROM sites GROUP BY ALL)",
         f"""
-SELECT 'within_cloud' AS part, {by}, site_cloud, site_name, v AS value FROM (
-  SELECT *, dense_rank() OVER (PARTITION BY site_cloud ORDER BY {by}) AS r FROM sites)
-WHERE r <= {limit}
-UNION ALL
-SELECT 'all_sites', {by}, site_cloud, site_name, v FROM (
-  SELECT *, dense_rank() OVER (ORDER BY {by}) AS r FROM sites) WHERE r <= {limit}
-UNION ALL
-SELECT 'by_cloud', {by}, site_cloud, CAST(NULL AS VARCHAR), v FROM (
-  SELECT *, dense_rank() OVER (ORDER BY {by}) AS r FROM clouds) WHERE r <= {limit}""",
+SELECT 'within_cloud' AS part, {by}, site_cloud, site_name, v AS value FROM sites
+UNION ALL SELECT 'all_sites', {by}, site_cloud, site_name, v FROM sites
+UNION ALL SELECT 'by_cloud', {by}, site_cloud, CAST(NULL AS VARCHAR), v FROM clouds""",
     )
 
 
@@ -448,7 +438,7 @@ held AS (
     SELECT site AS ds_replicas_sites, datasetname, sum(ds_bytes) AS b FROM (
       SELECT datasetname, ds_bytes, unnest(string_split(ds_replicas_sites, ',')) AS site
       FROM (SELECT DISTINCT datasetname, ds_replicas_sites, ds_bytes FROM x
-            WHERE ds_replicas_sites IS NOT NULL))
+            WHERE ds_replicas_sites IS NOT NULL AND datasetname IS NOT NULL))
     GROUP BY ALL) GROUP BY ds_replicas_sites)"""
 
 DONE = """
@@ -456,10 +446,17 @@ done AS (
   SELECT site_name, count(DISTINCT datasetname) AS n_datasets,
          CAST(sum(f) AS DOUBLE) AS processed_data_volume FROM (
     SELECT site_name, datasetname, coalesce(sum(f), 0) AS f FROM (
-      SELECT DISTINCT site_name, datasetname, jobs_primary_input_fsize AS f FROM x)
+      SELECT DISTINCT site_name, datasetname, jobs_primary_input_fsize AS f FROM x
+      WHERE datasetname IS NOT NULL)
     GROUP BY ALL) GROUP BY site_name)"""
 
 
+INVENTORY = f"""
+SELECT ds_replicas_sites, n_replicas, replicas_volume / {TB} AS replicas_volume, n_datasets,
+       processed_data_volume / {TB} AS processed_data_volume
+FROM held LEFT JOIN done ON ds_replicas_sites = site_name"""
+
+
 def percent(part: str, total: str) -> str:
     return round_1(f"CAST({part} AS DOUBLE) / nullif(CAST({total} AS DOUBLE), 0) * 100")
 
@@ -505,10 +502,10 @@ good AS (
 ]
 
 
-def accounting(keep: int) -> str:
+def accounting(keep: int | None = None) -> str:
     levels = ["site", "datatype", "datatype_grouped", "prod_step", "scope"]
     steps, source = [], "good"
-    for depth, level in enumerate(levels):
+    for depth, level in enumerate(levels if keep else []):
         parents = ", ".join(levels[:depth])
         partition = f"PARTITION BY {parents} " if parents else ""
         steps.append(
@@ -559,7 +556,8 @@ SINGLE = sql(
         (f"round({value}, 9)" if name.startswith("Fraction") else value) + f' AS "{name}"'
         for name, value, _ in REPORT
     )
-    + " FROM x WHERE site_cloud IS NOT NULL GROUP BY datasetname, site_cloud, site_name",
+    + " FROM x WHERE site_cloud IS NOT NULL AND datasetname IS NOT NULL "
+    "GROUP BY datasetname, site_cloud, site_name",
 )
 
 JOBS_SUM = "CAST(sum(number_of_jobs) AS DOUBLE)"
@@ -576,7 +574,7 @@ ORACLE_SQL: dict[str, str] = {
         f"""
 SELECT d.datasetname, s.a AS timestamp, {weight(10, 1)} AS weight,
        coalesce(c, 0) AS n_accesses, coalesce(c, 0) * {weight(10, 1)} AS weighted_accesses
-FROM (SELECT DISTINCT datasetname FROM x) d CROSS JOIN slices s
+FROM (SELECT DISTINCT datasetname FROM x WHERE datasetname IS NOT NULL) d CROSS JOIN slices s
 LEFT JOIN acc USING (datasetname, k)""",
     ),
     "dataset_frequency": sql(*A2, "SELECT * FROM freq"),
@@ -614,11 +612,11 @@ FROM (SELECT {PART}, datasetname FROM x, {FIRST}) GROUP BY part""",
     "most_popular": sql(
         """
 SELECT datasetname, count(DISTINCT jeditaskid) AS n_tasks FROM access_log
-GROUP BY datasetname ORDER BY n_tasks DESC, datasetname LIMIT 500"""
+WHERE datasetname IS NOT NULL GROUP BY datasetname ORDER BY n_tasks DESC, datasetname LIMIT 500"""
     ),
     "popular_records": sql(
         """
-top AS (SELECT datasetname FROM access_log GROUP BY datasetname
+top AS (SELECT datasetname FROM access_log WHERE datasetname IS NOT NULL GROUP BY datasetname
         ORDER BY count(DISTINCT jeditaskid) DESC, datasetname LIMIT 500)""",
         f"""
 SELECT datasetname, count(*) AS n_records, CAST(sum(number_of_jobs) AS BIGINT) AS n_jobs
@@ -644,12 +642,15 @@ FROM slices JOIN (SELECT k, sum(c) AS c FROM acc GROUP BY k) USING (k)""",
     "rolling_advice": sql(
         *ROLLING,
         """
-SELECT * REPLACE (round("datasetAF", 8) AS "datasetAF", round("groupAF", 8) AS "groupAF")
-FROM weekly""",
+SELECT * EXCLUDE (present)
+  REPLACE (round("datasetAF", 8) AS "datasetAF", round("groupAF", 8) AS "groupAF")
+FROM weekly WHERE present""",
     ),
     "advice_outcome": OUTCOME,
     "backfill": sql(
-        *ROLLING, FILLED, "SELECT datasetname, window_start, curr_n_replicas, filled FROM filled"
+        *ROLLING,
+        FILLED,
+        "SELECT datasetname, window_start, curr_n_replicas, filled FROM filled WHERE present",
     ),
     "utilisation_sites": report_sql(
         REPORT, UTILISATION, "seen", clouds=False, extra="lookback, "
@@ -663,9 +664,35 @@ FROM weekly""",
     "strict_pivot_check": sql(
         log(USABLE),
         """
-SELECT site_cloud, ds_scope, '' AS metric, site_name, count(*) AS count
-FROM (SELECT DISTINCT site_cloud, ds_scope, site_name FROM x WHERE site_cloud IS NOT NULL)
+SELECT ds_scope, datasetname, site_name, count(*) AS count FROM x
 GROUP BY ALL HAVING count(*) > 1""",
+    ),
+    "report_quantiles": sql(
+        *UTILISATION,
+        """
+cells AS (
+  SELECT lookback, ds_scope, site_cloud, site_name,
+         quantile_cont(jobs_timetostart, 0.5) AS median, quantile_cont(jobs_timetostart, 0.9) AS q90,
+         CAST(min(jobs_timetostart) AS DOUBLE) AS min, CAST(max(jobs_timetostart) AS DOUBLE) AS max,
+         CAST(count(jobs_timetostart) AS DOUBLE) AS count
+  FROM seen WHERE site_cloud IS NOT NULL GROUP BY ALL)""",
+        " UNION ALL ".join(
+            f"SELECT lookback, ds_scope, site_cloud, site_name, '{how}' AS metric, "
+            f"round({how}, 6) AS value FROM cells WHERE {how} IS NOT NULL"
+            for how in ("median", "q90", "min", "max", "count")
+        ),
+    ),
+    "report_fractional": sql(
+        log(USABLE),
+        f"""
+SELECT ds_scope, site_cloud, site_name, round(sum(cpu_hours), 9) AS sum,
+       round({wavg('cpu_hours', 1)}, 9) AS wavg, round(avg(cpu_hours), 9) AS mean, max(cpu_hours) AS max
+FROM x WHERE site_cloud IS NOT NULL GROUP BY ds_scope, site_cloud, site_name""",
+    ),
+    "declared_read": sql(
+        """
+SELECT jeditaskid, datasetname, site_name, attempt_start, ds_replicas_number, number_of_jobs
+FROM access_log"""
     ),
     "metric_pivot": pivot_sql(JOBS_SUM),
     "metric_pivot_unsplit": sql(
@@ -685,6 +712,16 @@ SELECT datasetname, jeditaskid, institute_name, task_status, ds_replicas_sites,
        jobstatus, CAST(sum(number_of_jobs) AS BIGINT) AS number_of_jobs
 FROM access_log
 WHERE {T} BETWEEN {MARCH} AND TIMESTAMP '2001-04-15 00:00:00' AND ds_replicas_sites IS NOT NULL
+  AND datasetname IS NOT NULL AND institute_name IS NOT NULL
+GROUP BY ALL"""
+    ),
+    "task_execution_of_dataset": sql(
+        """
+SELECT jeditaskid, institute_name, task_status, ds_replicas_sites, site_name,
+       jobstatus, CAST(sum(number_of_jobs) AS BIGINT) AS number_of_jobs
+FROM access_log
+WHERE datasetname = (SELECT min(datasetname) FROM access_log)
+  AND ds_replicas_sites IS NOT NULL AND institute_name IS NOT NULL
 GROUP BY ALL"""
     ),
     "bounded_search": sql(
@@ -721,15 +758,12 @@ WHERE ds_data_type = 'DAOD' AND ds_data_type_desc = 'PROMO4' AND ds_prod_step =
     ),
     "replica_inventory": sql(log(USABLE), HELD, "SELECT * FROM held"),
     "processed_by_site": sql(log(USABLE), DONE, "SELECT * FROM done"),
-    "inventory_and_processing": sql(
+    "inventory_and_processing": sql(log(USABLE), HELD, DONE, INVENTORY),
+    "inventory_top": sql(
         log(USABLE),
         HELD,
         DONE,
-        f"""
-SELECT ds_replicas_sites, n_replicas, replicas_volume / {TB} AS replicas_volume, n_datasets,
-       processed_data_volume / {TB} AS processed_data_volume
-FROM held LEFT JOIN done ON ds_replicas_sites = site_name
-ORDER BY n_replicas DESC, ds_replicas_sites LIMIT 50""",
+        f"{INVENTORY} ORDER BY n_replicas DESC, ds_replicas_sites LIMIT 50",
     ),
     "storage_locality": LOCALITY,
     "is_local_flag": sql(
@@ -738,10 +772,10 @@ ORDER BY n_replicas DESC, ds_replicas_sites LIMIT 50""",
 SELECT site_name, list_contains(string_split(ds_replicas_sites, ','), site_name) AS local,
        count(*) AS n_records FROM x GROUP BY ALL""",
     ),
-    "site_accounting": accounting(500),
+    "site_accounting": accounting(),
     "site_accounting_top": accounting(3),
-    "bucket_flatten": accounting(500),
-    "bucket_files": f"SELECT site, sum(bytes) AS bytes FROM ({accounting(500)}) GROUP BY site",
+    "bucket_flatten": accounting(),
+    "bucket_files": f"SELECT site, sum(bytes) AS bytes FROM ({accounting()}) GROUP BY site",
     "csv_union": sql(
         """
 SELECT jeditaskid, datasetname, site_name,
@@ -751,14 +785,21 @@ SELECT jeditaskid, datasetname, site_name,
     "csv_scan": sql(f"SELECT {RECORD} FROM access_log"),
     "csv_bad_lines": sql(
         """
-SELECT jeditaskid, number_of_jobs, datasetname FROM access_log WHERE jobstatus <> 'failed'"""
+SELECT jeditaskid, number_of_jobs, datasetname FROM access_log
+WHERE jobstatus <> 'failed' AND jeditaskid % 7 <> 0"""
     ),
     "upsert_by_task": UPSERT,
     "hourly_batches": UPSERT,
     "nested_text": sql(
         """
-SELECT jeditaskid, CASE WHEN jobstatus <> 'failed' THEN site_name END AS site,
-       CASE WHEN jobstatus <> 'failed' THEN number_of_jobs END AS n FROM access_log"""
+SELECT jeditaskid,
+  CASE WHEN jobstatus = 'failed' THEN NULL WHEN jeditaskid % 3 = 0 THEN site_name
+       WHEN jeditaskid % 3 = 1 THEN 'the "big" (None) ' || site_name
+       ELSE 'O''' || site_name END AS site,
+  CASE WHEN jobstatus <> 'failed' AND jeditaskid % 3 <> 1 THEN number_of_jobs END AS n,
+  CASE WHEN jobstatus = 'failed' OR jeditaskid % 3 = 2 THEN NULL ELSE jeditaskid % 3 = 0 END AS disk,
+  CASE WHEN jobstatus = 'failed' THEN '[{''site''' END AS unread
+FROM access_log"""
     ),
     "doc_id_dedup": sql(
         f"""
@@ -770,13 +811,14 @@ SELECT jeditaskid, datasetname, queue, number_of_jobs, site_name FROM (
     "document_ids": sql(
         """
 SELECT jeditaskid, datasetname, jobstatus,
-       sha256(concat_ws(chr(1), CAST(jeditaskid AS VARCHAR), datasetname, jobstatus)) AS doc_id
+       sha256(concat_ws(chr(1), CAST(jeditaskid AS VARCHAR),
+         coalesce(datasetname, chr(0)), jobstatus)) AS doc_id
 FROM access_log"""
     ),
     "json_records": sql(
         """
-SELECT '{"jeditaskid":' || CAST(jeditaskid AS VARCHAR) || ',"datasetname":"' || datasetname
-       || '"' || coalesce(',"queue":"' || queue || '"', '') || '}' AS doc FROM access_log"""
+SELECT '{"jeditaskid":' || CAST(jeditaskid AS VARCHAR)
+       || coalesce(',"datasetname":"' || datasetname || '"', '') || coalesce(',"queue":"' || queue || '"', '') || '}' AS doc FROM access_log"""
     ),
     "report_sheets": (
         "SELECT *, 'dashboard' AS report FROM ("

@@ -57,13 +57,13 @@ GEO_POINT = T.StructType(
     [T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]
 )
 
-REPLICA_INFO = T.ArrayType(
-    T.StructType([T.StructField("site", T.StringType()), T.StructField("n", T.LongType())])
-)
 
+def declared_schema(replica_info: T.DataType | None = None) -> T.StructType:
+    """The declared record as a Spark schema: no inference, dates without a zone.
 
-def declared_schema(replica_info: T.DataType = REPLICA_INFO) -> T.StructType:
-    """The declared record as a Spark schema: no inference, dates without a zone."""
+    The nested column has the caller's type, or stays text.
+    """
+    replica_info = replica_info or T.StringType()
     by_type = [
         (DATE_FIELDS, T.TimestampNTZType()),
         (LONG_FIELDS, T.LongType()),

@@ -232,5 +232,5 @@ def test_declared_schema_counts(spark):
         kinds[f.dataType.simpleString()[:13]] = kinds.get(f.dataType.simpleString()[:13], 0) + 1
     assert kinds["timestamp_ntz"] == 17
     assert (kinds["bigint"], kinds["smallint"], kinds["tinyint"], kinds["double"]) == (27, 5, 2, 2)
-    assert kinds["string"] == 19 + 14
+    assert kinds["string"] == 19 + 14 + 1
     spark.createDataFrame([], fields)

@@ -74,7 +74,7 @@ def test_empty_tables_give_empty_results(spark):
         gt.place_shares(df, "site"),
         gt.placement(df, advice, "cloud"),
         gt.rolling_advice(moved),
-        gt.advice_outcome(gt.rolling_advice(moved)),
+        gt.advice_outcome(gt.rolling_advice(moved), gt.rolling_calendar(moved)),
     ):
         assert result.collect() == []
 
@@ -118,15 +118,18 @@ def test_shares_sum_to_one_and_cover_every_place(spark):
         for _ in range(200)
     ] + [("idle", 99, "u", 300, 1, "S4", "C3")]  # only at the very end: in no interval
     df = log(spark, rows)
-    for place, count in (("cloud", 3), ("site", 4)):
-        shares = gt.place_shares(df, place)
-        per = shares.groupBy("datasetname").agg(
+    for place, places in (("cloud", ["C1", "C2", "C3"]), ("site", ["S1", "S2", "S3", "S4"])):
+        used = gt.place_shares(df, place).collect()
+        assert all(r.weighted_accesses > 0 for r in used)
+        assert {r.datasetname for r in used} == {"a", "b", "c"}
+        dense = gt.place_shares(df, place, places=places)
+        assert {tuple(r) for r in used} <= {tuple(r) for r in dense.collect()}
+        per = dense.groupBy("datasetname").agg(
             F.count(F.lit(1)).alias("n"), F.sum(f"x_{place}s").alias("total")
         )
         got = by(per)
-        assert all(r["n"] == count for r in got.values())
+        assert all(r["n"] == len(places) for r in got.values())
         assert got["a"]["total"] == pytest.approx(1)
-        assert got["idle"]["total"] is None
     # a task may use several sites, so site use is never below the dataset's own
     site = gt.place_shares(df, "site").groupBy("datasetname").agg(
         F.sum("weighted_accesses").alias("w"), F.max("ds_avg_access_frequency").alias("af")
@@ -142,7 +145,10 @@ def test_placement_leaves_out_idle_datasets(spark):
     ]
     df = log(spark, rows)
     prior = gt.replication_advice(df)
-    got = {(r.datasetname, r.cloud): r for r in gt.placement(df, prior, "cloud").collect()}
+    used = gt.placement(df, prior, "cloud").collect()
+    assert [(r.datasetname, r.cloud) for r in used] == [("b", "C1")]
+    rows = gt.placement(df, prior, "cloud", places=["C1", "C2"]).collect()
+    got = {(r.datasetname, r.cloud): r for r in rows}
     assert set(got) == {(d, c) for d in "ab" for c in ("C1", "C2")}
     assert got["a", "C1"].replicas_at_cloud is None  # used, but at no known cloud
     assert got["b", "C1"].datasetAF_cloud > 0
@@ -177,13 +183,12 @@ def test_most_popular_and_filter(spark):
 
 
 def loops_over_windows(rows, length=60 * 86400, step=7 * 86400, n=8):
-    """The window loop spelled out."""
+    """The window loop spelled out: datasets with a record in the window."""
     from math import exp
 
-    rows = [r for r in rows if r[0] is not None]
     timed = [(r[0], r[1], r[2], int(r[3] * 3600), r[4]) for r in rows if r[3] is not None]
     start, end = min(r[3] for r in timed), max(r[3] for r in timed)
-    names = sorted({r[0] for r in rows})
+    names = sorted({r[0] for r in rows if r[0] is not None})
     out, cur = {}, start
     while cur < end:
         part = [r for r in timed if cur <= r[3] < cur + length]
@@ -202,6 +207,8 @@ def loops_over_windows(rows, length=60 * 86400, step=7 * 86400, n=8):
             group = sum(af.values()) / (n * len(names))
             for d in names:
                 mine = [r for r in part if r[0] == d]
+                if not mine:
+                    continue
                 newest = max((r[3] for r in mine), default=None)
                 seen = [r[4] for r in mine if r[3] == newest and r[4] is not None]
                 best = round(round(af[d] / n / group, 9)) if group else None
@@ -226,7 +233,7 @@ def test_rolling_advice_against_the_loop(spark, seed, spread):
             rng.choice([None, 1, 2, 3]),
         )
         for _ in range(60)
-    ] + [("never", 1, "u", None, 4)]
+    ] + [("never", 1, "u", None, 4), (None, 2, "u", -30, 1), (None, 3, "u", spread + 50, 1)]
     df = log(spark, rows).withColumnRenamed("attempt_start", "task_modificationtime")
     first = df.agg(F.min("task_modificationtime").alias("t")).first().t
     got = {
@@ -249,6 +256,11 @@ def weekly(spark, rows):
     return spark.createDataFrame(data, WEEKLY_ADVICE_DDL + ", window_start timestamp_ntz")
 
 
+def calendar(spark, group):
+    rows = [(at(24 * 7 * w), at(24 * 7 * w), g) for w, g in enumerate(group)]
+    return spark.createDataFrame(rows, "timestamp timestamp_ntz, window_start timestamp_ntz, groupAF double")
+
+
 def outcome_by_hand(windows):
     """windows: newest last, (suggested, real)."""
     real, later = [], None
@@ -276,14 +288,26 @@ def test_outcome_against_the_difference_sum(spark):
         for j in range(60)
     }
     rows = [(d, w, s, r) for d, ws in cases.items() for w, (s, r) in enumerate(ws)]
-    got = by(gt.advice_outcome(weekly(spark, rows)))
-    assert {d: got[d]["replicas_created_simul"] for d in cases} == {
-        d: outcome_by_hand(ws) for d, ws in cases.items()
-    }
+    # A dataset that has no row for a window had no use there: one replica is advised.
+    for n in (6, 8):
+        got = by(gt.advice_outcome(weekly(spark, rows), calendar(spark, [1.0] * n)))
+        assert {d: got[d]["replicas_created_simul"] for d in cases} == {
+            d: outcome_by_hand(ws + [(1.0, None)] * (n - len(ws))) for d, ws in cases.items()
+        }
+    holes = [r for r in rows if (r[1] + int(r[0][1:])) % 3]
+    kept = {d: [c if (w + int(d[1:])) % 3 else (1.0, None) for w, c in enumerate(ws)] for d, ws in cases.items()}
+    got = by(gt.advice_outcome(weekly(spark, holes), calendar(spark, [1.0] * 6)))
+    assert all(
+        r["replicas_created_simul"] == outcome_by_hand(kept[d] + [(1.0, None)] * (6 - len(kept[d])))
+        for d, r in got.items()
+    )
+    got = by(gt.advice_outcome(weekly(spark, rows), calendar(spark, [1.0] * 5 + [0.0])))
+    assert all(got[d]["replicas_created_simul"] is None for d, ws in cases.items() if len(ws) < 6)
 
 
 def test_outcome_columns(spark):
-    got = by(gt.advice_outcome(weekly(spark, [("a", 0, 2.0, 1), ("a", 1, 6.0, 3)])))["a"]
+    rows = weekly(spark, [("a", 0, 2.0, 1), ("a", 1, 6.0, 3)])
+    got = by(gt.advice_outcome(rows, calendar(spark, [1.0, 1.0])))["a"]
     assert got["total_n_accesses"] == 2
     assert got["total_n_users"] == 2
     assert got["replicas_created_real"] == 3
@@ -413,6 +437,11 @@ def test_pivot_wide_and_repeated_cells(spark):
     assert wide == {"p": (1.0, 2.0), "q": (3.0, None)}
     assert utilisation.repeated_cells(long, ["p"], "c").count() == 0
     assert utilisation.repeated_cells(long.union(long.limit(1)), ["p"], "c").count() == 1
+    with pytest.raises(Exception, match="not among the listed columns"):
+        gt.pivot_wide(long, ["p"], "c", ["C1"]).collect()
+    with pytest.raises(Exception, match="more than one value"):
+        gt.pivot_wide(long.union(long.limit(1)), ["p"], "c", ["C1", "C2"]).collect()
+    assert gt.pivot_wide(long, ["p"], "c").columns == ["p", "C1", "C2"]
 
 
 # --- sites ------------------------------------------------------------------------

@@ -4,10 +4,10 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_point
+from gridtally.plans.catalog import QUERIES
+from gridtally.plans.oracle import ORACLE_SQL as ORACLE
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")

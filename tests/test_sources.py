@@ -64,6 +64,17 @@ def test_bad_lines(spark, folder):
     assert rows_of(got) == [(1, "a"), (3, None)]
     assert got.count() == 2  # whichever columns are read
     assert got.select("jeditaskid").count() == 2
+    lines = ["jeditaskid,a,b", "1,x,", "1,x,,", "1,x,,,5", '2,"p,q",z', "3"]
+    wide = "jeditaskid bigint, a string, b string"
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}-2")
+    got = files.read_csv(spark, f"{folder}-2", wide, drop_bad_lines=True)
+    assert rows_of(got) == sorted([(1, "x", None), (2, "p,q", "z"), (3, None, None)], key=repr)
+    spark.createDataFrame([("jeditaskid,name",), ("abc,x",)], "value string").coalesce(1).write.text(f"{folder}-3")
+    with pytest.raises(Exception, match="does not fit its type"):
+        files.read_csv(spark, f"{folder}-3", ddl, drop_bad_lines=True).collect()
+    with pytest.raises(Exception):
+        stream = hourly.read_hourly(spark, f"{folder}-3", ddl)
+        hourly.start(stream, f"{folder}-log", f"{folder}-cp").awaitTermination()
     with pytest.raises(Exception):
         files.read_csv(spark, folder, ddl).collect()
 
@@ -107,13 +118,21 @@ def test_replace_by_task(spark):
 
 def test_clean_batch(spark):
     df = spark.createDataFrame(
-        [(float("nan"), "[{'site':'A','n':2}]"), (1.5, "[{'site'")],
+        [
+            (float("nan"), "[{'site':'A','n':2}]"),
+            (1.5, "[{'site'"),
+            (2.0, "({'site': \"O'Neil (None)\", 'n': None},)"),
+            (2.5, "[{'site': 'say \\'hi\\', \"True\"', 'n': 3,},]"),
+            (3.0, None),
+        ],
         "x double, ds_replicas_info string",
     )
-    got = gt.clean_batch(df).collect()
-    assert [r.x for r in got] == [None, 1.5]
-    assert [(e.site, e.n) for e in got[0].ds_replicas_info] == [("A", 2)]
-    assert not any(e.site for e in got[1].ds_replicas_info or [] if e)
+    got = gt.clean_batch(df, "array<struct<site:string,n:bigint>>").collect()
+    assert [r.x for r in got] == [None, 1.5, 2.0, 2.5, 3.0]
+    found = [[(e.site, e.n) for e in r.ds_replicas_info or ()] for r in got]
+    assert found == [[("A", 2)], [], [("O'Neil (None)", None)], [("say 'hi', \"True\"", 3)], []]
+    assert [r.ds_replicas_info_unread for r in got] == [None, "[{'site'", None, None, None]
+    assert [r.ds_replicas_info for r in gt.clean_batch(df).collect()][1] == "[{'site'"
 
 
 def test_document_ids(spark):
