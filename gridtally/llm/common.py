@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names; where it names none, one of our own is set."""
-    context = spark.sparkContext
-    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
-    if folder is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+from gridtally.sources.workspace import fresh_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written once to the shared folder and read back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
