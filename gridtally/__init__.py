@@ -1,6 +1,6 @@
 """Dataset popularity, replica advice and resource use from data-access records."""
 
-from .operators.accounting import flatten_buckets, nest_buckets, site_accounting
+from .operators.accounting import flatten_buckets, site_accounting
 from .operators.extracts import prepared_extract, subset_extract, training_extract
 from .operators.frequency import (
     advice_by_project,
@@ -48,7 +48,6 @@ __all__ = [
     "metric_pivot",
     "most_popular",
     "multi_user",
-    "nest_buckets",
     "next_period_validation",
     "overall_popularity",
     "pivot_wide",

@@ -61,23 +61,3 @@ def flatten_buckets(answers: DataFrame, json_col: str, start: str) -> DataFrame:
         *names,
         F.col("node")[BUCKET_VALUE]["value"].alias("bytes"),
     )
-
-
-def nest_buckets(flat: DataFrame, answer_levels: int = 2) -> DataFrame:
-    """The inverse: nested answers as JSON text in ``answer``.
-
-    There is one answer per site and type (the first ``answer_levels`` levels), so
-    no answer gathers a whole site. Every list holds the keys of one level under
-    one parent.
-    """
-    names = [name for _, name in BUCKET_LEVELS]
-    field = BUCKET_VALUE
-    df = flat.select(*names, F.struct(F.col("bytes").alias("value")).alias("inner"))
-    for depth in reversed(range(len(names))):
-        bucket = F.struct(F.col(names[depth]).alias("key"), F.col("inner").alias(field))
-        field = BUCKET_LEVELS[depth][0]
-        df = df.groupBy(*names[: max(depth, answer_levels)]).agg(
-            F.struct(F.collect_list(bucket).alias("buckets")).alias("inner")
-        )
-    aggregations = F.struct(F.struct(F.col("inner").alias(field)).alias("aggregations"))
-    return df.select(F.to_json(F.struct(F.array(aggregations).alias("responses"))).alias("answer"))

@@ -482,7 +482,7 @@ def site_accounting_top(spark, sf_dir):
 
 @query
 def bucket_flatten(spark, sf_dir):
-    answers = gt.nest_buckets(_accounting(spark, sf_dir))
+    answers = fixtures.nest_buckets(_accounting(spark, sf_dir))
     path = workspace.fresh_path(spark, "answers")
     answers.write.text(path)
     return gt.flatten_buckets(spark.read.text(path), "value", ACCOUNTING_FROM)
@@ -491,7 +491,7 @@ def bucket_flatten(spark, sf_dir):
 @query
 def bucket_files(spark, sf_dir):
     path = workspace.fresh_path(spark, "answers")
-    gt.nest_buckets(_accounting(spark, sf_dir)).write.text(path)
+    fixtures.nest_buckets(_accounting(spark, sf_dir)).write.text(path)
     answers = spark.read.schema(bucket_tree_ddl()).json(path)
     as_text = answers.select(F.to_json(F.struct("*")).alias("answer"))
     flat = gt.flatten_buckets(as_text, "answer", ACCOUNTING_FROM)

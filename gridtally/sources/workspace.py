@@ -1,39 +1,23 @@
-"""Tables handed from one step to the next through the cluster's shared folder."""
+"""Folders that every executor can reach, for tables that are written and read back."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; a temporary one only where Spark runs locally."""
-    context = spark.sparkContext
-    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"{SETTING} must name a folder that every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="gridtally-"))
-    return context.getCheckpointDir()
+    """The folder that the session names, or else one below its warehouse.
+
+    Both are the cluster's own shared storage; no machine's temporary folder is used.
+    """
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def handoff(df: DataFrame, name: str) -> DataFrame:
-    """Write the table once and go on from the files.
-
-    Steps that read a derived table several times then scan few columns of small
-    files instead of repeating its joins, and a lost executor costs no recomputation
-    beyond the running stage.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import gridtally as gt
 from gridtally.operators import frequency, rolling, utilisation
+from gridtally.plans import fixtures
 from gridtally.schema import ACCESS_LOG_DDL, WEEKLY_ADVICE_DDL
 
 DAY = dt.datetime(2021, 2, 1)
@@ -495,7 +496,7 @@ def test_flatten_undoes_nest(spark):
     )
     names = flat.columns
     for levels in (1, 2, 4):
-        answers = gt.nest_buckets(flat, levels)
+        answers = fixtures.nest_buckets(flat, levels)
         assert answers.count() == flat.select(*names[:levels]).distinct().count()
         back = gt.flatten_buckets(answers, "answer", "2021-03-01 00:00:00")
         got = sorted(map(tuple, back.select(*names).collect()))

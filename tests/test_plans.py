@@ -74,3 +74,17 @@ def test_accesses_are_spread_over_tasks_and_shuffled_once(spark, tmp_path):
 def test_duplicate_ids_are_cut_before_the_shuffle(spark):
     text = plan(QUERIES["doc_id_dedup"](spark, SF))
     assert re.search(r"WindowGroupLimit .*Partial", text)
+
+
+@pytest.mark.parametrize("name", [*JOBS, "metric_pivot", "inventory_and_processing", "backfill"])
+def test_building_a_plan_starts_no_job(spark, name):
+    spark.sparkContext.setJobGroup(f"plan of {name}", "")
+    QUERIES[name](spark, SF)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"plan of {name}")
+
+
+def test_large_ranks_run_in_parts(spark):
+    """Beyond a thousand Spark no longer cuts a rank's rows before the shuffle."""
+    log = access_log(spark, SF)
+    text = plan(gt.metric_pivot(log, "number_of_jobs", "sum", by="datasetname", limit=2000))
+    assert re.search(r"Window \[row_number\(\) windowspecdefinition\(site_cloud#\d+, _part#\d+", text)

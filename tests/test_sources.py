@@ -99,12 +99,10 @@ def test_month_folders_are_pruned(spark, folder):
     assert "PartitionFilters: [isnotnull(month" in got._jdf.queryExecution().toString()
 
 
-def test_handoff_cuts_lineage(spark):
-    df = spark.range(100).withColumn("x", F.col("id") * 2)
-    back = workspace.handoff(df, "numbers")
-    assert back.dtypes == df.dtypes
-    assert rows_of(back) == rows_of(df)
-    assert "Range" not in back._jdf.queryExecution().toString()
+def test_shared_folder_is_the_sessions(spark):
+    named = spark.conf.get(workspace.SETTING, None) or spark.sparkContext.getCheckpointDir()
+    assert workspace.shared_folder(spark) == named
+    assert workspace.fresh_path(spark, "x") != workspace.fresh_path(spark, "x")
 
 
 def test_replace_by_task(spark):
