@@ -632,6 +632,31 @@ def hourly_batches(spark, sf_dir):
     return hourly.current_records(spark.read.parquet(f"{path}/log"))
 
 
+@query
+def replace_stored(spark, sf_dir):
+    """A batch written over a log stored by month, which is then read whole."""
+    log = access_log(spark, sf_dir).select(*RECORD, "task_modificationtime")
+    earlier = F.col("task_modificationtime") < moment(CUT)
+    path = workspace.fresh_path(spark, "log")
+    files.write_log(log.where(earlier), path)
+    files.replace_in_log(spark, path, log.where(~earlier))
+    return spark.read.parquet(path).select(*RECORD)
+
+
+@query
+def hourly_compacted(spark, sf_dir):
+    """Batches of three spans, the last two replacing tasks, compacted before they are read."""
+    log = access_log(spark, sf_dir).select(*RECORD, "task_modificationtime")
+    when = F.col("task_modificationtime")
+    first, cut = moment("1999-01-01 00:00:00"), moment(CUT)
+    path = workspace.fresh_path(spark, "hourly")
+    store = hourly.append_batch(path)
+    for number, part in enumerate((when < first, (when >= first) & (when < cut), when >= cut)):
+        store(log.where(part).select(*RECORD), number)
+    hourly.compact(spark, path)
+    return hourly.current_records(spark.read.parquet(path))
+
+
 # --- single expressions ---------------------------------------------------------------
 
 

@@ -790,6 +790,15 @@ WHERE jobstatus <> 'failed' AND jeditaskid % 7 <> 0"""
     ),
     "upsert_by_task": UPSERT,
     "hourly_batches": UPSERT,
+    "replace_stored": UPSERT,
+    "hourly_compacted": sql(
+        f"""
+SELECT {RECORD} FROM (
+  SELECT *, max(part) OVER (PARTITION BY jeditaskid) AS newest FROM (
+    SELECT *, CASE WHEN {T} < TIMESTAMP '1999-01-01 00:00:00' THEN 0
+                   WHEN {T} < TIMESTAMP '{CUT}' THEN 1 ELSE 2 END AS part FROM access_log))
+WHERE part = newest"""
+    ),
     "nested_text": sql(
         """
 SELECT jeditaskid,

@@ -162,6 +162,30 @@ def test_hourly_stream_equals_repeated_replacement(spark, folder):
     hourly.append_batch(f"{folder}/log")(spark.createDataFrame(batches[2], ddl), 2)
     again = hourly.current_records(spark.read.parquet(f"{folder}/log"))
     assert rows_of(again.select("jeditaskid", "name")) == rows_of(target)
+    # nor does compaction, which leaves one older batch
+    loose = spark.createDataFrame([(None, "loose")], ddl)
+    hourly.append_batch(f"{folder}/log")(loose, 3)
+    hourly.append_batch(f"{folder}/log")(spark.createDataFrame([(3, "c4")], ddl), 4)
+    before = rows_of(hourly.current_records(spark.read.parquet(f"{folder}/log")))
+    for _ in range(2):
+        hourly.compact(spark, f"{folder}/log")
+        log = spark.read.parquet(f"{folder}/log")
+        assert rows_of(hourly.current_records(log)) == before
+        assert {r.batch_id for r in log.select("batch_id").distinct().collect()} == {3, 4}
+
+
+def test_replace_in_log_rewrites_touched_months(spark, folder):
+    def day(m):
+        return dt.datetime(2021, m, 5)
+
+    ddl = "jeditaskid bigint, name string, task_modificationtime timestamp_ntz"
+    old = [(1, "a", day(1)), (2, "b", day(2)), (3, "c", day(3)), (4, "d", day(3)), (5, "e", None)]
+    files.write_log(spark.createDataFrame(old, ddl), folder)
+    batch = [(2, "b2", day(4)), (3, "c2", day(3)), (5, "e2", day(4))]
+    for _ in range(2):
+        files.replace_in_log(spark, folder, spark.createDataFrame(batch, ddl))
+        got = spark.read.parquet(folder).select("jeditaskid", "name")
+        assert rows_of(got) == [(1, "a"), (2, "b2"), (3, "c2"), (4, "d"), (5, "e2")]
 
 
 def test_json_records(spark, folder):
