@@ -17,7 +17,7 @@ Shape of every job here:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import (
@@ -323,8 +323,9 @@ def place_use(
     else:
         profile = profile.where(F.col("weight") > 0)
     rows = profile.where(F.col("_place").isNotNull())
-    totals = rows.groupBy(DATASET).agg(F.sum("weight").alias("_total"))
-    return rows.select(DATASET, "_place", F.col("weight").alias("_use")).join(totals, DATASET)
+    # As many rows as a dataset has places meet here.
+    total = F.sum("weight").over(Window.partitionBy(DATASET)).alias("_total")
+    return rows.select(DATASET, "_place", F.col("weight").alias("_use"), total)
 
 
 def place_shares(

@@ -124,8 +124,12 @@ def use_per_window(visits: DataFrame, windows: DataFrame, axis: _Axis, n: int) -
 
 
 def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Visits, use per (window, dataset), and the calendar with each window's group average."""
-    visits = distinct_visits(df, time_col)
+    """Visits, use per (window, dataset), and the calendar with each window's group average.
+
+    Visits and use are read several times and kept by the executors, in memory or on disk;
+    what a lost executor held is computed again.
+    """
+    visits = distinct_visits(df, time_col).persist()
     windows = window_bounds(visits, axis)
     weighted = [F.col(f"n_{j}") * audience_weight(F.col(f"u_{j}")) for j in range(n)]
     use = use_per_window(visits, windows, axis, n).select(
@@ -135,7 +139,7 @@ def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tupl
         F.col(f"n_{n - 1}").alias("accesses"),
         F.col(f"u_{n - 1}").alias("users"),
         "code",
-    )
+    ).persist()
     n_datasets = visits.agg(F.countDistinct(DATASET)).scalar()
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     totals = use.groupBy("k").agg(F.sum("af").alias("total"))
