@@ -191,7 +191,7 @@ DIGIT_WORDS = {
 SIGN_WORDS = {"plus": "+", "más": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9]+)"
 SIGN = "(?:" + "|".join(sorted(SIGN_WORDS, key=len, reverse=True)) + ")"
-BETWEEN = r"(?:[ \t]*,[ \t]*|[ \t]+|-)"
+BETWEEN = r"(?:[ \t]*[,()-][ \t]*[()-]?[ \t]*|[ \t]+)"
 #: Four spoken digits or more in a row; a plus may lead, dots may stand between.
 SPOKEN = re.compile(
     rf"(?<!\w)(?:(?:plus|más|\+)(?:{BETWEEN})?)?{DIGIT}(?!\w)(?:{BETWEEN}(?:{SIGN}{BETWEEN})?{DIGIT}(?!\w)){{3,}}",
@@ -218,7 +218,9 @@ def hinted(text: str) -> bool:
     lower = text.lower()
     if any(hint in lower for hint in HINTS) or SPELLED_AT.search(lower):
         return True
-    words = lower.replace(",", " ").replace("-", " ").split()
+    for sign in ",-()":
+        lower = lower.replace(sign, " ")
+    words = lower.split()
     return b"\1\1\1\1" in bytes(map(SPOKEN_WORDS.__contains__, words))
 
 
