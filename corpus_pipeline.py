@@ -14,7 +14,7 @@ from gridtally.llm.private import redacted
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that one learned language fills for the most part; the others go."""
+    """Documents of which a learned language has 0.3 at least; the others go."""
     return in_known_language(docs)
 
 

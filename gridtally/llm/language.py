@@ -242,10 +242,11 @@ def language_mixture(
     return rows.select("doc_id", "held_out", f"{MIXTURE}.*")
 
 
-def in_known_language(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
+def in_known_language(docs: DataFrame, *, least: float = 0.3) -> DataFrame:
     """The rows, with all columns, that a learned language fills to ``least`` of the words.
 
-    Rows without letters, and texts of several languages of which none has that share, go.
+    Rows without letters, and texts of many languages of which none has that share, go; a
+    text half in one language and half in another stays.
     The model is learned from ``docs``.
     """
     mixture = with_mixture(docs, *learn(docs))
