@@ -144,8 +144,9 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     n = rows.count()
     groups = max(1, -(-n // VECTOR_BLOCK))
     blocks = max(1, -(-n // every // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
+    # Both sides' keys must have one type, or equal numbers go to different tasks.
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
     everyone = rows.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asking = rows.where(F.col("vec_id") % every == 0).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), block.alias("block")

@@ -233,6 +233,22 @@ def test_fertility_bands(spark):
     assert rows[3].byte_share == 0 and rows[3].chars_per_token > 2
 
 
+def test_neighbours_of_many_blocks(spark, monkeypatch):
+    from gridtally.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "VECTOR_BLOCK", 150)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
+    vectors = np.random.default_rng(6).standard_normal((1_000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in nearest(frame).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    best = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 1000, 50)}
+    assert set(found) == set(best) and all(len(v) == 5 for v in found.values())
+    assert sum(len(best[q] & found[q]) for q in best) >= 0.95 * 5 * len(best)
+
+
 def test_neighbours_recall_ties_and_unusable_rows(spark, empty):
     rng = np.random.default_rng(4)
     vectors = rng.standard_normal((2_000, 32)).astype(np.float32)
