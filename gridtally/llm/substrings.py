@@ -28,9 +28,9 @@ from gridtally.llm.words import dealt, split_words, windows, word_hashes
 WINDOW = 20
 #: Probes that are sorted at once and that a task of the index holds, about; bytes of
 #: text that a task of the comparison holds, about.
-CHUNK = 1_500_000
+CHUNK = 800_000
 BUCKET = 2_000_000
-TEXTS = 16_000_000
+TEXTS = 8_000_000
 #: Stands for a NULL doc_id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -61,7 +61,9 @@ class Rows:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def places(self, kind: int, bucket: int, dest: int, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+    def places(
+        self, kind: int, bucket: int, dest: int, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray
+    ) -> None:
         """One row of entries (hash, id, place), in order of id and place."""
         order = np.lexsort([at, ids])
         ids, at = ids[order], at[order].astype(np.uint32)
@@ -151,6 +153,8 @@ def probes(docs: DataFrame, block: int, buckets: int, parts: int) -> DataFrame:
             keep[order[edges + 1]] = True
             h, ids, at = h[keep], ids[keep], at[keep]
             order, edges = dealt(h, buckets)
+            # With the bits that a bucket stands for, 32 are enough to find anchors: one that
+            # is none only adds windows to compare, about one for ten thousand probes.
             short = (h // np.uint64(buckets)).astype(np.uint32)
             for b in np.flatnonzero(np.diff(edges)):
                 mine = order[edges[b] : edges[b + 1]]
@@ -188,20 +192,43 @@ def met(sent: DataFrame, block: int, buckets: int, parts: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, SCHEMA)
 
 
+def text_row(bucket: int, dest: int, ids: list[int], texts: list[bytes], squeeze: zstandard.ZstdCompressor) -> tuple:
+    """Texts of one destination in one blob: together they compress better than alone."""
+    sizes = np.array([len(t) for t in texts], np.uint32)
+    blob = squeeze.compress(b"".join(texts))
+    return TEXT, bucket, dest, blob, by_byte(sizes), by_byte(np.array(ids, np.int64)), b""
+
+
+def texts_of(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """Ids and texts of the TEXT rows."""
+    grow = zstandard.ZstdDecompressor()
+    columns = (table.column(n).to_pylist() for n in ("kind", "hashes", "places", "ids"))
+    for kind, blob, sizes, ids in zip(*columns, strict=True):
+        if kind == TEXT:
+            raw, at = grow.decompress(blob), 0
+            for doc, size in zip(from_bytes(ids, np.int64).tolist(), from_bytes(sizes, np.uint32).tolist(), strict=True):
+                yield doc, raw[at : at + size]
+                at += size
+
+
 def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
-    """TEXT rows by destination: the id in ids, the compressed text in hashes."""
+    """TEXT rows by destination, one for each batch and destination."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            dest = destination(batch.column(0).to_numpy(), parts)
-            texts = [squeeze.compress((t.as_py() or "").encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(dest), batch.column(0).cast(pa.int64()), pa.array(texts, pa.binary())],
-                names=["dest", "doc", "text"],
-            )
+            ids = batch.column(0).to_numpy()
+            dest = destination(ids, parts)
+            order = np.argsort(dest, kind="stable")
+            edges = runs(dest[order])
+            rows = Rows()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                mine = order[a:b].tolist()
+                texts = [(batch.column(1)[k].as_py() or "").encode() for k in mine]
+                rows.rows.append(text_row(0, int(dest[mine[0]]), ids[mine].tolist(), texts, squeeze))
+            yield rows.batch()
 
-    return docs.mapInArrow(pack, "dest long, doc long, text binary")
+    return docs.mapInArrow(pack, SCHEMA)
 
 
 def by_id(ids: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
@@ -234,12 +261,11 @@ def around_anchors(texts: DataFrame, flags: DataFrame, window: int, buckets: int
         rows = Rows()
         _, ids, at = entries(right, FLAG, None)
         wanted = by_id(ids, at)
-        names, found, places = [], [], []
-        grow = zstandard.ZstdDecompressor()
-        for doc, blob in zip(left.column("doc").to_pylist(), left.column("text").to_pylist(), strict=True):
+        names, found, places, texts = [], [], [], []
+        for doc, text in texts_of(left):
             if doc not in wanted:
                 continue
-            h = windows(word_hashes(grow.decompress(blob).split()), window)
+            h = windows(word_hashes(text.split()), window)
             if not len(h):
                 continue
             anchor = wanted[doc]
@@ -251,9 +277,11 @@ def around_anchors(texts: DataFrame, flags: DataFrame, window: int, buckets: int
                 names.append(np.full(len(near), doc, np.int64))
                 found.append(h[near])
                 places.append(near)
-                where = int(destination(np.array([doc]), parts)[0])
-                rows.rows.append((TEXT, where % buckets, where, blob, b"", by_byte(np.array([doc], np.int64)), b""))
+                texts.append(text)
         if names:
+            where = left.column("dest")[0].as_py()
+            docs = [int(n[0]) for n in names]
+            rows.rows.append(text_row(where % buckets, where, docs, texts, zstandard.ZstdCompressor(level=3)))
             h, ids, at = map(np.concatenate, (found, names, places))
             first, late = later(h, ids, at)
             rows.spread(FLAG, ids[late], at[late], parts, buckets)
@@ -292,14 +320,11 @@ def cut(found: DataFrame, window: int) -> DataFrame:
     def apply(table: pa.Table) -> pa.Table:
         _, ids, at = entries(table, FLAG, None)
         wanted = by_id(ids, at)
-        chosen = table.filter(pc.equal(table.column("kind"), TEXT))
         out: dict[tuple[int, str], tuple[int, str, str]] = {}
-        grow = zstandard.ZstdDecompressor()
-        for blob, name in zip(chosen.column("hashes").to_pylist(), chosen.column("ids").to_pylist(), strict=True):
-            doc = int(from_bytes(name, np.int64)[0])
+        for doc, text in texts_of(table):
             if doc not in wanted:
                 continue
-            words = grow.decompress(blob).split()
+            words = text.split()
             step = np.zeros(len(words) + 1, np.int64)
             late = wanted[doc][wanted[doc] + window <= len(words)]
             np.add.at(step, late, 1)
