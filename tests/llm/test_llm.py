@@ -249,6 +249,27 @@ def test_neighbours_of_many_blocks(spark, monkeypatch):
     assert sum(len(best[q] & found[q]) for q in best) >= 0.95 * 5 * len(best)
 
 
+def test_fertility_rejects_noise(spark):
+    rng = np.random.default_rng(4)
+    words = """the house on a hill was built by people who came from sea and never went back because their
+    children had found work in small towns where every winter brought snow rain long nights stories songs""".split()
+    clean = [" ".join(rng.choice(words, 150)) for _ in range(60)]
+    scrambled = [" ".join("".join(rng.permutation(list(w))) for w in rng.choice([w for w in words if len(w) > 3], 150)) for _ in range(4)]
+    code = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    base64 = [" ".join("".join(rng.choice(code, 64)) for _ in range(80)) for _ in range(4)]
+    fallback = [" ".join("".join(chr(c) for c in rng.integers(0x13A0, 0x13F0, 6)) for _ in range(80)) for _ in range(4)]
+    texts = [*clean, *scrambled, *base64, *fallback]
+    rows = fertility_rules(table(spark, texts), PIECES).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in rows)
+    assert sum(r.kept for r in rows[:60]) >= 58 and not any(r.kept for r in rows[60:])
+    # Copies of one text, however many, leave the bands of the others as they are.
+    copies = fertility_rules(table(spark, texts + clean[:1] * 300), PIECES).orderBy("doc_id").collect()
+    assert [r.kept for r in copies[: len(rows)]] == [r.kept for r in rows]
+    few = fertility_rules(table(spark, [clean[0], base64[0], fallback[0]]).drop("lang"), PIECES).orderBy("doc_id").collect()
+    assert [r.kept for r in few] == [True, False, False]
+
+
+
 def test_neighbours_recall_ties_and_unusable_rows(spark, empty):
     rng = np.random.default_rng(4)
     vectors = rng.standard_normal((2_000, 32)).astype(np.float32)
