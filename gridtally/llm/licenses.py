@@ -93,9 +93,10 @@ TEMPLATES = [
     ),
 ]
 
-#: A file looks up this many of its licence words, those in the fewest documents.
+#: A file looks up this many of its words for each template, those in the fewest documents,
+#: and all words of the phrases that the template must hold.
 RAREST = 8
-#: So many of them must stand as in the template, relative to each other.
+#: So many of a template's places must stand as in the template, relative to each other.
 VOTES = 3
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,9 +137,10 @@ def license_scan(
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. A
     NULL or empty text has no words, no places (first_word and last_word NULL), empty
-    labels and score 0. ``score`` is 1 where a base phrase stands, else the share of the
-    file's looked-up words that stand as in its best template. Other columns of ``docs``
-    are not read; an empty table gives an empty result.
+    labels and score 0. ``score`` is 1 where a base phrase stands, else of its best template
+    the share of places, of the words looked up for it, that stand as in the template. Each
+    template is looked up by itself, so notices beside it and the text around it take no
+    label away. Other columns of ``docs`` are not read; an empty table gives an empty result.
 
     The words of all templates are the index, a list as long as the templates are. Texts
     are read once; what is kept of them is written: the base result, the licence words
@@ -204,32 +206,44 @@ def license_scan(
 def template_labels(
     stored: DataFrame, templates: list[tuple[str, str, list[str]]], rarest: int, votes: int
 ) -> DataFrame:
-    """row, found (labels) and share (of the looked-up words) of the files that match."""
+    """row, found (labels) and share (of the looked-up places) of the files that match."""
     spark = stored.sparkSession
     postings = spark.createDataFrame(
         [(w, t, q) for t, (_, text, _) in enumerate(templates) for q, w in enumerate(text.split())],
         "word string, template int, place int",
     )
+    keys = [{w for phrase in must for w in phrase.split()} for _, _, must in templates]
+    indexed = spark.createDataFrame(
+        [
+            (w, t, text.split().count(w), w in keys[t], len(keys[t]))
+            for t, (_, text, _) in enumerate(templates)
+            for w in sorted({*text.split(), *keys[t]})
+        ],
+        "word string, template int, places long, key boolean, keys long",
+    )
     frequency = stored.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
     files = stored.where(F.col("norm").isNotNull()).select("row", "known", "norm")
+    each = W.partitionBy("row", "template")
     looked_up = (
         files.select("row", F.explode("known").alias("word"))
         .join(frequency, "word")
-        .withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy("files", "word")))
-        .where(F.col("rank") <= rarest)
-        .select("row", "word")
+        .join(indexed, "word")
+        .withColumn("rank", F.row_number().over(each.orderBy("files", "word")))
+        .withColumn("held", F.count(F.when(F.col("key"), 1)).over(each))
+        .where((F.col("held") == F.col("keys")) & (F.col("key") | (F.col("rank") <= rarest)))
+        .select("row", "template", "word", "places")
     )
     placed = files.select("row", F.posexplode(F.split(F.trim("norm"), " ")).alias("at", "word"))
     aligned = (
         placed.join(looked_up, ["row", "word"])
-        .join(postings, "word")
+        .join(postings, ["template", "word"])
         .groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift"))
         .agg(F.countDistinct("place").alias("votes"))
         .where(F.col("votes") >= votes)
         .groupBy("row", "template")
         .agg(F.max("votes").alias("votes"))
     )
-    asked = looked_up.groupBy("row").agg(F.count("*").alias("asked"))
+    asked = looked_up.groupBy("row", "template").agg(F.sum("places").alias("asked"))
     verified = F.lit(False)
     label = F.lit(None).cast("string")
     for t, (name, _, must) in enumerate(templates):
@@ -241,10 +255,10 @@ def template_labels(
     return (
         aligned.join(files.select("row", "norm"), "row")
         .where(verified)
-        .join(asked, "row")
+        .join(asked, ["row", "template"])
         .groupBy("row")
         .agg(
             F.collect_set(label).alias("found"),
-            F.max(F.least(F.lit(1.0), F.col("votes") / F.col("asked"))).alias("share"),
+            F.max(F.col("votes") / F.col("asked")).alias("share"),
         )
     )

@@ -361,6 +361,23 @@ def test_license_scan(spark, real, awkward, empty):
     assert license_scan(empty).count() == 0
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    from gridtally.llm.licenses import TEMPLATES
+
+    notice = {name: text for name, text, _ in TEMPLATES}
+    others = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+    around = " ".join(f"{w} q" for w in others * 3)
+    files = [["mit", "apache"], ["mit", "bsd", "isc"], ["mit", "apache", "bsd", "mpl"], list(notice)]
+    texts = [" and then ".join(notice[n] for n in names) for names in files]
+    texts += [f"{around} {notice[n]} {around}" for n in notice]
+    rows = license_scan(table(spark, texts)).orderBy("doc_id").collect()
+    expected = [set(names) for names in files] + [{n} for n in notice]
+    for r, names in zip(rows, expected, strict=True):
+        # A share-alike notice holds the key phrase of the plain one.
+        extra = {"cc-by"} if "cc-by-sa" in names else set()
+        assert names <= set(r.labels.split(",")) <= names | extra and r.score == 1
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
