@@ -29,13 +29,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: its slots are ranges of the files written."""
+    """All documents in the order of the mix: its slots are ranges of the files written.
+
+    Packing reads that order from the files.
+    """
     return in_mixed_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
-    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The pieces of all documents, placed in sequences that follow the order of the documents."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ordered=True)
 
 
 STAGES = [

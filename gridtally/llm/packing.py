@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,13 +27,35 @@ from gridtally.llm.tokens import encoder, id_cache
 
 #: Pieces that one task numbers, about.
 NUMBERED = 100_000
+#: The column of a document's place in the order of its table, in pieces that have one.
+ORDER = "_order"
+#: So many low bits of it are within one range that a task numbers.
+RANGE_BITS = 16
 
 
-def token_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def stored_order(docs: DataFrame) -> Column:
+    """A bigint in the order of the files of ``docs``, as Spark names them, and of their rows.
+
+    A table that is not read from files has the order of its partitions.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    name = F.col("_metadata.file_name")
+    task, part = (F.regexp_extract(name, r"^part-(\d+)-.*?(?:-c(\d+))?\.", i) for i in (1, 2))
+    number = [F.coalesce(n.try_cast("bigint"), F.lit(0).cast("bigint")) for n in (task, part)]
+    return F.shiftleft(number[0], 44) + F.shiftleft(number[1], 34) + F.col("_metadata.row_index")
+
+
+def token_pieces(
+    docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, ordered: bool = False
+) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of at most ``capacity`` ids.
 
-    Returns doc_id, piece, start, length, ids_crc32. The first piece takes what the full
-    ones leave. A NULL text counts as empty; every row of ``docs`` gives a piece at least.
+    Returns doc_id, piece, start, length, ids_crc32, and ``ORDER`` where it is asked for. The first
+    piece takes what the full ones leave. A NULL text counts as empty; every row of ``docs``
+    gives a piece at least.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail = int(end_id).to_bytes(4, "little")
@@ -60,12 +83,14 @@ def token_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: in
                     pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()),
                     pa.array(crc, pa.int64()),
+                    *[c.take(pa.array(where, pa.int64())) for c in batch.columns[2:]],
                 ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", ORDER][: 5 + ordered],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    order = [stored_order(docs).alias(ORDER)] if ordered else []
+    return docs.select("doc_id", "text", *order).mapInArrow(
+        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + f", {ORDER} long" * ordered
     )
 
 
@@ -169,6 +194,9 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     rows are separate items. Places in a sequence are gapless from 0. An empty table gives
     an empty result. Columns named sequence_id or offset are replaced. ``pieces`` is read
     three times and should be a stored table.
+
+    Where there is a column ``ORDER``, pieces of a length take their places in its order, and
+    sequences are numbered in the order of their first pieces. It is not returned.
     """
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(n is None or not 1 <= n <= capacity for n in counts):
@@ -177,14 +205,16 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     salts = max(16, sum(counts.values()) // NUMBERED)
     pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    order = [ORDER] if ORDER in columns else []
+    salt = F.shiftright(ORDER, RANGE_BITS) if order else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))
+    salted = pieces.withColumn("_salt", salt)
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         salted.groupBy("length", "_salt")
         .agg(F.count("*").alias("_n"))
         .select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    within = W.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    within = W.partitionBy("length", "_salt").orderBy(*order, "doc_id", "piece")
     numbered = salted.withColumn("_row", F.row_number().over(within)).join(starts, ["length", "_salt"])
     k = (F.col("_before") + F.col("_row") - 1).alias("_k")
     ready = numbered.select(*columns, k)
@@ -208,9 +238,33 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ready.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    placed = ready.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    return sequences_in_order(placed) if order else placed
+
+
+def sequences_in_order(placed: DataFrame) -> DataFrame:
+    """Placed pieces with their sequences numbered anew, by ``ORDER`` of the piece at offset 0."""
+    placed = written(placed, "placed")
+    heads = placed.where(F.col("offset") == 0).select(
+        F.shiftright(ORDER, RANGE_BITS).alias("_range"), ORDER, "piece", F.col("sequence_id").alias("_old")
+    )
+    # A row for each range of the order: of the files, and of every 65,536 rows in one.
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        heads.groupBy("_range")
+        .agg(F.count("*").alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    )
+    own = F.row_number().over(W.partitionBy("_range").orderBy(ORDER, "piece", "_old")) - 1
+    numbers = heads.withColumn("_own", own).join(starts, "_range").select("_old", (F.col("_before") + F.col("_own")).alias("_new"))
+    return (
+        placed.join(numbers, placed["sequence_id"] == numbers["_old"])
+        .withColumn("sequence_id", F.col("_new"))
+        .select(*[c for c in placed.columns if c != ORDER])
+    )
 
 
-def packed_documents(docs: DataFrame, path: str, *, capacity: int = 2048) -> DataFrame:
-    """Pieces of all documents with their places, tokenised once."""
-    return best_fit_packing(written(token_pieces(docs, path, capacity=capacity), "pieces"), capacity=capacity)
+def packed_documents(docs: DataFrame, path: str, *, capacity: int = 2048, ordered: bool = False) -> DataFrame:
+    """Pieces of all documents with their places, tokenised once; ``ordered``: in the order of ``docs``."""
+    pieces = written(token_pieces(docs, path, capacity=capacity, ordered=ordered), "pieces")
+    return best_fit_packing(pieces, capacity=capacity)
