@@ -21,7 +21,7 @@ from gridtally.llm.licenses import PHRASES, license_scan
 from gridtally.llm.mixing import in_mixed_order, pfair_mix
 from gridtally.llm.neighbours import nearest
 from gridtally.llm.packing import best_fit_packing, packed_documents, packing_plan
-from gridtally.llm.private import all_spans, masked, normalised, personal_data, redacted
+from gridtally.llm.private import all_spans, hinted, masked, normalised, personal_data, redacted
 from gridtally.llm.quality import fertility_rules
 from gridtally.llm.substrings import substring_dedup
 from gridtally.llm.tokens import token_counts
@@ -445,6 +445,34 @@ def test_disguised_personal_data(text, found):
     assert all(part not in hidden for part, _ in found) and hidden.count("[") >= len(found)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call +49 one five one 2345678", [("+49 one five one 2345678", "phone")]),
+        ("card 4111 one one 1111 one one 1111, 1", []),
+        ("card 4111 one one one one 1111 one one 11", [("4111 one one one one 1111 one one 11", "card")]),
+        ("Plus 49 170 1234567", [("Plus 49 170 1234567", "phone")]),
+        ("(plus 49 170 1234567)", [("plus 49 170 1234567", "phone")]),
+        ("jane [  at\t] x.com", [("jane [  at\t] x.com", "email")]),
+        ("jane.doe   AT   mail.example.com", [("jane.doe   AT   mail.example.com", "email")]),
+    ],
+)
+def test_disguises_that_the_quick_test_must_let_through(text, found):
+    assert [(text[a:b], kind) for a, b, kind in all_spans(text)[1]] == found
+
+
+def test_quick_test_is_wider_than_the_transducers():
+    parts = """one Two 3 49 4111 plus PLUS más dot DOT . point at AT chez @ _at_ _AT_ [ ] ( ) { < > &#64; %40 jane jane.doe x.com
+    x com , - ſix fünf ät %2e &period; oh""".split()
+    rng, changed = np.random.default_rng(8), 0
+    for _ in range(20_000):
+        text = "".join(p + rng.choice(["", " ", "  ", "\t", " \t"]) for p in rng.choice(parts, 9))
+        if normalised(text).text != text:
+            changed += 1
+            assert hinted(text), text
+    assert changed > 1_000
+
+
 def test_alignment_covers_the_source():
     text = "А at B dot com, one two three four, ＡＢ [at] c [dot] d​."
     aligned = normalised(text)
