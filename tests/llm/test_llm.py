@@ -503,6 +503,23 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert pfair_mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 1200])
+def test_mix_of_many_sources_follows_the_target_weights(spark, n):
+    rows = [(f"s{i}", 4 if n < 100 else 1) for i in range(n - 1)] + [("big", 6_000 if n < 100 else 150_000)]
+    docs = spark.createDataFrame([(s, k) for s, k in rows], "source string, k long").selectExpr(
+        "source", "explode(sequence(1, k)) AS j", "'xxxxxxxxxx' AS text").selectExpr(
+        "cast(hash(source, j) as long) * 1000003 + j AS doc_id", "source", "text")
+    mixed = pfair_mix(docs, block=10).select("source", "block", "slot", "weight").collect()
+    mass = {s: k**0.5 for s, k in rows}
+    target = {s: m / sum(mass.values()) for s, m in mass.items()}
+    weight = {r.source: r.weight for r in mixed}
+    assert len(mixed) == sum(k for _, k in rows) and len({r.slot for r in mixed}) == len(mixed)
+    assert set(weight) == set(target) and abs(sum(weight.values()) - 1) < 1e-6
+    assert max(abs(weight[s] - target[s]) for s in target) < 0.002
+    for r in mixed:
+        assert abs(r.weight * r.slot - r.block) < 3
+
+
 def test_mix_order_nulls_and_too_many_sources(spark, awkward):
     assert in_mixed_order(awkward).columns == awkward.columns and in_mixed_order(awkward).count() == len(AWKWARD)
     docs = table(spark, [None, "", "x"]).selectExpr("doc_id", "text", "cast(doc_id as string) AS source")
