@@ -274,7 +274,7 @@ def frequent_shingles(rows: DataFrame, documents: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, frequent: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """node, n, bits and prefix of every document with words."""
+    """doc_id, text_hash, node, n, bits and prefix of every document with words."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,15 +295,15 @@ def features(docs: DataFrame, frequent: np.ndarray, size: int, threshold: int) -
             at, *columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(at, pa.int64())),
+                    *[c.take(pa.array(at, pa.int64())) for c in (batch.column(0), batch.column(2))],
                     *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
                 ],
-                names=["doc_id", "node", "n", "bits", "prefix"],
+                names=["doc_id", "text_hash", "node", "n", "bits", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        of, f"doc_id {kind}, node long, n long, bits binary, prefix binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        of, f"doc_id {kind}, text_hash long, node long, n long, bits binary, prefix binary"
     )
 
 
@@ -416,10 +416,16 @@ def possible_links(met: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
 
 
 def true_links(families: DataFrame, docs: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Edges (a, b) that span the pairs which reach the threshold, within each family."""
-    members = families.join(sets.select("node", "doc_id", "n"), "node").withColumnRenamed("root", "family")
+    """Edges (a, b) that span the pairs which reach the threshold, within each family.
+
+    A set's text is found by its doc_id, or where that is NULL by its hash, once for all copies.
+    """
+    members = families.join(sets.select("node", "doc_id", "text_hash", "n"), "node").withColumnRenamed("root", "family")
     dealt_rows = split_groups(members, "family", "n", FAMILY)
-    texts = docs.select("doc_id", "text").join(dealt_rows, "doc_id")
+    named = docs.select("doc_id", "text").join(dealt_rows.drop("text_hash"), "doc_id").drop("doc_id")
+    hashed = docs.where(F.col("doc_id").isNull()).select(F.xxhash64("text").alias("text_hash"), "text")
+    nameless = dealt_rows.where(F.col("doc_id").isNull()).drop("doc_id")
+    texts = named.unionByName(hashed.dropDuplicates(["text_hash"]).join(nameless, "text_hash").drop("text_hash"))
 
     def traverse(table: pa.Table) -> pa.Table:
         found = []

@@ -570,6 +570,20 @@ def test_jaccard_components(spark, real, awkward, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_of_documents_without_id(spark):
+    base, other = prose(61, 120, 10**6), prose(62, 120, 10**6)
+    rows = [(None, base)] * 5 + [(2, edited(1, base, 1)), (None, other), (None, edited(2, other, 1)), (7, edited(3, other, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = sorted((r.doc_id or 0, r.component_id) for r in jaccard_components(docs).collect())
+    assert found == [(0, 2)] * 5 + [(0, 7)] * 2 + [(2, 2), (7, 7)]
+    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [2, 7]
+    # A row without id comes first, so that it stands for its text and that of row 1.
+    docs = spark.createDataFrame([(None, base), (1, base), (2, edited(1, base, 1))], "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in jaccard_components(docs).collect()} == {1}
+    none = spark.createDataFrame([(None, other), (None, edited(2, other, 1))], "doc_id long, text string")
+    assert [r.component_id for r in jaccard_components(none).collect()] == [None, None] and one_of_each(none).count() == 1
+
+
 def test_jaccard_with_groups_cut_into_blocks(spark, monkeypatch):
     from gridtally.llm import jaccard
 
