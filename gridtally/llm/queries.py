@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridtally.llm.alignment import aligned_groups
+from gridtally.llm.audit import AUDIT_SQL, filter_audit
 from gridtally.llm.common import documents
 from gridtally.llm.jaccard import jaccard_components
 from gridtally.llm.language import language_mixture, learn
@@ -14,6 +17,7 @@ from gridtally.llm.licenses import license_scan
 from gridtally.llm.mixing import PFAIR_SQL, pfair_mix
 from gridtally.llm.neighbours import nearest
 from gridtally.llm.packing import packed_documents
+from gridtally.llm.pieces import piece_codes
 from gridtally.llm.private import personal_data
 from gridtally.llm.quality import fertility_rules
 from gridtally.llm.substrings import substring_dedup
@@ -84,3 +88,28 @@ def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
+
+
+@query
+def op11_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codes(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_aligned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned_groups(documents(spark, sf_dir), first, second)
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE_SQL["op13_filter_audit"] = AUDIT_SQL
