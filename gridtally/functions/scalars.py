@@ -107,42 +107,6 @@ def nan_to_null(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(float("nan")))
 
 
-# A quoted string, or what stands between two of them.
-LITERAL_PARTS = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+)"""
-
-
-def literal_as_json(text: Column | str) -> Column:
-    """A Python literal of dicts, lists, tuples, numbers, strings and constants as JSON text.
-
-    Constants, tuples and trailing commas are rewritten outside of quotes only, and quotes
-    inside of single-quoted strings are escaped.
-    """
-
-    def part(p: Column) -> Column:
-        inner = F.substr(p, F.lit(2), F.length(p) - 2)
-        for written, meant in (("\\'", "'"), ('\\"', '"'), ('"', '\\"')):
-            inner = F.replace(inner, F.lit(written), F.lit(meant))
-        inner = F.regexp_replace(inner, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
-        plain = F.regexp_replace(p, r"\bNone\b", "null")
-        plain = F.regexp_replace(plain, r"\bTrue\b", "true")
-        plain = F.regexp_replace(plain, r"\bFalse\b", "false")
-        plain = F.translate(plain, "()", "[]")
-        plain = F.regexp_replace(plain, r",\s*([\]}])", "$1")
-        return (
-            F.when(F.startswith(p, F.lit("'")), F.concat(F.lit('"'), inner, F.lit('"')))
-            .when(F.startswith(p, F.lit('"')), F.replace(p, F.lit("\\'"), F.lit("'")))
-            .otherwise(plain)
-        )
-
-    parts = F.regexp_extract_all(_col(text), F.lit(LITERAL_PARTS), F.lit(1))
-    return F.array_join(F.transform(parts, part), "")
-
-
-def parse_nested(text: Column | str, schema) -> Column:
-    """Nested objects kept as text, JSON or a Python literal; NULL where it cannot be read."""
-    return F.from_json(literal_as_json(text), schema, {"mode": "PERMISSIVE"})
-
-
 def round_9(x: Column | str) -> Column:
     """Nine decimals: enough to make sums independent of their order."""
     return F.round(_col(x), 9)

@@ -581,6 +581,36 @@ def nested_text(spark, sf_dir):
     return parsed.select("jeditaskid", *fields, F.col("ds_replicas_info_unread").alias("unread"))
 
 
+@query
+def nested_misfits(spark, sf_dir):
+    """Records with fields that do not fit: alone, and in a list after one that fits."""
+    log = access_log(spark, sf_dir)
+    task, n, site = F.col("jeditaskid"), F.col("number_of_jobs").cast("string"), F.col("site_name")
+    forms = [
+        F.concat(F.lit("{'a': "), n, F.lit(", 'b': '"), site),
+        F.concat(F.lit("{'a': '"), site, F.lit("'}")),
+        F.concat(F.lit("{'a': "), n, F.lit(".5, 'b': '"), site, F.lit("'}")),
+        F.concat(F.lit("{'a': "), n, F.lit(", 'c': '"), site, F.lit("'}")),
+    ]
+    text = F.concat(F.lit("{'a': "), n, F.lit(", 'b': '"), site, F.lit("',}"))
+    for k, form in enumerate(forms):
+        text = F.when(task % 5 == k, form).otherwise(text)
+    pair = "struct<a:bigint,b:string>"
+    batch = log.select("jeditaskid", text.alias("one"), F.concat(F.lit("[{'a': 7},"), text, F.lit(",]")).alias("many"))
+    for column, kind in (("one", pair), ("many", f"array<{pair}>")):
+        batch = upsert.clean_batch(batch, kind, column)
+    second = F.try_element_at("many", F.lit(2))
+    return batch.select(
+        "jeditaskid",
+        F.col("one.a").alias("a"),
+        F.col("one.b").alias("b"),
+        F.col("one_unread").alias("unread"),
+        second["a"].alias("list_a"),
+        second["b"].alias("list_b"),
+        F.col("many_unread").alias("list_unread"),
+    )
+
+
 @query
 def doc_id_dedup(spark, sf_dir):
     order = [F.desc("number_of_jobs"), F.desc("site_name")]

@@ -809,6 +809,21 @@ SELECT jeditaskid,
   CASE WHEN jobstatus = 'failed' OR jeditaskid % 3 = 2 THEN NULL ELSE jeditaskid % 3 = 0 END AS disk,
   CASE WHEN jobstatus = 'failed' THEN '[{''site''' END AS unread
 FROM access_log"""
+    ),
+    "nested_misfits": sql(
+        """
+SELECT jeditaskid,
+  CASE WHEN k IN (3, 4) THEN n END AS a, CASE WHEN k IN (2, 4) THEN site END AS b, misfit AS unread,
+  CASE WHEN k IN (3, 4) THEN n END AS list_a, CASE WHEN k IN (2, 4) THEN site END AS list_b,
+  '[{''a'': 7},' || misfit || ',]' AS list_unread
+FROM (SELECT jeditaskid, jeditaskid % 5 AS k, number_of_jobs AS n, site_name AS site,
+    CASE jeditaskid % 5
+      WHEN 0 THEN '{''a'': ' || CAST(number_of_jobs AS VARCHAR) || ', ''b'': ''' || site_name
+      WHEN 1 THEN '{''a'': ''' || site_name || '''}'
+      WHEN 2 THEN '{''a'': ' || CAST(number_of_jobs AS VARCHAR) || '.5, ''b'': ''' || site_name || '''}'
+      WHEN 3 THEN '{''a'': ' || CAST(number_of_jobs AS VARCHAR) || ', ''c'': ''' || site_name || '''}'
+      END AS misfit
+  FROM access_log) made"""
     ),
     "doc_id_dedup": sql(
         f"""

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridtally import schema
-from gridtally.functions import intervals, measures, predicates, scalars
+from gridtally.functions import intervals, literals, measures, predicates, scalars
 
 DAY = dt.datetime(2021, 2, 1)
 
@@ -234,3 +235,85 @@ def test_declared_schema_counts(spark):
     assert (kinds["bigint"], kinds["smallint"], kinds["tinyint"], kinds["double"]) == (27, 5, 2, 2)
     assert kinds["string"] == 19 + 14 + 1
     spark.createDataFrame([], fields)
+
+
+def read_back(spark, texts, schema):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, info string")
+    found = literals.read_literals(rows, "info", schema).orderBy("id").collect()
+    return [(r["info"].asDict(True) if hasattr(r["info"], "asDict") else r["info"], r["info_unread"]) for r in found]
+
+
+PAIR = "struct<a:bigint,b:string>"
+FITTING = {
+    "{'a': 1, 'b': 'q'}": (1, "q"),
+    "{'b': None}": (None, None),
+    "{}": (None, None),
+    "{'a': 1, 'b': \"it's\"}": (1, "it's"),
+    r"{'a': 1, 'b': 'x\\'}": (1, "x\\"),
+    r"""{"a": 1, "b": "x\\'y"}""": (1, "x\\'y"),
+    r"""{'a': 1, 'b': 'say \"hi\" \\\" "x" \x41\x42 \'z\''}""": (1, 'say "hi" \\" "x" AB \'z\''),
+    "{'a': -7, 'b': 'None, True (x) ,]'}": (-7, "None, True (x) ,]"),
+    "{'a': 3, 'b': 5}": (3, "5"),
+}
+MISFITS = {
+    "{'a': 'x'": None,
+    "{'a': 'x'}": (None, None),
+    "{'a': 1.7}": (None, None),
+    "{'a': '12', 'b': 'k'}": (None, "k"),
+    "{'a': 99999999999999999999}": (None, None),
+    "{'a': 2, 'c': 5}": (2, None),
+    "{'a': 1}'": None,
+    "{'a': 1, 'a': 2}": None,
+    "{1: 'a'}": None,
+    "(1, 2)": None,
+    "'text'": None,
+    "": None,
+}
+
+
+def as_pair(value):
+    return None if value is None else {"a": value[0], "b": value[1]}
+
+
+def test_literals_that_fit_leave_no_text(spark):
+    assert read_back(spark, FITTING, PAIR) == [(as_pair(v), None) for v in FITTING.values()]
+    assert read_back(spark, [None, "None"], PAIR) == [(None, None), (None, None)]
+
+
+def test_literals_that_do_not_fit_keep_their_text_at_any_depth(spark):
+    assert read_back(spark, MISFITS, PAIR) == [(as_pair(v), t) for t, v in MISFITS.items()]
+    whole = {t: v for t, v in MISFITS.items() if v is not None}
+    for left, right, schema, wrap in (
+        ("[", ",]", f"array<{PAIR}>", lambda v: [v]),
+        ("{'k': ", "}", f"map<string,{PAIR}>", lambda v: {"k": v}),
+        ("[[", "], []]", f"array<array<{PAIR}>>", lambda v: [[v], []]),
+    ):
+        texts = [left + t + right for t in whole]
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, info string")
+        found = literals.read_literals(rows, "info", schema).orderBy("id").collect()
+        assert [(r.asDict(True)["info"], r["info_unread"]) for r in found] == [
+            (wrap(as_pair(v)), t) for v, t in zip(whole.values(), texts, strict=True)
+        ]
+
+
+def test_literals_of_other_types(spark):
+    schema = "struct<d:double,f:boolean,t:timestamp_ntz,m:decimal(6,2)>"
+    texts = [
+        "{'d': 1.5, 'f': True, 't': '2021-02-01 00:00:00', 'm': 12.25}",
+        "{'d': 'x', 'f': 1, 't': 'soon', 'm': 12.255}",
+        "{'d': 2, 'f': None}",
+    ]
+    noon = dt.datetime(2021, 2, 1)
+    (good, none, part) = read_back(spark, texts, schema)
+    assert good == ({"d": 1.5, "f": True, "t": noon, "m": Decimal("12.25")}, None)
+    assert none == ({"d": None, "f": None, "t": None, "m": None}, texts[1])
+    assert part == ({"d": 2.0, "f": None, "t": None, "m": None}, None)
+
+
+def test_literal_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([("{'a': 1}", 5, "x")], "info string, _variant int, `odd name` string")
+    out = literals.read_literals(rows, "info", PAIR)
+    assert out.columns == ["info", "_variant", "odd name", "info_unread"]
+    assert out.first()["_variant"] == 5
+    odd = literals.read_literals(rows.withColumnRenamed("info", "in.fo"), "in.fo", PAIR)
+    assert odd.first()["in.fo"]["a"] == 1
