@@ -2,9 +2,17 @@
 
 The windows are laid on the time axis by arithmetic: with ``o`` seconds since the
 first record, ``o div step`` is the newest window that can hold a record, and it
-reaches back ``length div step`` windows. A record is copied into its windows
-only after the log is reduced to distinct visits, and the bounds of every window
-come from one row per step of time, not from the copies.
+reaches back ``length div step`` windows.
+
+The bounds of all windows and of all their intervals cut time into segments, about two
+per day. A task counts in an interval once, with its first visit there: the visit whose
+predecessor (of that task at that dataset) lies before the interval. So the log is reduced
+to distinct (dataset, task, segment), each row is told its predecessor, and only first
+visits are counted, added up by window before they are shuffled. No visit is copied into
+its windows before that, and nothing is cached. Users are counted the same way.
+
+Tables of the calendar (windows, segments) have a few rows per step of time and follow the
+time span only, never the number of records; they are broadcast.
 
 Rows are sparse: a dataset has one for each window that holds a record of it. What
 the absent ones would say (no use, one replica) needs no rows, see
@@ -52,31 +60,14 @@ class _Axis:
         return offset % self.step < self.tail
 
 
-def distinct_visits(df: DataFrame, time_col: str) -> DataFrame:
-    """The log reduced to (dataset, task, user, second), with size and replica code."""
-    code = latest_code("ds_replicas_number", time_col, df.schema["ds_replicas_number"].dataType)
-    return (
-        df.select(
-            DATASET,
-            "jeditaskid",
-            "username",
-            seconds(time_col).alias("s"),
-            code.alias("code"),
-            "ds_bytes",
-        )
-        .groupBy(DATASET, "jeditaskid", "username", "s")
-        .agg(F.max("code").alias("code"), F.max("ds_bytes").alias("ds_bytes"))
-    )
-
-
-def window_bounds(visits: DataFrame, axis: _Axis) -> DataFrame:
+def window_bounds(times: DataFrame, axis: _Axis) -> DataFrame:
     """First and last record of every non-empty window that starts before the last record.
 
-    One row per step of the covered time span: its size follows the calendar,
-    never the number of records.
+    ``times`` has the second ``s`` of each record. One row per step of the covered time
+    span: its size follows the calendar, never the number of records.
     """
-    span = visits.agg(F.struct(F.min("s").alias("lo"), F.max("s").alias("hi"))).scalar()
-    offset = visits.where(F.col("s").isNotNull()).select((F.col("s") - span["lo"]).alias("o"))
+    span = times.agg(F.struct(F.min("s").alias("lo"), F.max("s").alias("hi"))).scalar()
+    offset = times.where(F.col("s").isNotNull()).select((F.col("s") - span["lo"]).alias("o"))
     blocks = offset.groupBy(
         axis.block(F.col("o")).alias("block"), axis.in_tail(F.col("o")).alias("in_tail")
     ).agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
@@ -91,65 +82,105 @@ def window_bounds(visits: DataFrame, axis: _Axis) -> DataFrame:
     )
 
 
-def use_per_window(visits: DataFrame, windows: DataFrame, axis: _Axis, n: int) -> DataFrame:
-    """Distinct tasks ``n_j`` and users ``u_j`` in each interval j of each window.
+def segments(windows: DataFrame, axis: _Axis, n: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of time that no window and no interval cuts, and where each belongs.
 
-    A task and a user become one row each; those are made distinct per (window,
-    dataset, interval) with map-side combine, so the two counts need one shuffle by
-    value and a hot dataset is spread over its tasks and users.
+    First (block, start, end), in seconds since the first record; every record of a block lies
+    in one of them. Then (start, k, i, since): the windows that hold the segment, its interval
+    there (NULL for the end of a window) and where that interval begins.
     """
-    first = windows.agg(F.min("first")).scalar()
-    known = visits.where(F.col("s").isNotNull() & F.col(DATASET).isNotNull())
-    placed = known.withColumn("o", F.col("s") - first)
-    copies = placed.withColumn(
-        "k", F.explode(axis.windows_of(axis.block(F.col("o")), axis.in_tail(F.col("o"))))
-    ).join(windows, "k")
-    interval = index_of(F.col("o") - F.col("lo"), F.col("hi") - F.col("lo"), n)
-    no_task, no_user = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    counted = F.array(
-        F.struct(F.col("jeditaskid").alias("task"), no_user.alias("user")),
-        F.struct(no_task.alias("task"), F.col("username").alias("user")),
-    )
-    distinct = (
-        copies.select("k", DATASET, interval.alias("i"), "code", F.inline(counted))
-        .groupBy("k", DATASET, "i", "task", "user")
-        .agg(F.max("code").alias("code"))
+    lo, span = F.col("lo"), F.col("hi") - F.col("lo")
+    # The first second of interval j, as index_of counts them; the window's last record is in none.
+    begins = [lo, *[lo + whole_div(span * j + n, n) - 1 for j in range(1, n)], F.col("hi")]
+    begins = [F.greatest(b, lo) for b in begins]
+    edges = F.explode(F.array_distinct(F.array(F.col("k") * axis.step, (F.col("k") + axis.back) * axis.step + axis.tail, *begins)))
+    starts = windows.select(edges.alias("start")).distinct()
+    # Every block has a start of its own, so that a segment never spans two of them.
+    reach = F.sequence(F.min("start"), F.max("start"), F.lit(axis.step).cast("bigint"))
+    blocks = starts.agg(F.explode(reach).alias("start"))
+    starts = starts.union(blocks).distinct().withColumn("block", axis.block(F.col("start")))
+    following = Window.partitionBy("block").orderBy("start")
+    ends = F.coalesce(F.lead("start").over(following), (F.col("block") + 1) * axis.step)
+    cells = starts.withColumn("end", ends)
+    holding = F.explode(axis.windows_of(F.col("block"), axis.in_tail(F.col("start"))))
+    interval = index_of(F.col("start") - lo, span, n)
+    since = F.get(F.array(*begins), F.coalesce(interval, F.lit(n)))
+    places = (
+        cells.select("start", holding.alias("k"))
+        .join(windows, "k")
+        .select("start", "k", interval.alias("i"), since.alias("since"))
     )
-    in_slot = [F.col("i") == j for j in range(n)]
-    return distinct.groupBy("k", DATASET).agg(
-        *[F.count(F.when(slot, F.col("task"))).alias(f"n_{j}") for j, slot in enumerate(in_slot)],
-        *[F.count(F.when(slot, F.col("user"))).alias(f"u_{j}") for j, slot in enumerate(in_slot)],
-        F.max("code").alias("code"),
+    return cells, places
+
+
+def first_visits(placed: DataFrame, who: str, places: DataFrame, extra: list[Column]) -> DataFrame:
+    """(dataset, k, i, first, ...) for every (dataset, ``who``, segment) in each of its windows.
+
+    ``first`` is 1 for the first visit of ``who`` to the dataset in that interval.
+    """
+    rows = placed.groupBy(DATASET, who, "start").agg(*extra) if extra else placed.select(DATASET, who, "start").distinct()
+    before = F.lag("start").over(Window.partitionBy(DATASET, who).orderBy("start"))
+    new = (F.col("before").isNull() | (F.col("before") < F.col("since"))) & F.col(who).isNotNull()
+    return (
+        rows.withColumn("before", before)
+        .join(F.broadcast(places), "start")
+        .withColumn("first", F.when(new & F.col("i").isNotNull(), 1))
     )
 
 
-def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Visits, use per (window, dataset), and the calendar with each window's group average.
+def use_per_window(records: DataFrame, windows: DataFrame, axis: _Axis, n: int) -> DataFrame:
+    """Distinct tasks ``n_j`` and users ``u_j`` in each interval j of each window.
 
-    Visits and use are read several times and kept by the executors, in memory or on disk;
-    what a lost executor held is computed again.
+    A visit of a task or user that many visits follow in the same interval is one row; what
+    is shuffled last is a row for each (window, dataset) of a map task.
     """
-    visits = distinct_visits(df, time_col).persist()
-    windows = window_bounds(visits, axis)
+    first = windows.agg(F.min("first")).scalar()
+    cells, places = segments(windows, axis, n)
+    known = records.where(F.col("s").isNotNull() & F.col(DATASET).isNotNull())
+    offset = known.withColumn("o", F.col("s") - first)
+    cell = F.broadcast(cells.withColumnRenamed("block", "_block"))
+    inside = (axis.block(F.col("o")) == F.col("_block")) & (F.col("o") >= F.col("start")) & (F.col("o") < F.col("end"))
+    placed = offset.join(cell, inside)
+
+    def counts(rows: DataFrame, name: str) -> list[Column]:
+        return [F.count(F.when(F.col("i") == j, F.col("first"))).alias(f"{name}_{j}") for j in range(n)]
+
+    tasks = first_visits(placed, "jeditaskid", places, [F.max("code").alias("code")])
+    users = first_visits(placed, "username", places, [])
+    # Every row of the users' side has one on the tasks' side: both come from the same records.
+    by_task = tasks.groupBy("k", DATASET).agg(*counts(tasks, "n"), F.max("code").alias("code"))
+    by_user = users.groupBy("k", DATASET).agg(*counts(users, "u"))
+    return by_task.join(by_user, ["k", DATASET])
+
+
+def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Datasets with their sizes, use per (window, dataset), and the calendar with each window's group average."""
+    code = latest_code("ds_replicas_number", time_col, df.schema["ds_replicas_number"].dataType)
+    records = df.select(
+        DATASET, "jeditaskid", "username", seconds(time_col).alias("s"), code.alias("code"), "ds_bytes"
+    )
+    windows = window_bounds(records.select("s"), axis)
     weighted = [F.col(f"n_{j}") * audience_weight(F.col(f"u_{j}")) for j in range(n)]
-    use = use_per_window(visits, windows, axis, n).select(
+    use = use_per_window(records, windows, axis, n).select(
         "k",
         DATASET,
         (weighted_total(weighted, scheme) / float(n)).alias("af"),
         F.col(f"n_{n - 1}").alias("accesses"),
         F.col(f"u_{n - 1}").alias("users"),
         "code",
-    ).persist()
-    n_datasets = visits.agg(F.countDistinct(DATASET)).scalar()
+    )
+    sizes = records.where(F.col(DATASET).isNotNull()).groupBy(DATASET).agg(div(F.max("ds_bytes"), GB).alias("ds_size_GB"))
+    # The size is named so that both readers of the sizes share one shuffle.
+    n_datasets = sizes.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("ds_size_GB"))).scalar()["n"]
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    totals = use.groupBy("k").agg(F.sum("af").alias("total"))
+    totals = use.groupBy("k").agg(F.struct(F.sum("af").alias("total"), *[F.max(c) for c in use.columns[1:]]).alias("t"))
     calendar = windows.join(totals, "k", "left").select(
         "k",
         plus_seconds(epoch, F.col("first") + F.col("k") * axis.step).alias("window_start"),
         plus_seconds(epoch, F.col("first") + F.col("hi")).alias("timestamp"),
-        div(F.coalesce("total", F.lit(0.0)), n_datasets).alias("groupAF"),
+        div(F.coalesce("t.total", F.lit(0.0)), n_datasets).alias("groupAF"),
     )
-    return visits, use, calendar
+    return sizes, use, calendar
 
 
 def rolling_advice(
@@ -162,10 +193,8 @@ def rolling_advice(
     time_col: str = "task_modificationtime",
 ) -> DataFrame:
     """Advice for every dataset in every window that holds a record of it."""
-    visits, use, calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)
-    named = visits.where(F.col(DATASET).isNotNull())
-    datasets = named.groupBy(DATASET).agg(div(F.max("ds_bytes"), GB).alias("ds_size_GB"))
-    rows = use.join(datasets, DATASET).join(calendar, "k")
+    sizes, use, calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)
+    rows = use.join(sizes, DATASET).join(F.broadcast(calendar), "k")
     optimum = round_even(round_9(div("af", "groupAF")))
     return rows.select(
         DATASET,
