@@ -151,7 +151,10 @@ def first_of_each(df: DataFrame, group: list[str], order: Column, key: str, n: i
     return some.where(F.col("_rank") <= n).drop("_rank", "_part")
 
 
-RANGES = 256
+STEPS = 16
+RANGES = STEPS * STEPS
+#: Rank error of the splitters, as one part in so many.
+SPLIT_ACCURACY = 5000
 
 
 def quantiles(
@@ -165,21 +168,35 @@ def quantiles(
     return counted_quantiles(counted.agg(F.count(F.lit(1)).alias("_n")), keys, wanted)
 
 
-def counted_quantiles(counted: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
-    """The same from rows (keys, _v, _n): a value of the group and how often it occurs.
+def equal_ranges(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, _v, ...) with ``_range``, 0 to 255 in the order of the group's values, and ``_total``.
 
-    A group's values are cut into equal ranges. Running counts over the ranges tell in
-    which ones the wanted positions lie, and only those are sorted, so no task holds all
-    values of a group.
+    The splitters are quantiles of the group's values from a mergeable sketch, so the ranges
+    hold about equally many rows however the values are spread. The splitters at or below a
+    value are counted in two steps of 15 comparisons.
     """
+    shares = [i / RANGES for i in range(1, RANGES)]
     spans = counted.groupBy(*keys).agg(
-        F.min("_v").cast("double").alias("_lo"),
-        F.max("_v").cast("double").alias("_hi"),
-        F.sum("_n").alias("_total"),
+        F.percentile_approx("_v", shares, SPLIT_ACCURACY).alias("_cuts"), F.sum("_n").alias("_total")
     )
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * RANGES)).otherwise(0)
-    rows = counted.join(spans, keys).withColumn("_range", F.least(place, F.lit(RANGES - 1)).cast("int"))
+
+    def reached(places: list) -> Column:
+        return sum(((F.col("_v") >= F.get("_cuts", at)).cast("int") for at in places), F.lit(0))
+
+    coarse = reached([F.lit(STEPS * i - 1) for i in range(1, STEPS)])
+    fine = reached([F.col("_coarse") * STEPS + i for i in range(STEPS - 1)])
+    rows = counted.join(spans, keys).withColumn("_coarse", coarse)
+    return rows.withColumn("_range", F.col("_coarse") * STEPS + fine).drop("_cuts", "_coarse")
+
+
+def counted_quantiles(counted: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """The same from rows (keys, _v, _n): a value of the group and how often it occurs.
+
+    A group's values are cut into ranges of about equally many. Running counts over the
+    ranges tell in which ones the wanted positions lie, and only those are sorted, so no
+    task holds all values of a group.
+    """
+    rows = equal_ranges(counted, keys)
     position = {name: (F.col("_total") - 1) * F.lit(float(q)) for name, q in wanted.items()}
     held = F.lit(False)
     for p in position.values():

@@ -193,6 +193,25 @@ def test_quantiles_equal_the_plain_aggregate(spark):
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(20,3)"])
+def test_ranges_of_skewed_values_hold_equally_many(spark, kind):
+    values = F.exp(F.randn(5) * 3).cast(kind) if kind != "bigint" else F.exp(F.randn(5) * 3 + 20).cast(kind)
+    rows = spark.range(400_000).select((F.col("id") % 4 == 0).alias("g"), values.alias("v"))
+    counted = rows.groupBy("g", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).cache()
+    placed = measures.equal_ranges(counted, ["g"])
+    sizes = placed.groupBy("g", "_range").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    groups = {r.g: r.n for r in counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_group = {g: sorted((r._range, r.n, r.lo, r.hi) for r in sizes.collect() if r.g == g) for g in groups}
+    for g, ranges in by_group.items():
+        assert max(n for _, n, _, _ in ranges) < 0.02 * groups[g]
+        assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:]))
+        assert 0 <= ranges[0][0] and ranges[-1][0] < measures.RANGES
+    got = measures.counted_quantiles(counted, ["g"], {"m": 0.5, "q": 0.9}).orderBy("g").collect()
+    plain = F.col("_v").cast("double")
+    want = counted.groupBy("g").agg(F.percentile(plain, F.lit(0.5), F.col("_n")), F.percentile(plain, F.lit(0.9), F.col("_n")))
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in want.orderBy("g").collect()]
+
+
 def test_exact_sum_beyond_bigint(spark):
     rng = random.Random(4)
     cases = [
