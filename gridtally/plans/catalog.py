@@ -14,7 +14,8 @@ from ..operators import extracts, frequency, utilisation
 from ..operators.rolling import backfill as fill_back
 from ..operators.validation import split_label
 from ..schema import ACCESS_LOG_DDL, bucket_tree_ddl, declared_schema
-from ..sources import files, sinks, upsert, workspace
+from ..sources import files, keyed, sinks, upsert, workspace
+from ..streaming import extracts as extracts_stream
 from ..streaming import hourly
 from . import fixtures
 from .fixtures import AS_OF, CUT, access_log, moment
@@ -673,6 +674,56 @@ def replace_stored(spark, sf_dir):
     return spark.read.parquet(path).select(*RECORD)
 
 
+@query
+def replace_stored_fewer(spark, sf_dir):
+    """A batch without one of the log's columns: the other tasks keep theirs."""
+    log = access_log(spark, sf_dir).select(*RECORD, "task_modificationtime")
+    earlier = F.col("task_modificationtime") < moment(CUT)
+    path = workspace.fresh_path(spark, "log")
+    files.write_log(log.where(earlier), path)
+    files.replace_in_log(spark, path, log.where(~earlier).drop("number_of_jobs"))
+    return spark.read.parquet(path).select(*RECORD)
+
+
+@query
+def keyed_twice(spark, sf_dir):
+    """Loads into a table of one row per id: older rows, newer ones, the older again, all twice."""
+    columns = [*upsert.DOCUMENT_KEY, "number_of_jobs", "site_name"]
+    newer = access_log(spark, sf_dir).select(*columns)
+    older = newer.where(F.col("jeditaskid") % 3 == 0).withColumn("number_of_jobs", F.col("number_of_jobs") - 1)
+    order = [F.desc("number_of_jobs"), F.desc("site_name")]
+    path = workspace.fresh_path(spark, "keyed")
+    for batch in (older, newer.where(F.col("jeditaskid") % 2 == 0), older, newer, newer):
+        keyed.merge_documents(spark, path, batch, order, buckets=8)
+    return keyed.read_stored(spark, path, buckets=8).select(
+        "jeditaskid", "datasetname", "queue", "number_of_jobs", "site_name"
+    )
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Four extracts as a stream: newer before older, one in two files, one file twice."""
+    log = access_log(spark, sf_dir).select(*RECORD)
+    turn = F.col("jeditaskid") % 4
+    hours = [F.lit(f"2001-06-01 0{n}:00:00").cast("timestamp_ntz") for n in range(4)]
+
+    def extract(n: int, tasks) -> DataFrame:
+        jobs = F.col("number_of_jobs") + 100 * n
+        return log.where(tasks).withColumns({"number_of_jobs": jobs, "extracted": hours[n]})
+
+    whole, first, second, third = (
+        extract(n, tasks) for n, tasks in enumerate((F.lit(True), turn >= 1, turn >= 2, turn >= 3))
+    )
+    half = F.col("number_of_jobs") % 2 == 0
+    path = workspace.fresh_path(spark, "extracts")
+    for arrivals in ((second, whole), (first.where(half), third, first.where(~half)), (whole, second)):
+        for part in arrivals:
+            files.write_csv(part, f"{path}/in", mode="append")
+        stream = hourly.read_hourly(spark, f"{path}/in", third.schema)
+        extracts_stream.start(stream, f"{path}/table", f"{path}/checkpoint", "extracted", buckets=8).awaitTermination()
+    return keyed.read_stored(spark, f"{path}/table", buckets=8).select(*RECORD)
+
+
 @query
 def hourly_compacted(spark, sf_dir):
     """Batches of three spans, the last two replacing tasks, compacted before they are read."""

@@ -791,6 +791,23 @@ WHERE jobstatus <> 'failed' AND jeditaskid % 7 <> 0"""
     "upsert_by_task": UPSERT,
     "hourly_batches": UPSERT,
     "replace_stored": UPSERT,
+    "replace_stored_fewer": sql(
+        f"""
+SELECT {RECORD.replace("number_of_jobs", f"CASE WHEN NOT ({BATCH}) THEN number_of_jobs END AS number_of_jobs")} FROM access_log
+WHERE {BATCH} OR jeditaskid NOT IN (SELECT jeditaskid FROM access_log WHERE {BATCH})"""
+    ),
+    "keyed_twice": sql(
+        f"""
+SELECT jeditaskid, datasetname, queue, number_of_jobs, site_name FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY jeditaskid, datasetname, {T}, task_attemptnr, queue, jobstatus
+    ORDER BY number_of_jobs DESC, site_name DESC) AS rn FROM access_log) WHERE rn = 1"""
+    ),
+    "stream_late": sql(
+        f"""
+SELECT DISTINCT {RECORD.replace("number_of_jobs", "number_of_jobs + 100 * (jeditaskid % 4) AS number_of_jobs")}
+FROM access_log"""
+    ),
     "hourly_compacted": sql(
         f"""
 SELECT {RECORD} FROM (

@@ -23,6 +23,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the cluster's storage has that folder."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the cluster's storage."""
     context = spark.sparkContext
