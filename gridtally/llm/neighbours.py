@@ -32,6 +32,15 @@ def rotation(dimension: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two that brings their largest component near one.
+
+    That is exact and changes no cosine, but squares of very small or large ones stay in range.
+    """
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -power)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
@@ -158,7 +167,7 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
             d = left.column("d")[0].as_py()
             ids, values = once(left.column("vec_id").to_numpy(), matrix(left.column("embedding"), d))
             query_ids, queries = once(right.column("vec_id").to_numpy(), matrix(right.column("embedding"), d))
-            found = search(ids, values, query_ids, queries, k)
+            found = search(ids, scaled(values), query_ids, scaled(queries), k)
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
         return pa.table(
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
