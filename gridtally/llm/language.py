@@ -3,7 +3,7 @@
 A word is drawn by one of the document's languages, in proportions that
 expectation-maximisation estimates; a language gives a word the likelihood of its
 character trigrams. The languages with the largest proportions are tried in growing sets,
-and the set with the best likelihood less a penalty for each language is kept.
+for as long as the likelihood less a penalty for each language grows, and the best set is kept.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.llm.common import shielded
+
 UND = "und"
 #: Bound of the training sample: about so many documents of each language.
 TRAIN_PER_LANGUAGE = 3_000
@@ -24,8 +26,8 @@ TRAIN_PER_LANGUAGE = 3_000
 BUCKETS = 1 << 15
 #: A language's likelihood of a word, relative to the best one, is this at least.
 FLOOR = 1e-4
+#: Rounds of expectation-maximisation.
 STEPS = 8
-MOST_LANGUAGES = 4
 #: Words kept by a worker, and words (times languages) of a chunk.
 KEPT_WORDS = 300_000
 CHUNK = 2_000_000
@@ -149,21 +151,31 @@ def expectation_maximisation(
 
 
 def infer(p: np.ndarray, times: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
-    """Proportions of each document over its selected languages, 0 for all others."""
+    """Proportions of each document over its selected languages, 0 for all others.
+
+    The set grows by the next largest proportion until the penalised likelihood falls.
+    """
     n = p.shape[1]
     words = np.add.reduceat(times, starts)
     full, _ = expectation_maximisation(p, times, starts, np.ones((len(starts), n)))
     order = np.argsort(-full, axis=1, kind="stable")
+    lengths = np.diff([*starts, len(p)])
     best = np.full(len(starts), -np.inf)
     chosen = np.zeros_like(full)
-    for size in range(1, min(n, MOST_LANGUAGES) + 1):
-        allowed = np.zeros_like(full)
-        np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-        share, fit = expectation_maximisation(p, times, starts, allowed)
-        value = fit - penalty * size * np.log(words + 1)
-        better = value > best
-        best[better] = value[better]
-        chosen[better] = share[better]
+    growing = np.arange(len(starts))
+    for size in range(1, n + 1):
+        rows = np.isin(np.repeat(np.arange(len(starts)), lengths), growing) if len(growing) < len(starts) else slice(None)
+        begin = np.cumsum([0, *lengths[growing]])[:-1]
+        allowed = np.zeros((len(growing), n))
+        np.put_along_axis(allowed, order[growing, :size], 1.0, axis=1)
+        share, fit = expectation_maximisation(p[rows], times[rows], begin, allowed)
+        value = fit - penalty * size * np.log(words[growing] + 1)
+        better = value > best[growing]
+        growing = growing[better]
+        if not len(growing):
+            break
+        best[growing] = value[better]
+        chosen[growing] = share[better]
     return chosen
 
 
@@ -246,9 +258,15 @@ def in_known_language(docs: DataFrame, *, least: float = 0.3) -> DataFrame:
     """The rows, with all columns, that a learned language fills to ``least`` of the words.
 
     Rows without letters, and texts of many languages of which none has that share, go; a
-    text half in one language and half in another stays.
-    The model is learned from ``docs``.
+    text half in one language and half in another stays. The model is learned from
+    ``docs``; where no row has a language, none can be told and every row with letters
+    stays. Repeated rows are judged alike, a tie of two shares is no matter here, names of
+    other columns do not matter, and an empty table gives an empty result.
     """
-    mixture = with_mixture(docs, *learn(docs))
+    rows = shielded(docs, ["doc_id", "text", "lang"])
+    languages, model = learn(rows)
+    if not languages:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    mixture = with_mixture(rows, languages, model)
     known = (F.col(f"{MIXTURE}.lang_pred") != UND) & (F.col(f"{MIXTURE}.score") >= least)
-    return mixture.where(known).select(*docs.columns)
+    return mixture.where(known).select(*rows.columns).toDF(*docs.columns)
