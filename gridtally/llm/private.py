@@ -12,7 +12,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -91,20 +91,23 @@ class Aligned:
 
     def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str]) -> Aligned:
         """Replaces all matches; what stands for a match has the span of all of it."""
+        return self.replaced((*m.span(), to(m)) for m in pattern.finditer(self.text))
+
+    def replaced(self, changes: Iterable[tuple[int, int, str]]) -> Aligned:
+        """The same for (start, end, new text) in order."""
         parts: list[str] = []
         starts: list[int] = []
         ends: list[int] = []
         last = 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new == m[0] or m.end() == m.start():
+        for a, b, new in changes:
+            if new == self.text[a:b] or a == b:
                 continue
-            parts += (self.text[last : m.start()], new)
-            starts += self.starts[last : m.start()]
-            ends += self.ends[last : m.start()]
-            starts += [self.starts[m.start()]] * len(new)
-            ends += [self.ends[m.end() - 1]] * len(new)
-            last = m.end()
+            parts += (self.text[last:a], new)
+            starts += self.starts[last:a]
+            ends += self.ends[last:a]
+            starts += [self.starts[a]] * len(new)
+            ends += [self.ends[b - 1]] * len(new)
+            last = b
         if not last:
             return self
         parts.append(self.text[last:])
@@ -162,9 +165,10 @@ WRITTEN_DOT = r"(?: +(?:dot|punkt|punto|point) +| +\. +)"
 ENDINGS = """com net org edu gov mil int info biz io ai co me app dev xyz name online
 uk us ca au nz ie de fr es it nl be ch at se no dk fi pl cz pt gr ru ua jp cn kr in br mx ar
 cl za eu""".split()
-WRITTEN_EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]+(?:{WRITTEN_DOT}[A-Za-z0-9_%+-]+)*)"
-    rf"(?P<at> +(?:at|arroba|chez|ät) +|@)(?P<host>{LABEL}(?:(?:{WRITTEN_DOT}|\.){LABEL})*"
+#: From the sign on; the name before it is read backwards, so that long rows of written dots
+#: take linear time. A run of blanks counts from its first one.
+WRITTEN_HOST = re.compile(
+    rf"(?:(?<! ) ++(?:at|arroba|chez|ät) ++|@)(?P<host>{LABEL}(?:(?:{WRITTEN_DOT}|\.){LABEL})*"
     rf"{WRITTEN_DOT}(?:{'|'.join(ENDINGS)}))(?![A-Za-z0-9-])",
     re.I,
 )
@@ -191,7 +195,8 @@ DIGIT_WORDS = {
 SIGN_WORDS = {"plus": "+", "más": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9]+)"
 SIGN = "(?:" + "|".join(sorted(SIGN_WORDS, key=len, reverse=True)) + ")"
-BETWEEN = r"(?:[ \t]*[,()-][ \t]*[()-]?[ \t]*|[ \t]+)"
+#: What follows is neither blank nor sign, so nothing is given back.
+BETWEEN = r"(?>[ \t]*+[,()-][ \t]*+(?:[()-][ \t]*+)?+|[ \t]++)"
 #: Four spoken digits or more in a row; a plus may lead, dots may stand between.
 SPOKEN = re.compile(
     rf"(?<!\w)(?:(?:plus|más|\+)(?:{BETWEEN})?)?{DIGIT}(?!\w)(?:{BETWEEN}(?:{SIGN}{BETWEEN})?{DIGIT}(?!\w)){{3,}}",
@@ -207,7 +212,7 @@ HINTS = (
     ENTITY,
     re.compile(rf"[\[({{<][ \t]*(?:{AT}|{DOT})[ \t]*[\])}}>]", re.I),
     re.compile(r" @ |_at_", re.I),
-    # WRITTEN_EMAIL and NUMBER_DOT; DOTTED_EMAIL; PLUS_WORD.
+    # written_emails and NUMBER_DOT; DOTTED_EMAIL; PLUS_WORD.
     re.compile(r" (?:dot|punkt|punto|point|\.) ", re.I),
     re.compile(rf" (?:at|arroba|chez|ät) +{LABEL}(?:\.{LABEL})*\.[A-Za-z]{{2}}", re.I),
     re.compile(r"(?:plus|más) +[0-9]", re.I),
@@ -230,9 +235,58 @@ def spoken(m: re.Match) -> str:
     return "".join(SIGN_WORDS.get(p.lower()) or DIGIT_WORDS.get(p.lower()) or p for p in parts)
 
 
-def written_email(m: re.Match) -> str:
-    name, host = DOT_WORD.sub(".", m["name"]), DOT_WORD.sub(".", m["host"])
-    return f"{name}@{host}"
+NAME = LOCAL - {"."}
+DOTS = ("dot", "punkt", "punto", "point", ".")
+
+
+def before_dot(text: str, end: int) -> int:
+    """Where a written dot that ends at ``end`` begins; ``end`` if none does."""
+    at = end
+    while at and text[at - 1] == " ":
+        at -= 1
+    if at == end:
+        return end
+    for word in DOTS:
+        start = at - len(word)
+        if start > 0 and text[start:at].lower() == word and text[start - 1] == " ":
+            while start and text[start - 1] == " ":
+                start -= 1
+            return start
+    return end
+
+
+def name_start(text: str, end: int, least: int) -> int:
+    """Where the longest name that ends at ``end`` begins: runs of its characters with written
+    dots between them, of which only the first may hold plain dots. ``end`` if there is none."""
+    start = end
+    while True:
+        at = start
+        while at > least and text[at - 1] in NAME:
+            at -= 1
+        if at > least and text[at - 1] == ".":
+            while at > least and text[at - 1] in LOCAL:
+                at -= 1
+            return at
+        dot = before_dot(text, at)
+        if at == start or dot == at or dot <= least or text[dot - 1] not in LOCAL:
+            return at
+        start = dot
+
+
+def written_emails(text: str) -> Iterator[tuple[int, int, str]]:
+    """name at host dot tld, the dots being written, as an address."""
+    end = 0
+    m = WRITTEN_HOST.search(text)
+    while m:
+        start = name_start(text, m.start(), end)
+        if start < m.start() and (start == 0 or text[start - 1] not in LOCAL):
+            name, host = DOT_WORD.sub(".", text[start : m.start()]), DOT_WORD.sub(".", m["host"])
+            end = m.end()
+            yield start, end, f"{name}@{host}"
+            m = WRITTEN_HOST.search(text, end)
+        else:
+            # A sign without a name may be a label of the host before the next one.
+            m = WRITTEN_HOST.search(text, m.start() + 1)
 
 
 #: The transducers in the order in which they run.
@@ -242,7 +296,7 @@ TRANSDUCERS: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
     (AT_IN_BRACKETS, lambda m: "@"),
     (DOT_IN_BRACKETS, lambda m: "."),
     (MARKED, lambda m: "@"),
-    (WRITTEN_EMAIL, written_email),
+    (WRITTEN_HOST, written_emails),
     (DOTTED_EMAIL, lambda m: f"{m['name']}@{m['host']}"),
     (SPOKEN, spoken),
     (NUMBER_DOT, lambda m: "."),
@@ -253,7 +307,10 @@ TRANSDUCERS: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
 def normalised(text: str) -> Aligned:
     aligned = Aligned.of(text)
     for pattern, to in TRANSDUCERS:
-        aligned = aligned.rewrite(pattern, to)
+        if to is written_emails:
+            aligned = aligned.replaced(written_emails(aligned.text))
+        else:
+            aligned = aligned.rewrite(pattern, to)
     return aligned
 
 
