@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.llm.common import written
 from gridtally.llm.words import dealt, split_words, windows, word_hashes
 
 WINDOW = 20
@@ -31,8 +32,10 @@ WINDOW = 20
 CHUNK = 800_000
 BUCKET = 2_000_000
 TEXTS = 8_000_000
-#: Stands for a NULL doc_id: after all others.
-NO_ID = (1 << 63) - 1
+#: Inner ids of rows without a doc_id begin here: after all others.
+NO_ID = 1 << 62
+#: Bits that tell texts of one doc_id apart, where some doc_id has several.
+TIE_BITS = 24
 
 FLAG, PROBE, TEXT = 0, 1, 2
 SCHEMA = "kind int, bucket long, dest long, hashes binary, places binary, ids binary, counts binary"
@@ -350,7 +353,7 @@ def cut(found: DataFrame, window: int) -> DataFrame:
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """doc, n_words and whole_sha256 of every row."""
+    """doc, doc_id, n_words and whole_sha256 of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,13 +361,15 @@ def whole(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([digest(w) for w in words], pa.string()),
                 ],
-                names=["doc", "n_words", "whole_sha256"],
+                names=["doc", "doc_id", "n_words", "whole_sha256"],
             )
 
-    return docs.mapInArrow(of, "doc long, n_words long, whole_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(of, f"doc long, doc_id {kind}, n_words long, whole_sha256 string")
 
 
 def repeated_passages(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -375,32 +380,52 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """
     if window % 2 or window < 2:
         raise ValueError("the window must be an even number of words")
+    texts = numbered(docs).select("doc", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // 6 // BUCKET)
     parts = max(64, size // TEXTS)
-    texts = numbered(docs)
     flags = met(probes(texts, window // 2, buckets, parts), window // 2, buckets, parts)
     sent = around_anchors(packed_texts(texts, parts), flags, window, buckets, parts)
     return cut(repeats(sent, buckets, parts), window)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    """doc, text, doc_id: ``doc`` is an inner id, one for each distinct doc_id and text, in order of doc_id.
+
+    It is the doc_id itself where every one has a single text. Else the text's hash stands in
+    its low bits, so that texts of one doc_id are documents of their own. Rows without a
+    doc_id come last, told apart by 62 bits of the hash. Where doc_ids leave no room for
+    that, the sorted pairs of doc_id and hash are numbered and joined.
+    """
+    number, text_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
+    none = F.lit(NO_ID) + F.shiftrightunsigned(text_hash, 2)
+    ids = docs.select(number.alias("number"), text_hash.alias("hash")).where(F.col("number").isNotNull())
+    several = ids.groupBy("number").agg((F.min("hash") != F.max("hash")).alias("several"))
+    facts = several.agg(F.min("number"), F.max("number"), F.max("several")).first()
+    least, most, tie = facts[0] or 0, facts[1] or 0, TIE_BITS if facts[2] else 0
+    if most - least < NO_ID >> tie and (tie or -NO_ID <= least <= most < NO_ID):
+        low = text_hash.bitwiseAND(F.lit((1 << tie) - 1))
+        inner = F.shiftleft(number - least, tie) + low if tie else number
+        return docs.select(F.coalesce(inner, none).alias("doc"), "text", "doc_id")
+    order = written(ids.distinct().orderBy("number", "hash").select("*", F.monotonically_increasing_id().alias("place")), "ids")
+    keyed = docs.select(number.alias("number"), text_hash.alias("hash"), "text", "doc_id").join(order, ["number", "hash"], "left")
+    return keyed.select(F.coalesce("place", F.lit(NO_ID) + F.shiftrightunsigned("hash", 2)).alias("doc"), "text", "doc_id")
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, one row for each row of ``docs``.
 
     Words are what stands between ASCII white space. A NULL or empty text, and one shorter
-    than the window, loses nothing. Rows with one doc_id and the same text get the same result and do not
-    remove each other's words; if their texts differ, what is found at a place of either
-    counts for both. doc_id must be a whole number; NULLs come after all others. Other columns
+    than the window, loses nothing. Rows with one doc_id and the same text are one document:
+    they get the same result and do not remove each other's words. Different texts of one
+    doc_id are documents in the order of their hashes. doc_id must be a whole number; rows
+    without one come after all others, in the order of their texts' hashes. Other columns
     are not read; an empty table gives an empty result.
     """
     found = repeated_passages(docs, window=window).drop("kept")
     rows = whole(numbered(docs)).join(found, ["doc", "whole_sha256"], "left")
     return rows.select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        "doc_id",
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
