@@ -22,9 +22,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import written
+from gridtally.llm.common import shielded, written
 from gridtally.llm.graph import components
 from gridtally.llm.words import dealt, split_words, windows, word_hashes
 
@@ -476,6 +477,20 @@ def linked_documents(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     )
 
 
+#: Tasks over which the rows of one component are spread when they meet its row.
+SALTS = 16
+
+
+def with_root(placed: DataFrame, per_root: DataFrame) -> DataFrame:
+    """Rows that have a root, each with its root's row of ``per_root``; others are left out.
+
+    A component may hold a third of all rows, so its one row is repeated for ``SALTS`` tasks.
+    """
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")
+    spread = per_root.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.where(F.col("root").isNotNull()).withColumn("_salt", salt).join(spread, ["root", "_salt"]).drop("_salt")
+
+
 def jaccard_components(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id, one row for each row of ``docs``.
 
@@ -488,35 +503,48 @@ def jaccard_components(docs: DataFrame, *, size: int = SHINGLE, threshold: int =
     empty result.
     """
     placed = linked_documents(docs, size, threshold)
+    placed = written(placed, "linked")
     least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    alone = placed.where(F.col("root").isNull()).withColumn("component_id", F.col("doc_id"))
+    return with_root(placed, least).select(*columns).unionByName(alone.select(*columns))
 
 
-#: A column name that documents must not have.
+#: Names beside those of the documents, which are shielded.
 HASH = "_llm_text_hash"
+MARK = "_llm_mark"
+#: Marks that every task may have: 24 bytes each. More are joined by shuffle.
+FEW_MARKS = 2_000_000
 
 
 def one_of_each(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows, with all columns, of one document for each component: the smallest doc_id's.
 
-    Of equal doc_ids with different texts the one with the smaller text hash stays, of
-    rows equal in both one. Texts without shingles stay. NULL ids come after all others.
+    Of equal doc_ids with different texts the one with the smaller text hash stays. Of rows
+    equal in both one stays, the first by its other columns as JSON. Rows without shingles
+    (a NULL or empty text, one of white space) all stay, repeated or not. NULL ids come after
+    all others. Names of other columns do not matter. An empty table gives an empty result.
+
+    Only rows of linked or repeated documents are marked; the marks are narrow.
     """
-    placed = written(linked_documents(docs, size, threshold), "linked")
+    rows = shielded(docs, ["doc_id", "text"])
+    columns = rows.columns
+    placed = written(linked_documents(rows, size, threshold).where(F.col("n") > 0), "linked")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    linked = placed.where(F.col("root").isNotNull())
-    first = linked.groupBy("root").agg(F.min(key).alias("first"))
-    out = (
-        linked.join(first, "root")
-        .where(~key.eqNullSafe(F.col("first")))
-        .select("doc_id", "text_hash")
-        .distinct()
-        .alias("out")
-    )
-    hashed = docs.withColumn(HASH, F.xxhash64("text")).alias("docs")
-    same = F.col("docs.doc_id").eqNullSafe(F.col("out.doc_id")) & (F.col(f"docs.{HASH}") == F.col("out.text_hash"))
-    return hashed.join(out, same, "left_anti").dropDuplicates(["doc_id", HASH]).select(*docs.columns)
+    # A row is linked if its component has another row; its root is its own node otherwise.
+    least = placed.groupBy("root").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where(F.col("rows") > 1)
+    kept = key.eqNullSafe(F.col("first"))
+    marks = written(
+        with_root(placed, least).select("doc_id", "text_hash", kept.alias("kept")).groupBy("doc_id", "text_hash", "kept").count(),
+        "marks",
+    ).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("kept", "count").alias(MARK))
+    if marks.count() <= FEW_MARKS:
+        marks = F.broadcast(marks)
+    hashed = rows.withColumn(HASH, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(HASH) == F.col("_hash"))
+    marked = hashed.join(marks, same, "left").where(F.col(MARK).isNull() | F.col(f"{MARK}.kept"))
+    alone = F.col(MARK).isNull() | (F.col(f"{MARK}.count") == 1)
+    others = F.to_json(F.struct(*[c for c in columns if c not in ("doc_id", "text")], F.lit(0)))
+    turn = F.row_number().over(W.partitionBy("doc_id", HASH).orderBy(others))
+    repeated = marked.where(~alone).withColumn(MARK, turn).where(F.col(MARK) == 1)
+    return marked.where(alone).select(*columns).unionByName(repeated.select(*columns)).toDF(*docs.columns)

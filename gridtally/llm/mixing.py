@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import written
+from gridtally.llm.common import shielded, written
 
 #: Slots of a period: a source's share of its group is a whole multiple of 1 / PERIOD. A group
 #: has as many sources as the root of it at most.
@@ -275,9 +275,15 @@ def pfair_mix(
 
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs``, sorted into the order of the mix."""
+    """The rows and columns of ``docs``, sorted into the order of the mix.
+
+    Rows of equal place are in order of doc_id; repeated rows stand side by side. Names of
+    other columns do not matter. An empty table gives an empty result.
+    """
     place = F.col(PLACE)
-    return with_places(docs).orderBy(place["slot"], place["at"], "doc_id").select(*docs.columns)
+    rows = shielded(docs, ["doc_id", "source", "text"])
+    mixed = with_places(rows).orderBy(place["slot"], place["at"], "doc_id")
+    return mixed.select(*rows.columns).toDF(*docs.columns)
 
 
 #: The rows of pfair_mix over documents, as ``op9_pfair_mix`` selects them.
