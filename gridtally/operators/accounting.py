@@ -20,7 +20,7 @@ def site_accounting(
 
     With ``keys_per_level`` each level keeps that many of its last keys in key order
     under each parent. A level ranks the distinct keys, not the groups, in salted parts
-    first. The sites come from a distributed top-k.
+    first.
     """
     bound = [F.lit(t).cast("timestamp_ntz") for t in (start, end)]
     names = [name for _, name in BUCKET_LEVELS]
@@ -31,21 +31,37 @@ def site_accounting(
         .groupBy(*names)
         .agg(exact_sum("bytes").cast("double").alias("bytes"))
     )
-    kept = groups
-    if keys_per_level is not None:
-        sites = groups.select("site").distinct().orderBy(F.desc("site")).limit(keys_per_level)
-        kept = kept.join(sites, "site", "left_semi")
-        for depth in range(1, len(names)):
-            keys = names[: depth + 1]
-            last = first_of_each(
-                groups.select(*keys).distinct(), keys[:-1], F.desc(keys[-1]), keys[-1], keys_per_level
-            )
-            kept = kept.join(last, keys, "left_semi")
+    kept = groups if keys_per_level is None else last_keys(groups, names, keys_per_level)
     return kept.withColumn("datetime", F.lit(start).cast("timestamp_ntz")).select(
         "datetime", *names, "bytes"
     )
 
 
+def last_keys(groups: DataFrame, names: list[str], n: int) -> DataFrame:
+    """The groups of which every key is among the last n distinct ones under its parent.
+
+    A group stands for a node of each level, its keys up to there. The nodes of all levels
+    are made distinct, ranked under their parents and met by the groups together, so the
+    groups are computed once and the number of shuffles does not follow the levels.
+    """
+    levels = len(names)
+    path = [F.when(F.lit(i) <= F.col("depth"), F.col(c)).otherwise("") for i, c in enumerate(names)]
+    node = [f"node_{i}" for i in range(levels)]
+    nodes = groups.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns(
+        dict(zip(node, path, strict=True))
+    )
+    # The node's largest bytes say nothing new, but both readers of the groups then share one shuffle.
+    distinct = nodes.groupBy("depth", *node).agg(F.max("bytes").alias("most"))
+    parent = [f"parent_{i}" for i in range(levels - 1)]
+    above = {c: F.when(F.lit(i) < F.col("depth"), F.col(node[i])).otherwise("") for i, c in enumerate(parent)}
+    keys = distinct.withColumns({**above, "key": F.get(F.array(*node), F.col("depth"))})
+    last = first_of_each(keys, ["depth", *parent], F.desc("key"), "key", n).select("depth", *node, "most")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("depth", *node)]
+    mine = nodes.alias("a").join(last.alias("b"), [*same, F.col("a.bytes") <= F.col("b.most")], "left_semi")
+    met = mine.groupBy(*names, "bytes").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(F.col("met") == levels).drop("met")
+
+
 def flatten_buckets(answers: DataFrame, json_col: str, start: str) -> DataFrame:
     """Rows of a nested bucket answer kept as JSON text."""
     tree = F.from_json(json_col, bucket_tree_ddl())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import gridtally as gt
 from gridtally.functions import predicates
 from gridtally.plans.catalog import QUERIES
-from gridtally.plans.fixtures import access_log
+from gridtally.plans.fixtures import access_log, accounting_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +88,15 @@ def test_large_ranks_run_in_parts(spark):
     log = access_log(spark, SF)
     text = plan(gt.metric_pivot(log, "number_of_jobs", "sum", by="datasetname", limit=2000))
     assert re.search(r"Window \[row_number\(\) windowspecdefinition\(site_cloud#\d+, _part#\d+", text)
+
+
+def test_limits_of_all_levels_share_one_scan(spark, no_auto_broadcast, tmp_path):
+    path = str(tmp_path / "documents")
+    accounting_documents(spark, SF).write.parquet(path)
+    documents = spark.read.parquet(path)
+    rows = gt.site_accounting(documents, "1992-01-01 00:00:00", "2002-01-01 00:00:00", keys_per_level=2)
+    rows.collect()
+    text = plan(rows).split("== Initial Plan ==")[0]
+    assert text.count("ReusedExchange") == 1
+    assert text.count("FileScan") == 1
+    assert len(re.findall(r"[+:]- Exchange hashpartitioning", text)) < 8
