@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.days import BATCH, DAY, INSTANT, read_states, with_day, write_states
 from ..functions.lookbacks import band, lookbacks_of, within_longest
 from ..functions.measures import exact_sum, is_whole
 from ..functions.predicates import not_null, quality
@@ -73,20 +74,50 @@ def overall_popularity(
     combined on the map side, and no copy of the record per look-back.
     """
     lookbacks = lookbacks or POPULARITY_LOOKBACKS
-    df = within_longest(df.where(quality(data_type=data_type)), as_of, lookbacks, time_col)
-    keys = ["ds_scope", "ds_data_type_desc"]
-    df = df.where(not_null(*keys)).withColumns(
-        {
-            "ds_data_type_desc": strip_digits("ds_data_type_desc"),
-            "band": band(as_of, lookbacks, time_col),
-        }
-    )
-    groups = ["lookback", *keys]
+    df = within_longest(df, as_of, lookbacks, time_col)
+    df = _grouped(df, data_type).withColumn("band", band(as_of, lookbacks, time_col))
+    return _report(_sums(df, ["band"]), _values(df, "band"), as_of, lookbacks)
+
+
+KEYS = ["ds_scope", "ds_data_type_desc"]
+
+
+def write_popularity_states(
+    df: DataFrame, path: str, batch: str, *, data_type: str = "DAOD", time_col: str = "task_modificationtime"
+) -> None:
+    """The states of a batch of records, from which :func:`popularity_from_states` reports.
+
+    Sums and counts per day and group, and the distinct values of a day and group: exact, and
+    merged with those of other batches when they are read.
+    """
+    df = with_day(_grouped(df, data_type), time_col)
+    write_states(_sums(df, [DAY, INSTANT]), f"{path}/sums", batch)
+    write_states(_values(df, DAY, INSTANT), f"{path}/values", batch)
+
+
+def popularity_from_states(
+    spark: SparkSession, path: str, *, as_of: str, lookbacks: dict[str, int] | None = None
+) -> DataFrame:
+    """:func:`overall_popularity` of all batches written, without their records."""
+    lookbacks = lookbacks or POPULARITY_LOOKBACKS
+    sums = read_states(spark, f"{path}/sums", as_of, lookbacks).drop(DAY, INSTANT, BATCH)
+    values = read_states(spark, f"{path}/values", as_of, lookbacks)
+    return _report(sums, values, as_of, lookbacks)
+
+
+def _grouped(df: DataFrame, data_type: str) -> DataFrame:
+    df = df.where(quality(data_type=data_type)).where(not_null(*KEYS))
+    return df.withColumn("ds_data_type_desc", strip_digits("ds_data_type_desc"))
+
+
+def _report(sums: DataFrame, values: DataFrame, as_of: str, lookbacks: dict[str, int]) -> DataFrame:
+    """The report from sums and values by group, each row of one band."""
+    groups = ["lookback", *KEYS]
     report = (
-        _additive(df, keys, lookbacks)
+        sums.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))
         .groupBy(*groups)
         .agg(*_merge_additive())
-        .join(_distinct(df, keys, lookbacks), groups, "left")
+        .join(_distinct(values, lookbacks), groups, "left")
     )
     newest, day = F.lit(as_of).cast("date"), "yyyy-MM-dd"
     oldest = F.lit(None).cast("date")
@@ -100,7 +131,7 @@ def overall_popularity(
     )
 
 
-def _additive(df: DataFrame, keys: list[str], lookbacks: dict[str, int]) -> DataFrame:
+def _sums(df: DataFrame, when: list[str]) -> DataFrame:
     created, started = F.col("task_creationdate"), F.col("attempt_start")
     df = df.withColumn("queue_seconds", queue_seconds(created, started))
     sums = [
@@ -108,8 +139,7 @@ def _additive(df: DataFrame, keys: list[str], lookbacks: dict[str, int]) -> Data
         for c in [*SUM_COLUMNS, *MEAN_COLUMNS]
     ]
     counts = [F.count(c).alias(f"count_{c}") for c in MEAN_COLUMNS]
-    per_band = df.groupBy(*keys, "band").agg(*sums, *counts)
-    return per_band.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))
+    return df.groupBy(*KEYS, *when).agg(*sums, *counts)
 
 
 def _merge_additive() -> list:
@@ -124,24 +154,25 @@ def _merge_additive() -> list:
     return merged
 
 
-def _distinct(df: DataFrame, keys: list[str], lookbacks: dict[str, int]) -> DataFrame:
+def _values(df: DataFrame, *when: str) -> DataFrame:
+    """A row for each value ``v`` of the j-th counted column, in each of ``when``."""
     values = F.array(
         *[
             F.struct(F.lit(j).alias("j"), F.col(c).cast("string").alias("v"))
             for j, c in enumerate(DISTINCT_COLUMNS)
         ]
     )
-    newest = (
-        df.select(*keys, "band", F.inline(values))
-        .where(F.col("v").isNotNull())
-        .groupBy(*keys, "j", "v")
-        .agg(F.min("band").alias("band"))
-    )
-    per_band = newest.groupBy(*keys, "band").agg(
+    rows = df.select(*KEYS, *when, F.inline(values)).where(F.col("v").isNotNull())
+    return rows if when == ("band",) else rows.distinct()
+
+
+def _distinct(values: DataFrame, lookbacks: dict[str, int]) -> DataFrame:
+    newest = values.groupBy(*KEYS, "j", "v").agg(F.min("band").alias("band"))
+    per_band = newest.groupBy(*KEYS, "band").agg(
         *[F.count_if(F.col("j") == j).alias(n) for j, n in enumerate(DISTINCT_COLUMNS.values())]
     )
     return (
         per_band.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))
-        .groupBy("lookback", *keys)
+        .groupBy("lookback", *KEYS)
         .agg(*[F.sum(n).alias(n) for n in DISTINCT_COLUMNS.values()])
     )

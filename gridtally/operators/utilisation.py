@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.days import DAY, INSTANT, read_states, with_day, write_states
 from ..functions.lookbacks import LOOKBACK_DAYS, band, lookbacks_of, within_longest
 from ..functions.measures import (
     QUANTILES,
@@ -148,6 +149,55 @@ def site_metrics(
     return merged.select(*keys, *[_value(m, j).alias(m.name) for j, m in enumerate(metrics)])
 
 
+def write_site_states(
+    df: DataFrame,
+    path: str,
+    batch: str,
+    metrics: list[Metric] = REPORT_METRICS,
+    *,
+    by: tuple[str, ...] = ("ds_scope",),
+    split: str = SPLIT,
+    level: str = LEVEL,
+    time_col: str = "task_modificationtime",
+) -> None:
+    """The states of a batch of records, from which :func:`site_metrics_from_states` reports.
+
+    A row for each day, group and combination of counted values, with the metrics' sums, counts
+    and extremes. Quantiles have no such states.
+    """
+    keys = [*by, split, level]
+    values = dict.fromkeys(m.column for m in metrics if m.how == "nunique")
+    states = [
+        start.alias(name)
+        for j, m in enumerate(metrics)
+        for name, (start, _) in _states(m, j, is_whole(df, m.column)).items()
+        if start is not None
+    ]
+    rows = with_day(df.where(not_null(*keys)), time_col).groupBy(*keys, *values, DAY, INSTANT)
+    write_states(rows.agg(*(states or [F.count(F.lit(1)).alias("c")])), path, batch)
+
+
+def site_metrics_from_states(
+    spark: SparkSession,
+    path: str,
+    metrics: list[Metric] = REPORT_METRICS,
+    *,
+    as_of: str,
+    by: tuple[str, ...] = ("ds_scope",),
+    split: str = SPLIT,
+    level: str = LEVEL,
+    lookbacks: dict[str, int] | None = None,
+) -> DataFrame:
+    """:func:`site_metrics` with look-backs of all batches written, without their records."""
+    lookbacks = lookbacks or LOOKBACK_DAYS
+    keys = ["lookback", *by, split, level]
+    rows = read_states(spark, path, as_of, lookbacks)
+    rows = rows.withColumn("lookback", F.explode(lookbacks_of("band", lookbacks)))
+    merge = [again.alias(n) for j, m in enumerate(metrics) for n, (_, again) in _states(m, j, True).items()]
+    merged = rows.groupBy(*keys).agg(*(merge or [F.sum("c").alias("c")]))
+    return merged.select(*keys, *[_value(m, j).alias(m.name) for j, m in enumerate(metrics)])
+
+
 # --- long reports -----------------------------------------------------------
 
 

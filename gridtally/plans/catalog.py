@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import gridtally as gt
 
 from ..functions import intervals, measures, predicates, scalars
-from ..operators import extracts, frequency, utilisation
+from ..operators import extracts, frequency, overview, utilisation
 from ..operators.rolling import backfill as fill_back
 from ..operators.validation import split_label
 from ..schema import ACCESS_LOG_DDL, bucket_tree_ddl, declared_schema
@@ -340,6 +340,34 @@ def overall_popularity(spark, sf_dir):
     return gt.overall_popularity(recent, as_of=AS_OF)
 
 
+def _in_batches(log: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Records around the look-backs: up to a day, after it, and late ones of both; the first comes again."""
+    when, late = F.col("task_modificationtime"), F.col("jeditaskid") % 10 == 0
+    near = log.where(predicates.between("task_modificationtime", moment("2001-03-20 00:00:00"), moment("2001-06-10 00:00:00")))
+    cut = moment("2001-05-10 00:00:00")
+    first = ("first", near.where((when < cut) & ~late))
+    return [first, ("second", near.where((when >= cut) & ~late)), ("late", near.where(late)), first]
+
+
+@query
+def utilisation_from_states(spark, sf_dir):
+    """The utilisation of sites from the daily states of three batches."""
+    log = access_log(spark, sf_dir).where(predicates.quality(data_type=DATA_TYPE))
+    path = workspace.fresh_path(spark, "states")
+    for name, batch in _in_batches(gt.with_fractions(log)):
+        utilisation.write_site_states(batch, path, name)
+    return gt.site_report(utilisation.site_metrics_from_states(spark, path, as_of=AS_OF))
+
+
+@query
+def popularity_from_states(spark, sf_dir):
+    """Overall popularity from the daily states of three batches."""
+    path = workspace.fresh_path(spark, "states")
+    for name, batch in _in_batches(access_log(spark, sf_dir)):
+        overview.write_popularity_states(batch, path, name)
+    return overview.popularity_from_states(spark, path, as_of=AS_OF)
+
+
 @query
 def task_execution(spark, sf_dir):
     return gt.task_execution(access_log(spark, sf_dir), start="2001-03-15", end="2001-04-15")

@@ -655,6 +655,9 @@ FROM weekly WHERE present""",
     "utilisation_sites": report_sql(
         REPORT, UTILISATION, "seen", clouds=False, extra="lookback, "
     ),
+    "utilisation_from_states": report_sql(
+        REPORT, UTILISATION, "seen", clouds=False, extra="lookback, "
+    ),
     "utilisation_clouds": report_sql(REPORT, UTILISATION, "seen", clouds=True, extra="lookback, "),
     "dashboard_sites": report_sql(REPORT, DASHBOARD, "x", clouds=False),
     "dashboard_clouds": report_sql(REPORT, DASHBOARD, "x", clouds=True),
@@ -706,6 +709,7 @@ FROM access_log"""
     + ")",
     "single_dataset_wide": SINGLE,
     "overall_popularity": POPULARITY,
+    "popularity_from_states": POPULARITY,
     "task_execution": sql(
         f"""
 SELECT datasetname, jeditaskid, institute_name, task_status, ds_replicas_sites, site_name,
