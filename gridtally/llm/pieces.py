@@ -12,36 +12,39 @@ Pieces are looked up by Aho-Corasick in one pass over the reversed text, which g
 longest piece that starts at each position. Pairs are checked by merging their characters.
 
 A text is cut where two characters meet that no piece holds side by side, as nothing is
-merged there: before a blank that follows something else, for the usual vocabularies. What
-lies between two cuts is encoded once and kept by the worker.
+merged there: first before blanks that follow something else, which is such a place in the
+usual vocabularies, then anywhere. What lies between two cuts is encoded once and kept by
+the worker, as is what lies between two blanks.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLANK = "▁"
 #: Entries that a worker keeps; beyond them it starts over.
-CACHE_ENTRIES = 300_000
-CACHE_PAIRS = 1_000_000
-#: Ids in a batch handed back to Spark, unless one text has more.
-BATCH_IDS = 2_000_000
+CACHE_ENTRIES = 250_000
+CACHE_PAIRS = 400_000
+#: Bytes of ids in a batch handed back to Spark, unless one text has more.
+BATCH_BYTES = 8_000_000
 
 
 class PartIds(dict):
-    """Part of a text to its ids; a missing part is encoded and kept, up to a number of entries."""
+    """Part of a text to its packed ids; a missing part is encoded and kept, up to a number of entries."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         ids = self.encode(part)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
@@ -50,6 +53,20 @@ class PartIds(dict):
         return ids
 
 
+class Fitting(dict):
+    """(left, guess) to the longest start of ``guess`` that may follow ``left``; None if there is none."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, pair: tuple[str, str]) -> str | None:
+        if len(self) >= CACHE_PAIRS:
+            self.clear()
+        token = self[pair] = self.find(*pair)
+        return token
+
+
 class PieceVocabulary:
     """Pieces with scores and ids, and the ways to encode and decode with them."""
 
@@ -74,11 +91,13 @@ class PieceVocabulary:
         for name in names:
             self.finder.add_word(name[::-1], len(name))
         self.finder.make_automaton()
-        cut = not any(BLANK in name.lstrip(BLANK) for name in names)
+        self.beside = {pair for name in names for pair in zip(name, name[1:])}
+        cut = all(left == BLANK for left, right in self.beside if right == BLANK)
         self.parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if cut else "(?s).+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.fitting = Fitting(self.find_fitting)
         self.shorter: dict[str, str] = {}
         self.kept = PartIds(self.part_ids)
+        self.kept_runs = PartIds(self.run_ids)
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text, merged best score first, leftmost among equals."""
@@ -95,11 +114,12 @@ class PieceVocabulary:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether two tokens may stand side by side; an empty left one is the text's start."""
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        whole = self.merged(left + right) == ([left, right] if left else [right])
-        self.pairs[left, right] = whole
-        return whole
+        return self.merged(left + right) == ([left, right] if left else [right])
+
+    def find_fitting(self, left: str, guess: str | None) -> str | None:
+        while guess is not None and not self.fits(left, guess):
+            guess = self.next_shorter(guess)
+        return guess
 
     def next_shorter(self, token: str) -> str | None:
         """The longest piece, or else the character, that the token starts with; None for a character."""
@@ -109,58 +129,71 @@ class PieceVocabulary:
             known = self.shorter[token] = token[: next(ends)]
         return known
 
-    def longest(self, text: str) -> bytearray:
-        """For every position the length of the longest piece that starts there, 1 where none does."""
-        last = len(text) - 1
-        lengths = bytearray(b"\1" * len(text))
-        for end, length in self.finder.iter(text[::-1]):
-            if length > lengths[last - end]:
-                lengths[last - end] = length
-        return lengths
+    def longest(self, text: str) -> dict[int, int]:
+        """Length of the longest piece that starts at a position, by the position's distance from the end.
+
+        The finder reports the longest of several matches first, so in reverse it is kept.
+        """
+        return dict(list(self.finder.iter(text[::-1]))[::-1])
 
     def tokens(self, text: str) -> list[str]:
         """The tokens of a normalised text, by backtracking."""
-        size = len(text)
-        if not size:
+        last = len(text) - 1
+        if last < 0:
             return []
         lengths = self.longest(text)
-        pairs = self.pairs
-        failed = bytearray(size // 8 + 1)
+        fitting = self.fitting
+        failed = bytearray(last // 8 + 1)
         left, at = "", 0
         chosen = []
-        guess: str | None = text[: lengths[0]]
+        guess: str | None = text[: lengths.get(last, 1)]
         while True:
-            end = at + len(guess)
-            fits = pairs.get((left, guess))
-            if fits is None:
-                fits = self.fits(left, guess)
-            if fits and not failed[end >> 3] >> (end & 7) & 1:
-                chosen.append(left)
-                if end == size:
+            token = fitting[left, guess]
+            if token is not None:
+                end = at + len(token)
+                if end > last:
                     break
-                left, at = guess, end
-                guess = text[at : at + lengths[at]]
-                continue
-            guess = self.next_shorter(guess)
+                if failed[end >> 3] >> (end & 7) & 1:
+                    guess = self.next_shorter(token)
+                else:
+                    chosen.append(left)
+                    left, at = token, end
+                    guess = text[at : at + lengths.get(last - at, 1)]
+                    continue
+            else:
+                guess = None
             while guess is None:
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(left)
                 guess = self.next_shorter(left)
                 left = chosen.pop()
-        chosen.append(guess)
+        chosen += (left, token)
         return chosen[1:]
 
-    def part_ids(self, part: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for token in self.tokens(part):
-            number = self.ids.get(token)
-            out.extend([number] if number is not None else [self.byte_ids[b] for b in token.encode()])
-        return tuple(out)
+    def part_ids(self, part: str) -> bytes:
+        """The part's ids as packed 32-bit numbers, from the runs between its cuts."""
+        beside = self.beside
+        cuts = [i for i, pair in enumerate(zip(part, part[1:]), 1) if pair not in beside]
+        if not cuts:
+            return self.kept_runs[part]
+        runs = [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
+        return b"".join(map(self.kept_runs.__getitem__, runs))
+
+    def run_ids(self, run: str) -> bytes:
+        tokens = self.tokens(run)
+        try:
+            return array("I", map(self.ids.__getitem__, tokens)).tobytes()
+        except KeyError:
+            known = ((self.ids[t],) if t in self.ids else [self.byte_ids[b] for b in t.encode()] for t in tokens)
+            return array("I", chain.from_iterable(known)).tobytes()
+
+    def packed(self, normalised: str) -> bytes:
+        """The ids of a normalised text as packed 32-bit numbers."""
+        return b"".join(map(self.kept.__getitem__, self.parts.findall(normalised)))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, without begin or end ids."""
-        parts = self.parts.findall(self.library.normalize(text))
-        return list(chain.from_iterable(map(self.kept.__getitem__, parts)))
+        return np.frombuffer(self.packed(self.library.normalize(text)), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library puts it together."""
@@ -191,17 +224,19 @@ def piece_codes(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = vocabulary(path)
         for batch in batches:
-            ids: list[list[int]] = []
+            ids: list[bytes] = []
             decoded: list[str] = []
             start = size = 0
             for i, value in enumerate(batch.column(1)):
-                mine = ours.encode(value.as_py() or "")
+                mine = ours.packed(ours.library.normalize(value.as_py() or ""))
                 ids.append(mine)
-                decoded.append(ours.decode(mine))
+                decoded.append(ours.decode(np.frombuffer(mine, "<u4").tolist()))
                 size += len(mine)
-                if size >= BATCH_IDS or i + 1 == batch.num_rows:
-                    rows = batch.column(0).slice(start, len(ids))
-                    columns = [rows, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    cuts = np.cumsum([0, *map(len, ids)]) // 4
+                    numbers = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), numbers)
+                    columns = [batch.column(0).slice(start, len(ids)), lists, pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
                     ids, decoded, start, size = [], [], i + 1, 0
 
