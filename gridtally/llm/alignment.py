@@ -29,8 +29,8 @@ from gridtally.llm.tokens import NotSplittable, encoder, id_cache
 #: Pairs whose counts every task has (twelve bytes each). It bounds the broadcast and only
 #: affects speed: pairs beyond it are joined.
 TABLE_PAIRS = 500_000
-#: Bytes of text that are aligned in one go, unless one text has more.
-BATCH_BYTES = 4_000_000
+#: Bytes of packed ids that are aligned in one go, unless one text has more.
+BATCH_BYTES = 1_000_000
 #: Pairs that a task counts before it hands its counts on.
 COUNTED_PAIRS = 2_000_000
 
@@ -51,7 +51,10 @@ class ByteVocabulary:
             self.bytes[number] = token
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of a blank and the text; strings of added tokens are plain text."""
+        """Ids of a blank and the text; strings of added tokens are plain text.
+
+        Tokens are pieces of the text's bytes, so they add up to it.
+        """
         try:
             return np.frombuffer(b"".join(map(self.cache.__getitem__, text.split(" "))), "<u4")
         except NotSplittable:
@@ -62,16 +65,23 @@ class PieceBytes:
     """Ids of a piece vocabulary that begins a text with a blank, and the bytes of each."""
 
     def __init__(self, path: str):
-        self.encode = vocabulary(path).encode
-        pieces = vocabulary(path).library
+        self.vocabulary = vocabulary(path)
+        pieces = self.vocabulary.library
         self.size = pieces.vocab_size()
         self.bytes = [
             bytes([int(name[1:-1], 16)]) if pieces.is_byte(i) else name.replace(BLANK, " ").encode()
             for i, name in enumerate(pieces.id_to_piece(list(range(self.size))))
         ]
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encode(text), "<u4")
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of the text; None where they do not add up to a blank and the text.
+
+        Tokens are pieces of the normalised text, so they add up to it with its blanks.
+        """
+        normalised = self.vocabulary.library.normalize(text)
+        if normalised.replace(BLANK, " ") != " " + text:
+            return None
+        return np.frombuffer(self.vocabulary.packed(normalised), "<u4")
 
 
 _SIDES: dict[tuple, ByteVocabulary | PieceBytes] = {}
@@ -105,13 +115,9 @@ def tokenised(docs: DataFrame, first: str, second: str) -> DataFrame:
             packed: tuple[list[bytes], list[bytes]] = ([], [])
             for value in batch.column(1):
                 text = value.as_py()
-                ids = (one.ids(text), two.ids(text)) if text else (np.zeros(0, "<u4"),) * 2
-                if text:
-                    want = b" " + text.encode()
-                    joined = (b"".join(map(s.bytes.__getitem__, i.tolist())) for s, i in zip((one, two), ids))
-                    if any(j != want for j in joined):
-                        ids = (ids[0][:0], ids[1][:0])
-                for out, side, dtype in zip(packed, ids, small):
+                ids = two.ids(text) if text else None
+                both = (one.ids(text), ids) if ids is not None else (np.zeros(0, "<u4"),) * 2
+                for out, side, dtype in zip(packed, both, small):
                     out.append(side.astype(dtype).tobytes())
             columns = [batch.column(0), *(pa.array(p, pa.binary()) for p in packed)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b"])
@@ -172,20 +178,30 @@ class Aligned:
         made = len(starts) - 1
         before_b = np.concatenate([[0], np.cumsum(np.bincount(number[1], minlength=made))])
         before_a = np.concatenate([[0], np.cumsum(np.bincount(number[0], minlength=made))])
-        words = np.empty(len(a) + len(b), object)
-        for place, ids, mine, signs in (
-            (np.arange(len(a)) + before_b[number[0]], self.ids[0], number[0], ",|"),
-            (np.arange(len(b)) + before_a[number[1] + 1], self.ids[1], number[1], ",;"),
+        codes = np.empty(len(a) + len(b), np.int64)
+        for place, first, ids, mine in (
+            (np.arange(len(a)) + before_b[number[0]], 0, self.ids[0], number[0]),
+            (np.arange(len(b)) + before_a[number[1] + 1], 2 * self.one.size, self.ids[1], number[1]),
         ):
             closing = np.append(mine[1:] != mine[:-1], True) if len(mine) else np.zeros(0, bool)
-            known, at = np.unique(ids * 2 + closing, return_inverse=True)
-            words[place] = np.array([f"{k >> 1}{signs[k & 1]}" for k in known.tolist()], object)[at]
+            codes[place] = first + 2 * ids + closing
+        written = written_ids(self.one.size, self.two.size)
         at = 0
         for n in (self.counts[0] + self.counts[1]).tolist():
-            yield "".join(words[at : at + n].tolist())[:-1]
+            yield "".join(map(written.__getitem__, codes[at : at + n].tolist()))[:-1]
             at += n
 
 
+_WRITTEN: dict[tuple[int, int], list[str]] = {}
+
+
+def written_ids(*sizes: int) -> list[str]:
+    """Each id of A followed by a comma or a bar, then each of B by a comma or a semicolon."""
+    if sizes not in _WRITTEN:
+        _WRITTEN[sizes] = [f"{i}{sign}" for size, signs in zip(sizes, (",|", ",;")) for i in range(size) for sign in signs]
+    return _WRITTEN[sizes]
+
+
 def aligned(batch: pa.RecordBatch, first: str, second: str, lengths) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     """The batch in slices of bounded size, each with its alignment."""
     one, two = sides(first, second)
