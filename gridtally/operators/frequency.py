@@ -242,20 +242,32 @@ def frequency_for_list(
     )
 
 
-def mean_at_latest(df: DataFrame, value_col: str, time_col: str) -> DataFrame:
-    """Mean of the value over all rows at each dataset's latest time.
+def profile_with_latest_mean(
+    df: DataFrame, bounds: Column, n: int, *, value_col: str, time_col: str, count_col: str
+) -> DataFrame:
+    """The profile of each dataset, and ``_mean``: the value's mean over all rows at its latest time.
 
-    Two aggregates, both with map-side combine: per (dataset, time), then the
-    newest of those. No ranking window, so a hot dataset is not sorted in one task.
+    A record counts as an access of its interval and as a value at its time. Both are reduced
+    in one shuffle, by (dataset, interval, what) and (dataset, time), and put together per
+    dataset in the next. No ranking window, so a hot dataset is not sorted in one task.
     """
-    per_time = (
-        df.where(F.col(time_col).isNotNull())
-        .groupBy(DATASET, time_col)
-        .agg(F.sum(value_col).alias("_sum"), F.count(value_col).alias("_n"))
-    )
-    return per_time.groupBy(DATASET).agg(
-        div(F.max_by("_sum", time_col), F.max_by("_n", time_col)).alias("_mean")
+    index, df = interval_index(df, time_col, bounds, n)
+    kinds = {c: dict(df.dtypes)[c] for c in (count_col, time_col, value_col)}
+    none = {c: F.lit(None).cast(kind) for c, kind in kinds.items()}
+    no_value = none[value_col].alias("_value")
+    access = F.struct(index.alias("_i"), F.col(count_col).alias("_what"), none[time_col].alias("_t"), no_value)
+    latest = F.struct(
+        F.lit(None).cast("int").alias("_i"), none[count_col].alias("_what"), F.col(time_col).alias("_t"),
+        F.col(value_col).alias("_value"),
+    )
+    reduced = (
+        df.select(DATASET, F.inline(F.array(access, latest)))
+        .groupBy(DATASET, "_i", "_what", "_t")
+        .agg(F.sum("_value").alias("_sum"), F.count("_value").alias("_n"))
     )
+    counts = [F.count(F.when(F.col("_i") == k, F.col("_what"))).alias(f"n_{k}") for k in range(n)]
+    mean = div(F.max_by("_sum", "_t"), F.max_by("_n", "_t")).alias("_mean")
+    return reduced.groupBy(DATASET).agg(*counts, mean)
 
 
 def dataset_frequency(
@@ -267,17 +279,21 @@ def dataset_frequency(
     count_col: str = "jeditaskid",
 ) -> DataFrame:
     """Frequency, group frequency and optimal replicas, one row per dataset."""
-    bounds = time_bounds(df, time_col)
-    df = df.where(F.col(DATASET).isNotNull())
-    profile = access_profile(
-        df, bounds, n, keys=[DATASET], time_col=time_col, count_col=count_col
+    profile = profile_with_latest_mean(
+        df.where(F.col(DATASET).isNotNull()),
+        time_bounds(df, time_col),
+        n,
+        value_col="ds_replicas_number",
+        time_col=time_col,
+        count_col=count_col,
     )
     profile = _weighted(profile, n, scheme)
-    profile = profile.withColumns(
-        {"_af": _frequency(n), "_group": _group_frequency(profile, n, "weight")}
-    )
-    replicas = mean_at_latest(df, "ds_replicas_number", time_col)
-    return profile.join(replicas, DATASET, "left").select(
+    # The mean is named so that the total and the result share both shuffles.
+    group = profile.agg(
+        F.struct(F.sum("weight").alias("total"), F.count("weight").alias("n"), F.max("_mean").alias("mean"))
+    ).scalar()
+    profile = profile.withColumns({"_af": _frequency(n), "_group": div(group["total"], group["n"] * n)})
+    return profile.select(
         DATASET,
         F.col("_mean").alias("current_n_replicas"),
         F.col(f"n_{n - 1}").alias("current_accesses"),

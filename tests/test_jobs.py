@@ -158,9 +158,9 @@ def test_placement_leaves_out_idle_datasets(spark):
 
 def test_mean_at_latest(spark):
     rows = [("a", 1, "u", 0, 9), ("a", 2, "u", 5, 2), ("a", 3, "u", 5, 5), ("b", 1, "u", 5, None)]
-    got = by(frequency.mean_at_latest(log(spark, rows), "ds_replicas_number", "attempt_start"))
-    assert got["a"]["_mean"] == 3.5
-    assert got["b"]["_mean"] is None
+    got = by(gt.dataset_frequency(log(spark, rows)))
+    assert got["a"]["current_n_replicas"] == 3.5
+    assert got["b"]["current_n_replicas"] is None
 
 
 def test_frequency_for_list_counts_the_whole_list(spark):
