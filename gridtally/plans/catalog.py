@@ -582,6 +582,48 @@ def csv_bad_lines(spark, sf_dir):
     return files.read_csv(spark, path, _ddl(columns), header=False, drop_bad_lines=True)
 
 
+def _mixed_lines(log: DataFrame) -> DataFrame:
+    """Records as lines; some have a field too many, a name for a number, or a field too few."""
+    columns = ["jeditaskid", "datasetname", "number_of_jobs"]
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    line = F.concat_ws(",", *fields)
+    kind = F.col("jeditaskid") % 6
+    return log.select(
+        F.when(kind == 0, F.concat(line, F.lit(",more")))
+        .when(kind == 1, F.concat_ws(",", *fields[:2], F.col("site_name")))
+        .when(kind == 2, F.concat_ws(",", *fields[:2]))
+        .otherwise(line)
+        .alias("value")
+    )
+
+
+JUDGED = "jeditaskid bigint, datasetname string, number_of_jobs bigint"
+
+
+@query
+def csv_rejects(spark, sf_dir):
+    """Rows and rejects of the same lines: each line is one of them."""
+    path = workspace.fresh_path(spark, "csv")
+    _mixed_lines(access_log(spark, sf_dir)).write.text(path)
+    judged = files.read_csv_judged(spark.read, path, JUDGED, header=False)
+    rows = files.accepted(judged).withColumns({"text": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+    return rows.unionByName(files.rejected(judged).drop("file"), allowMissingColumns=True)
+
+
+@query
+def hourly_rejects(spark, sf_dir):
+    """The same taken in as a stream, which no line stops: rows and rejects as stored."""
+    path = workspace.fresh_path(spark, "hourly")
+    log = access_log(spark, sf_dir)
+    for part in (F.col("jobstatus") == "failed", F.col("jobstatus") != "failed"):
+        _mixed_lines(log.where(part)).write.mode("append").text(f"{path}/in")
+    judged = files.read_csv_judged(spark.readStream, f"{path}/in", JUDGED, header=False)
+    hourly.start(judged, f"{path}/log", f"{path}/checkpoint", rejects_path=f"{path}/rejects").awaitTermination()
+    rows = spark.read.parquet(f"{path}/log").select("jeditaskid", "datasetname", "number_of_jobs")
+    rejects = spark.read.parquet(f"{path}/rejects").select("text", "reason")
+    return rows.unionByName(rejects, allowMissingColumns=True)
+
+
 @query
 def upsert_by_task(spark, sf_dir):
     log = access_log(spark, sf_dir).select(*RECORD, "task_modificationtime")

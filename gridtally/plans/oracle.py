@@ -537,6 +537,15 @@ SELECT {RECORD} FROM access_log
 WHERE {BATCH} OR jeditaskid NOT IN (SELECT jeditaskid FROM access_log WHERE {BATCH})""",
 )
 
+REJECTS = sql(
+    """
+SELECT CASE WHEN k > 1 THEN jeditaskid END AS jeditaskid, CASE WHEN k > 1 THEN datasetname END AS datasetname,
+  CASE WHEN k > 2 THEN number_of_jobs END AS number_of_jobs,
+  CASE k WHEN 0 THEN head || ',' || CAST(number_of_jobs AS VARCHAR) || ',more' WHEN 1 THEN head || ',' || site_name END AS text,
+  CASE k WHEN 0 THEN '4 fields instead of 3' WHEN 1 THEN 'number_of_jobs is no bigint' END AS reason
+FROM (SELECT *, jeditaskid % 6 AS k, CAST(jeditaskid AS VARCHAR) || ',' || coalesce(datasetname, '') AS head FROM access_log)"""
+)
+
 DASHBOARD = [log(USABLE)]
 CLOUD_NAMES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -792,6 +801,8 @@ SELECT jeditaskid, datasetname, site_name,
 SELECT jeditaskid, number_of_jobs, datasetname FROM access_log
 WHERE jobstatus <> 'failed' AND jeditaskid % 7 <> 0"""
     ),
+    "csv_rejects": REJECTS,
+    "hourly_rejects": REJECTS,
     "upsert_by_task": UPSERT,
     "hourly_batches": UPSERT,
     "replace_stored": UPSERT,

@@ -194,3 +194,38 @@ def test_json_records(spark, folder):
     assert docs[1] == '{"jeditaskid":2}'
     files.write_json(df, folder)
     assert rows_of(spark.read.schema(DDL).json(folder)) == rows_of(df)
+
+
+def test_rejects_and_rows_equal_the_lines(spark, folder):
+    ddl = "jeditaskid bigint, name string, started timestamp_ntz"
+    good = ['1,"a, ""b""",2021-02-01 00:00:00', "2,,", "3", '4,"x\t"', "5,y,2021-02-01 10:00:00"]
+    bad = {
+        "x,y,2021-02-01 00:00:00": "jeditaskid is no bigint",
+        "6,y,soon": "started is no timestamp_ntz",
+        "7,y,2021-02-01 00:00:00,more": "4 fields instead of 3",
+        '8,"a,b",,': "4 fields instead of 3",
+        "1.5": "jeditaskid is no bigint",
+        "99999999999999999999,y,": "jeditaskid is no bigint",
+    }
+    lines = [*good, *bad, ""]
+    for part in (lines[:4], lines[4:]):
+        spark.createDataFrame([(x,) for x in part], "v string").coalesce(1).write.mode("append").text(f"{folder}/in")
+    judged = files.read_csv_judged(spark.read, f"{folder}/in", ddl, header=False)
+    rejects = files.rejected(judged).collect()
+    assert {r.text: r.reason for r in rejects} == bad
+    assert all(folder in r.file for r in rejects)
+    rows = rows_of(files.accepted(judged))
+    assert [r[:2] for r in rows] == [(1, 'a, "b"'), (2, None), (3, None), (4, "x\t"), (5, "y")]
+    assert judged.count() == len(good) + len(bad)
+    stream = files.read_csv_judged(spark.readStream, f"{folder}/in", ddl, header=False)
+    for _ in range(2):
+        hourly.start(stream, f"{folder}/log", f"{folder}/cp", rejects_path=f"{folder}/rejects").awaitTermination()
+    assert rows_of(spark.read.parquet(f"{folder}/log").drop("batch_id")) == rows
+    assert {r.text: r.reason for r in spark.read.parquet(f"{folder}/rejects").collect()} == bad
+
+
+def test_rejects_with_a_header(spark, folder):
+    spark.createDataFrame([("jeditaskid,name",), ("1,a",), ("b,c",)], "v string").coalesce(1).write.text(folder)
+    judged = files.read_csv_judged(spark.read, folder, "jeditaskid bigint, name string")
+    assert rows_of(files.accepted(judged)) == [(1, "a")]
+    assert [(r.text, r.reason) for r in files.rejected(judged).collect()] == [("b,c", "jeditaskid is no bigint")]
