@@ -437,6 +437,18 @@ def log_table(spark, sf_dir):
     return files.read_log(spark, path, "2001-03-15 00:00:00", AS_OF, columns)
 
 
+@query
+def clustered_lookup(spark, sf_dir):
+    """The log laid out by time and dataset; two years of the first dataset read from it."""
+    path = workspace.fresh_path(spark, "log")
+    columns = ["jeditaskid", "datasetname", "site_name", "task_modificationtime", "number_of_jobs"]
+    log = access_log(spark, sf_dir).select(*columns)
+    files.write_clustered_log(log, path)
+    months = "1998-01-01 00:00:00", "1999-12-31 00:00:00"
+    name = spark.read.parquet(path).agg(F.min("datasetname")).scalar()
+    return files.read_log(spark, path, *months, columns).where(F.col("datasetname") == name)
+
+
 @query
 def training_extract(spark, sf_dir):
     rows = gt.training_extract(access_log(spark, sf_dir), marker="PROMO")

@@ -803,6 +803,12 @@ WHERE jobstatus <> 'failed' AND jeditaskid % 7 <> 0"""
     ),
     "csv_rejects": REJECTS,
     "hourly_rejects": REJECTS,
+    "clustered_lookup": sql(
+        f"""
+SELECT jeditaskid, datasetname, site_name, task_modificationtime, number_of_jobs FROM access_log
+WHERE datasetname = (SELECT min(datasetname) FROM access_log)
+  AND {T} BETWEEN TIMESTAMP '1998-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00'"""
+    ),
     "upsert_by_task": UPSERT,
     "hourly_batches": UPSERT,
     "replace_stored": UPSERT,

@@ -229,3 +229,49 @@ def test_rejects_with_a_header(spark, folder):
     judged = files.read_csv_judged(spark.read, folder, "jeditaskid bigint, name string")
     assert rows_of(files.accepted(judged)) == [(1, "a")]
     assert [(r.text, r.reason) for r in files.rejected(judged).collect()] == [("b,c", "jeditaskid is no bigint")]
+
+
+def scanned_rows(df):
+    """Rows that the file scans of a finished query handed on."""
+    df.collect()
+    found, waiting = 0, [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+        elif name.startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_lookups_leave_most_of_a_clustered_log_unread(spark, folder):
+    minutes = F.lit(dt.datetime(2021, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(mins=F.pmod(F.col("id") * 7919, F.lit(90 * 1440)).cast("int"))
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(400)))
+    rows = spark.range(300_000).select(
+        "id",
+        F.concat(F.lit("d"), hot).alias("datasetname"),
+        F.xxhash64("id", F.lit(5)).alias("jeditaskid"),
+        minutes.alias("task_modificationtime"),
+    )
+    rows = rows.cache()
+    files.write_log(rows, f"{folder}/months")
+    files.write_clustered_log(rows, f"{folder}/clustered", row_group=500)
+    week = ("2021-02-08 00:00:00", "2021-02-15 00:00:00")
+    for name in ("d7", "d0"):
+        found = {}
+        for layout in ("months", "clustered"):
+            path = f"{folder}/{layout}"
+            got = files.read_log(spark, path, *week, rows.columns, equal={"datasetname": name})
+            found[layout] = scanned_rows(got), rows_of(got)
+        assert found["months"][1] == rows_of(
+            rows.where((F.col("datasetname") == name) & F.col("task_modificationtime").between(*week))
+        )
+        assert found["months"][1] == found["clustered"][1] and found["months"][1]
+        print(name, "rows scanned by month", found["months"][0], "clustered", found["clustered"][0], "wanted", len(found["months"][1]))
+        assert found["clustered"][0] < 0.4 * found["months"][0]
+    task = rows.where("id = 12345").first().jeditaskid
+    got = files.read_log(spark, f"{folder}/clustered", "2021-01-01 00:00:00", "2021-04-30 00:00:00", ["id"], equal={"jeditaskid": task})
+    assert scanned_rows(got) < 0.2 * rows.count() and rows_of(got) == [(12345,)]
