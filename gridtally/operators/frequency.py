@@ -34,6 +34,8 @@ from ..functions.predicates import not_null, quality
 from ..functions.scalars import div, round_even
 
 DATASET = "datasetname"
+PLACE = "_place"
+PLACE_COLUMNS = {"cloud": "site_cloud", "site": "site_name"}
 
 # The pairs of the per-project advice.
 PROJECTS = [
@@ -287,6 +289,11 @@ def dataset_frequency(
         time_col=time_col,
         count_col=count_col,
     )
+    return frequency_of(profile, n, scheme)
+
+
+def frequency_of(profile: DataFrame, n: int, scheme: str) -> DataFrame:
+    """:func:`dataset_frequency` from the profile with the latest mean."""
     profile = _weighted(profile, n, scheme)
     # The mean is named so that the total and the result share both shuffles.
     group = profile.agg(
@@ -327,7 +334,12 @@ def place_use(
         time_col=time_col,
         count_col=count_col,
     )
-    profile = _weighted(profile, n, scheme).withColumnRenamed(place_col, "_place")
+    return use_of(profile.withColumnRenamed(place_col, PLACE), places, n, scheme)
+
+
+def use_of(profile: DataFrame, places: list[str] | None, n: int, scheme: str) -> DataFrame:
+    """:func:`place_use` from the profile of (dataset, ``_place``)."""
+    profile = _weighted(profile, n, scheme)
     if places is not None:
         used = profile.groupBy(DATASET).agg(F.bool_or("active").alias("active")).where("active")
         listed = F.explode(F.array(*[F.lit(p) for p in places]).cast("array<string>"))
@@ -358,10 +370,14 @@ def place_shares(
 
     ``place`` is ``'cloud'`` or ``'site'``. Listed ``places`` have rows of zero as well.
     """
-    place_col = {"cloud": "site_cloud", "site": "site_name"}[place]
     options = {"n": n, "scheme": scheme, "time_col": time_col, "count_col": count_col}
-    by_place = place_use(df, place_col, places, **options)
-    rows = dataset_frequency(df, **options).join(by_place, DATASET)
+    by_place = place_use(df, PLACE_COLUMNS[place], places, **options)
+    return shares_of(dataset_frequency(df, **options), by_place, place, n)
+
+
+def shares_of(frequency: DataFrame, use: DataFrame, place: str, n: int) -> DataFrame:
+    """:func:`place_shares` from both of its sides."""
+    rows = frequency.join(use, DATASET)
     share, due = f"x_{place}s", f"n_replicas_at_{place}"
     return (
         rows.withColumn(share, div("_use", "_total"))
@@ -397,9 +413,13 @@ def placement(
     Datasets without a record inside an interval are left out. Listed ``places`` have
     rows of zero as well.
     """
-    place_col = {"cloud": "site_cloud", "site": "site_name"}[place]
     options = {"n": n, "scheme": scheme, "time_col": time_col, "count_col": count_col}
-    rows = place_use(df, place_col, places, **options).join(prior_advice, DATASET, "left")
+    return placement_of(place_use(df, PLACE_COLUMNS[place], places, **options), prior_advice, place, n)
+
+
+def placement_of(use: DataFrame, prior_advice: DataFrame, place: str, n: int) -> DataFrame:
+    """:func:`placement` from the use of places."""
+    rows = use.join(prior_advice, DATASET, "left")
     due = round_even(F.col("optimal_n_replicas") * div("_use", "_total"))
     return rows.select(
         DATASET,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import gridtally as gt
 
 from ..functions import intervals, measures, predicates, scalars
-from ..operators import extracts, frequency, overview, utilisation
+from ..operators import extracts, frequency, overview, profiles, utilisation
 from ..operators.rolling import backfill as fill_back
 from ..operators.validation import split_label
 from ..schema import ACCESS_LOG_DDL, bucket_tree_ddl, declared_schema
@@ -99,6 +100,37 @@ def placement_site(spark, sf_dir):
     return gt.placement(extract, _prior(extract), "site")
 
 
+def _stored_profiles(spark: SparkSession, extract: DataFrame) -> str:
+    name = f"profiles_{uuid.uuid4().hex}"
+    profiles.write_profiles(extract, name, buckets=8)
+    return name
+
+
+@query
+def stored_frequency(spark, sf_dir):
+    """Dataset frequency from stored profiles."""
+    return profiles.stored_frequency(spark, _stored_profiles(spark, _extract(spark, sf_dir, prod_step=STEP)))
+
+
+@query
+def stored_cloud_shares(spark, sf_dir):
+    return profiles.stored_shares(spark, _stored_profiles(spark, _extract(spark, sf_dir, prod_step=STEP)), "cloud")
+
+
+@query
+def stored_site_shares(spark, sf_dir):
+    return profiles.stored_shares(spark, _stored_profiles(spark, _extract(spark, sf_dir, prod_step=STEP)), "site")
+
+
+@query
+def stored_placement(spark, sf_dir):
+    """Placement at sites from stored profiles and stored advice."""
+    extract = _extract(spark, sf_dir)
+    name = _stored_profiles(spark, extract)
+    profiles.store_by_dataset(_prior(extract), f"{name}_advice", buckets=8)
+    return profiles.stored_placement(spark, name, spark.table(f"{name}_advice"), "site")
+
+
 def _by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = predicates.quality(data_type=frequency.DATA_TYPES, project=frequency.PROJECTS)
     log = access_log(spark, sf_dir).where(wanted)

@@ -935,3 +935,11 @@ SELECT jeditaskid, number_of_jobs AS n_jobs, username AS user, '{AS_OF[:10]}' AS
 FROM access_log WHERE {DAOD}"""
     ),
 }
+
+# From stored profiles come the rows of the jobs over the log.
+ORACLE_SQL |= {
+    "stored_frequency": ORACLE_SQL["dataset_frequency"],
+    "stored_cloud_shares": ORACLE_SQL["cloud_shares"],
+    "stored_site_shares": ORACLE_SQL["site_shares"],
+    "stored_placement": ORACLE_SQL["placement_site"],
+}

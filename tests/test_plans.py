@@ -1,12 +1,14 @@
 """Shape of the physical plans, with every table treated as too large to broadcast."""
 
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 import gridtally as gt
 from gridtally.functions import predicates
+from gridtally.operators import profiles
 from gridtally.plans.catalog import QUERIES
 from gridtally.plans.fixtures import access_log, accounting_documents
 
@@ -100,3 +102,48 @@ def test_limits_of_all_levels_share_one_scan(spark, no_auto_broadcast, tmp_path)
     assert text.count("ReusedExchange") == 1
     assert text.count("FileScan") == 1
     assert len(re.findall(r"[+:]- Exchange hashpartitioning", text)) < 8
+
+
+def test_jobs_from_stored_profiles_shuffle_nothing(spark, no_auto_broadcast):
+    name = f"plan_{uuid.uuid4().hex}"
+    log = access_log(spark, SF)
+    profiles.write_profiles(log, name, buckets=4)
+    profiles.store_by_dataset(gt.replication_advice(log), f"{name}_advice", buckets=4)
+    jobs = [
+        profiles.stored_frequency(spark, name),
+        profiles.stored_shares(spark, name, "cloud"),
+        profiles.stored_shares(spark, name, "site"),
+        profiles.stored_placement(spark, name, spark.table(f"{name}_advice"), "site"),
+    ]
+    for k, job in enumerate(jobs):
+        text = plan(job)
+        assert k == 0 or "Bucketed: true" in text  # the first has nothing to join
+        assert "Exchange hashpartitioning" not in text
+        assert not re.search(r"Exchange (?!SinglePartition)", text)
+
+
+def test_rolling_counts_shuffle_no_more_rows_than_visits(spark, tmp_path):
+    """Exchange by exchange: none gets more rows than the log has, though a record is in nine windows.
+
+    Few datasets with many visits each, for the result itself has a row per window and dataset.
+    """
+    path = str(tmp_path / "log")
+    few = F.concat(F.lit("d"), F.pmod(F.xxhash64("jeditaskid"), F.lit(5)))
+    access_log(spark, SF).withColumn("datasetname", few).coalesce(1).write.parquet(path)
+    log = spark.read.parquet(path)
+    rows = gt.rolling_advice(log)
+    rows.collect()
+    written, waiting = [], [rows._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            waiting.append(node.plan())
+        elif name == "Exchange":
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    assert written and max(written) <= log.count()
+    assert "InMemoryTableScan" not in plan(rows)

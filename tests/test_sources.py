@@ -240,6 +240,8 @@ def scanned_rows(df):
         name = node.nodeName()
         if name.startswith("AdaptiveSparkPlan"):
             waiting.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            waiting.append(node.plan())
         elif name.startswith("Scan parquet"):
             found += node.metrics().apply("numOutputRows").value()
         children = node.children()
