@@ -513,8 +513,8 @@ def jaccard_components(docs: DataFrame, *, size: int = SHINGLE, threshold: int =
 #: Names beside those of the documents, which are shielded.
 HASH = "_llm_text_hash"
 MARK = "_llm_mark"
-#: Marks that every task may have: 24 bytes each. More are joined by shuffle.
-FEW_MARKS = 2_000_000
+#: Marks that every task may have: about a hundred bytes each as a hash table. More are joined by shuffle.
+FEW_MARKS = 500_000
 
 
 def one_of_each(docs: DataFrame, *, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
