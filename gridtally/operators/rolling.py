@@ -173,7 +173,9 @@ def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tupl
     # The size is named so that both readers of the sizes share one shuffle.
     n_datasets = sizes.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("ds_size_GB"))).scalar()["n"]
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    totals = use.groupBy("k").agg(F.struct(F.sum("af").alias("total"), *[F.max(c) for c in use.columns[1:]]).alias("t"))
+    # Numbers of the use are named so that both readers of it share its shuffles.
+    named = [F.max(c) for c in ("accesses", "users", "code")]
+    totals = use.groupBy("k").agg(F.struct(F.sum("af").alias("total"), *named).alias("t"))
     calendar = windows.join(totals, "k", "left").select(
         "k",
         plus_seconds(epoch, F.col("first") + F.col("k") * axis.step).alias("window_start"),
