@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gridtally.plans import fixtures
+from gridtally.plans import catalog, fixtures
 
 ROWS = {"region": 3, "nation": 9, "customer": 4000, "supplier": 40, "part": 4000, "orders": 8000, "lineitem": 16000}
 KEYS = {
@@ -58,3 +58,22 @@ def test_records_are_shuffled_by_part_and_order_only(spark, folder):
         spark.conf.set(key, before)
     shuffled = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
     assert sorted(shuffled) == ["c_custkey", "l_orderkey", "l_partkey", "o_custkey", "o_orderkey", "p_partkey"]
+
+
+STORING = "keyed_twice stream_late".split()
+
+
+@pytest.mark.parametrize("name", STORING)
+def test_records_that_are_stored_are_joined_once(spark, folder, monkeypatch, name):
+    """However many batches a query takes from them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def passes(_):
+        seen.add(1)
+        return True
+
+    few = fixtures.access_log(spark, folder).where("jeditaskid < 300").localCheckpoint()
+    monkeypatch.setattr(catalog, "access_log", lambda *_: few.where(passes("jeditaskid")))
+    assert catalog.QUERIES[name](spark, folder).count() > 0
+    assert seen.value == few.count()
