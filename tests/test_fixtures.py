@@ -60,7 +60,7 @@ def test_records_are_shuffled_by_part_and_order_only(spark, folder):
     assert sorted(shuffled) == ["c_custkey", "l_orderkey", "l_partkey", "o_custkey", "o_orderkey", "p_partkey"]
 
 
-STORING = "keyed_twice stream_late".split()
+STORING = "keyed_twice stream_late replace_stored replace_stored_fewer hourly_batches hourly_compacted".split()
 
 
 @pytest.mark.parametrize("name", STORING)
