@@ -30,26 +30,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLANK = "▁"
-#: Entries that a worker keeps; beyond them it starts over.
-CACHE_ENTRIES = 250_000
-CACHE_PAIRS = 400_000
+#: Entries that a worker keeps: words and other parts, runs between cuts, pairs of tokens.
+CACHE_ENTRIES = 600_000
+CACHE_RUNS = 50_000
+CACHE_PAIRS = 200_000
 #: Bytes of ids in a batch handed back to Spark, unless one text has more.
 BATCH_BYTES = 8_000_000
 
 
 class PartIds(dict):
-    """Part of a text to its packed ids; a missing part is encoded and kept, up to a number of entries."""
+    """Part of a text to its packed ids; a missing part is encoded and kept.
 
-    def __init__(self, encode):
+    Half of the entries at most are new. When these are full they become the old ones, of which
+    those that are asked for again are kept: frequent parts are never encoded anew.
+    """
+
+    def __init__(self, encode, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.half = encode, max(1, entries // 2)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encode(part)
-        if len(self) >= CACHE_ENTRIES:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encode(part)
+            if len(part) > 64:
+                return ids
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        if len(part) <= 64:
-            self[part] = ids
+        self[part] = ids
         return ids
 
 
@@ -92,12 +102,13 @@ class PieceVocabulary:
             self.finder.add_word(name[::-1], len(name))
         self.finder.make_automaton()
         self.beside = {pair for name in names for pair in zip(name, name[1:])}
-        cut = all(left == BLANK for left, right in self.beside if right == BLANK)
-        self.parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if cut else "(?s).+")
+        self.cut = all(left == BLANK for left, right in self.beside if right == BLANK)
+        self.parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if self.cut else "(?s).+")
         self.fitting = Fitting(self.find_fitting)
         self.shorter: dict[str, str] = {}
         self.kept = PartIds(self.part_ids)
-        self.kept_runs = PartIds(self.run_ids)
+        self.kept_words = PartIds(self.word_ids)
+        self.kept_runs = PartIds(self.run_ids, CACHE_RUNS)
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text, merged best score first, leftmost among equals."""
@@ -173,9 +184,9 @@ class PieceVocabulary:
     def part_ids(self, part: str) -> bytes:
         """The part's ids as packed 32-bit numbers, from the runs between its cuts."""
         beside = self.beside
+        if beside.issuperset(zip(part, part[1:])):
+            return self.run_ids(part)
         cuts = [i for i, pair in enumerate(zip(part, part[1:]), 1) if pair not in beside]
-        if not cuts:
-            return self.kept_runs[part]
         runs = [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
         return b"".join(map(self.kept_runs.__getitem__, runs))
 
@@ -187,8 +198,16 @@ class PieceVocabulary:
             known = ((self.ids[t],) if t in self.ids else [self.byte_ids[b] for b in t.encode()] for t in tokens)
             return array("I", chain.from_iterable(known)).tobytes()
 
+    def word_ids(self, word: str) -> bytes:
+        return self.part_ids(BLANK + word)
+
     def packed(self, normalised: str) -> bytes:
-        """The ids of a normalised text as packed 32-bit numbers."""
+        """The ids of a normalised text as packed 32-bit numbers.
+
+        Where every blank stands alone before something else, the parts are the words with their blanks.
+        """
+        if self.cut and normalised[:1] == BLANK and normalised[-1] != BLANK and BLANK * 2 not in normalised:
+            return b"".join(map(self.kept_words.__getitem__, normalised[1:].split(BLANK)))
         return b"".join(map(self.kept.__getitem__, self.parts.findall(normalised)))
 
     def encode(self, text: str) -> list[int]:

@@ -336,3 +336,49 @@ def test_literal_columns_with_clashing_names(spark):
     assert out.first()["_variant"] == 5
     odd = literals.read_literals(rows.withColumnRenamed("info", "in.fo"), "in.fo", PAIR)
     assert odd.first()["in.fo"]["a"] == 1
+
+
+def test_literals_by_parts_and_as_a_whole_are_the_same(spark):
+    """Texts with one kind of quotes are rewritten as a whole, others part by part."""
+    texts = [
+        "{'a': None, 'b': (1, 2,), 'None': 'None, (True) ,]', }",
+        "[True, False, None, xNone, Nonex, 'x', None]",
+        "('a,)', (None,) , 'b' ,  )",
+        '{"a": [1, 2 , ], "True": "(False,)"}',
+        "None",
+        "()",
+        "",
+        "['it\n, ]', None]",
+        "{'a': 'open}",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    # A list around each of them with a text that has both kinds of quotes.
+    mixed = F.concat(F.lit("[\"it's\","), F.col("t"), F.lit("]"))
+    found = rows.select("t", literals.literal_as_json("t").alias("whole"), literals.literal_as_json(mixed).alias("parts")).collect()
+    assert [r.whole is None for r in found] == [False] * 8 + [True]
+    for r in found[:2] + found[3:6]:
+        assert r.parts == f'["it\'s",{r.whole}]'
+    assert found[0].whole == '{"a": null, "b": [1, 2], "None": "None, (True) ,]"}'
+    assert found[1].whole == '[true, false, null, xNone, Nonex, "x", null]'
+    assert found[2].whole == '["a,)", [null] , "b" ]'
+    assert found[7].whole == '["it\n, ]", null]'
+
+
+def test_long_literals_are_read(spark):
+    """A quoted text is matched without a step of recursion for each of its characters."""
+    rows = spark.range(1).select(F.concat(F.lit("{'a': 1, 'b': '"), F.repeat(F.lit("it\\'s "), 20000), F.lit("'}")).alias("t"))
+    got = literals.read_literals(rows, "t", "struct<a:bigint,b:string>").selectExpr("t.a", "length(t.b) n", "t_unread").first()
+    assert (got.a, got.n, got.t_unread) == (1, 100000, None)
+
+
+def test_values_of_the_declared_kinds_are_taken_at_once(spark):
+    """Exactly declared kinds and all others give what reading field by field gives."""
+    kind = "array<struct<b:string,a:bigint>>"
+    texts = ["[{'a': 1, 'b': 'x'}]", "[{'a': None, 'b': 'x'}, None]", "[{'a': 1}]", "[]", "[{'a': 1, 'b': 'x', 'c': 2}]", "[{'a': 1.5, 'b': 2}]", "{'a': 1, 'b': 'x'}", "[{'a': 9223372036854775808, 'b': 'x'}]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    declared = literals.T._parse_datatype_string(kind)
+    v = F.try_parse_json(literals.literal_as_json("t"))
+    both = rows.select(v.alias("v")).select(literals._judged(F.col("v"), declared).alias("x"), literals._read(F.col("v"), declared).alias("y"))
+    found = both.collect()
+    assert all(r.x == r.y for r in found)
+    assert [r.x.fits for r in found] == [True, True, True, True, False, False, False, False]
