@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm.common import written
 from gridtally.llm.pieces import BLANK, vocabulary
-from gridtally.llm.tokens import NotSplittable, encoder, id_cache
+from gridtally.llm.tokens import NotSplittable, encoder
 
 #: Pairs whose counts every task has (twelve bytes each). It bounds the broadcast and only
 #: affects speed: pairs beyond it are joined.
@@ -32,7 +32,9 @@ TABLE_PAIRS = 500_000
 #: Bytes of packed ids that are aligned in one go, unless one text has more.
 BATCH_BYTES = 1_000_000
 #: Pairs that a task counts before it hands its counts on.
-COUNTED_PAIRS = 2_000_000
+COUNTED_PAIRS = 500_000
+#: Runs between blanks whose byte-level ids a worker keeps; beyond them it starts over.
+CACHE_RUNS = 150_000
 
 ROW = "_alignment_row"
 
@@ -44,7 +46,7 @@ class ByteVocabulary:
         self.encoder = encoder(path)
         if not self.encoder.ranks:
             raise ValueError("a plain byte-level vocabulary is needed")
-        self.cache = id_cache(path)
+        self.cache = self.encoder.id_cache(CACHE_RUNS)
         self.size = max(self.encoder.ranks.values()) + 1
         self.bytes = [b""] * self.size
         for token, number in self.encoder.ranks.items():

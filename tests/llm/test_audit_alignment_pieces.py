@@ -13,10 +13,10 @@ import numpy as np
 import pytest
 import sentencepiece
 from compare import connect, difference
-from gridtally.llm import queries
+from gridtally.llm import alignment, queries
 from gridtally.llm.alignment import aligned_groups
 from gridtally.llm.audit import COUNTS, FILTERS, filter_audit, removal_steps
-from gridtally.llm.pieces import PieceVocabulary, piece_codes
+from gridtally.llm.pieces import PartIds, PieceVocabulary, piece_codes
 from test_llm import AWKWARD, BYTE_BPE, PIECES, SMALL, prose, table
 from tokenizers import Tokenizer
 
@@ -250,3 +250,28 @@ def test_removal_steps_are_the_first_failing_filter_of_each_order():
         for o, order in enumerate(orders.tolist()):
             assert steps[m, o] == next((i for i, f in enumerate(order) if m >> f & 1), 4)
 
+
+
+def test_frequent_parts_are_encoded_once_and_kept_parts_are_bounded():
+    """A part that comes again and again stays while thousands of others pass."""
+    asked = []
+
+    def encode(part):
+        asked.append(part)
+        return part.encode()
+
+    kept = PartIds(encode, 100)
+    for i in range(5000):
+        assert kept["often"] == b"often"
+        assert kept[f"rare {i}"] == f"rare {i}".encode()
+    assert asked.count("often") == 1
+    assert len(kept) + len(kept.old) <= 100
+
+
+def test_a_full_cache_of_the_alignment_starts_over():
+    side = alignment.ByteVocabulary(BYTE_BPE)
+    assert side.cache.limit == alignment.CACHE_RUNS == 150_000
+    side.cache.limit = 2
+    for i in range(5):
+        assert side.ids(f"word{i} and more").tolist() == side.encoder.merge(f" word{i} and more")
+        assert len(side.cache) <= 2
