@@ -123,6 +123,9 @@ def site_metrics(
             states.update(_states(m, j, is_whole(df, m.column)))
     states = states or {"c": (F.count(F.lit(1)), F.sum("c"))}
     begin = [start.alias(name) for name, (start, _) in states.items() if start is not None]
+    if as_of is None and len({m.column for m in values}) == 1:
+        # Each counted value has one row in its group: they need not be made distinct again.
+        states.update({f"d{j}": (None, F.count(m.column)) for j, m in enumerate(metrics) if m.how == "nunique"})
     merge = [again.alias(name) for name, (_, again) in states.items()]
     bands: list[str] = []
     if as_of is not None:

@@ -147,3 +147,9 @@ def test_rolling_counts_shuffle_no_more_rows_than_visits(spark, tmp_path):
         waiting += [children.apply(i) for i in range(children.size())]
     assert written and max(written) <= log.count()
     assert "InMemoryTableScan" not in plan(rows)
+
+
+def test_one_counted_value_is_made_distinct_once(spark):
+    """Groups by site and user are held by one aggregate on either side of their shuffle, not by three."""
+    text = plan(QUERIES["dashboard_clouds"](spark, SF))
+    assert len(re.findall(r"HashAggregate\(keys=\[[^\]]*username", text)) == 2
