@@ -7,9 +7,10 @@ reaches back ``length div step`` windows.
 The bounds of all windows and of all their intervals cut time into segments, about two
 per day. A task counts in an interval once, with its first visit there: the visit whose
 predecessor (of that task at that dataset) lies before the interval. So the log is reduced
-to distinct (dataset, task, segment), each row is told its predecessor, and only first
-visits are counted, added up by window before they are shuffled. No visit is copied into
-its windows before that, and nothing is cached. Users are counted the same way.
+to distinct (dataset, task, segment), each row is told its predecessor, and visits are added
+up by dataset, segment and the interval starts that their predecessor precedes. Those rows,
+no more than the log has, are shuffled by dataset and only then copied into their windows.
+Users are counted the same way. Nothing is cached; the log is read once for all of it.
 
 Tables of the calendar (windows, segments) have a few rows per step of time and follow the
 time span only, never the number of records; they are broadcast.
@@ -93,12 +94,13 @@ def segments(windows: DataFrame, axis: _Axis, n: int) -> tuple[DataFrame, DataFr
     # The first second of interval j, as index_of counts them; the window's last record is in none.
     begins = [lo, *[lo + whole_div(span * j + n, n) - 1 for j in range(1, n)], F.col("hi")]
     begins = [F.greatest(b, lo) for b in begins]
-    edges = F.explode(F.array_distinct(F.array(F.col("k") * axis.step, (F.col("k") + axis.back) * axis.step + axis.tail, *begins)))
-    starts = windows.select(edges.alias("start")).distinct()
-    # Every block has a start of its own, so that a segment never spans two of them.
-    reach = F.sequence(F.min("start"), F.max("start"), F.lit(axis.step).cast("bigint"))
-    blocks = starts.agg(F.explode(reach).alias("start"))
-    starts = starts.union(blocks).distinct().withColumn("block", axis.block(F.col("start")))
+    edges = F.array(F.col("k") * axis.step, (F.col("k") + axis.back) * axis.step + axis.tail, *begins)
+    # One row holds them all, about ten for each window. Every block has a start of its own, so
+    # that a segment never spans two of them.
+    every = F.flatten(F.collect_list(edges))
+    reach = F.sequence(F.array_min("e"), F.array_max("e"), F.lit(axis.step).cast("bigint"))
+    starts = windows.agg(every.alias("e")).where(F.size("e") > 0).select(F.explode(F.array_union("e", reach)).alias("start"))
+    starts = starts.withColumn("block", axis.block(F.col("start")))
     following = Window.partitionBy("block").orderBy("start")
     ends = F.coalesce(F.lead("start").over(following), (F.col("block") + 1) * axis.step)
     cells = starts.withColumn("end", ends)
@@ -113,76 +115,113 @@ def segments(windows: DataFrame, axis: _Axis, n: int) -> tuple[DataFrame, DataFr
     return cells, places
 
 
-def first_visits(placed: DataFrame, who: str, places: DataFrame, extra: list[Column]) -> DataFrame:
-    """(dataset, k, i, first, ...) for every (dataset, ``who``, segment) in each of its windows.
+def shared(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows after one shuffle that all their readers share.
 
-    ``first`` is 1 for the first visit of ``who`` to the dataset in that interval.
+    Packed, a row is one column that no reader narrows or filters before the shuffle. It goes by
+    ``by``, which must not be missing, or else by all of its values.
+    """
+    packed = F.array(F.struct(*[c for c in rows.columns if c != by])).alias("r")
+    if by is None:
+        return rows.select(packed).repartition("r").select(F.inline("r"))
+    return rows.select(by, packed).repartition(by).select(by, F.inline("r"))
+
+
+def first_visits(placed: DataFrame, who: str, sinces: DataFrame, name: str, most: int, extra: list[Column]) -> DataFrame:
+    """(dataset, start, ``name``_r, ...): visits of ``who`` in a segment, told apart by their predecessor.
+
+    r is how many of the ``sinces`` of the segment, at most ``most`` in ascending order, are not
+    after the predecessor: the visit is a first one in the intervals that begin later. The
+    visits with all of them before it are first nowhere and not counted.
     """
     rows = placed.groupBy(DATASET, who, "start").agg(*extra) if extra else placed.select(DATASET, who, "start").distinct()
     before = F.lag("start").over(Window.partitionBy(DATASET, who).orderBy("start"))
-    new = (F.col("before").isNull() | (F.col("before") < F.col("since"))) & F.col(who).isNotNull()
-    return (
-        rows.withColumn("before", before)
-        .join(F.broadcast(places), "start")
-        .withColumn("first", F.when(new & F.col("i").isNotNull(), 1))
-    )
+    rank = F.size(F.filter("sinces", lambda since: since <= F.col("before")))
+    ranked = rows.withColumn("before", before).join(F.broadcast(sinces), "start").withColumn("rank", rank)
+    counts = [F.count(F.when(F.col("rank") == r, F.col(who))).alias(f"{name}_{r}") for r in range(most)]
+    return ranked.groupBy(DATASET, "start").agg(*counts, *[F.max(c).alias(c) for c in ranked.columns if c == "code"])
 
 
-def use_per_window(records: DataFrame, windows: DataFrame, axis: _Axis, n: int) -> DataFrame:
-    """Distinct tasks ``n_j`` and users ``u_j`` in each interval j of each window.
+def visits_per_segment(records: DataFrame, windows: DataFrame, axis: _Axis, n: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct tasks ``t_r`` and users ``v_r`` by (dataset, segment), see ``first_visits``, and the places.
 
-    A visit of a task or user that many visits follow in the same interval is one row; what
-    is shuffled last is a row for each (window, dataset) of a map task.
+    A visit of a task or user that many visits follow in the same interval is one row. What is
+    shuffled last is a row for each (dataset, segment), so a task holds for one dataset as many
+    rows as there are segments.
     """
-    first = windows.agg(F.min("first")).scalar()
+    first = records.agg(F.min("s")).scalar()
     cells, places = segments(windows, axis, n)
     known = records.where(F.col("s").isNotNull() & F.col(DATASET).isNotNull())
     offset = known.withColumn("o", F.col("s") - first)
     cell = F.broadcast(cells.withColumnRenamed("block", "_block"))
     inside = (axis.block(F.col("o")) == F.col("_block")) & (F.col("o") >= F.col("start")) & (F.col("o") < F.col("end"))
     placed = offset.join(cell, inside)
+    held = F.collect_list(F.struct("k", "i", "since")).alias("held")
+    sinces = places.groupBy("start").agg(F.sort_array(F.collect_set("since")).alias("sinces"), held)
+    places = sinces.select("start", "sinces", F.inline("held")).select(
+        "start", "k", "i", F.array_position("sinces", F.col("since")).alias("turn")
+    )
+    sinces = sinces.select("start", "sinces")
+    most = axis.back + 1
+    by_task = first_visits(placed, "jeditaskid", sinces, "t", most, [F.max("code").alias("code")])
+    by_user = first_visits(placed, "username", sinces, "v", most, [])
+    # Every row of either side has one on the other: both come from the same records.
+    return shared(by_task.join(by_user, [DATASET, "start"]), DATASET), places
+
 
-    def counts(rows: DataFrame, name: str) -> list[Column]:
-        return [F.count(F.when(F.col("i") == j, F.col("first"))).alias(f"{name}_{j}") for j in range(n)]
+def use_per_window(visits: DataFrame, places: DataFrame, axis: _Axis, n: int, also: list[str]) -> DataFrame:
+    """Distinct tasks ``n_j`` and users ``u_j`` in each interval j of each window, and what ``also`` names.
 
-    tasks = first_visits(placed, "jeditaskid", places, [F.max("code").alias("code")])
-    users = first_visits(placed, "username", places, [])
-    # Every row of the users' side has one on the tasks' side: both come from the same records.
-    by_task = tasks.groupBy("k", DATASET).agg(*counts(tasks, "n"), F.max("code").alias("code"))
-    by_user = users.groupBy("k", DATASET).agg(*counts(users, "u"))
-    return by_task.join(by_user, ["k", DATASET])
+    Visits lie by dataset, so that their copies in the windows are added up without another shuffle.
+    """
+
+    def first_ones(name: str) -> Column:
+        return sum((F.when(F.col("turn") > r, F.col(f"{name}_{r}")).otherwise(0) for r in range(axis.back + 1)), F.lit(0))
 
+    # Tasks and users of an interval, fewer than 2^31 of either, are added up in one bigint: a
+    # task's hash table has a row for each window and dataset.
+    both = F.shiftleft(first_ones("v").cast("bigint"), 31) + first_ones("t")
+    placed = visits.join(F.broadcast(places), "start").select("k", DATASET, "i", both.alias("both"), "code", *also)
+    sums = [F.sum(F.when(F.col("i") == j, F.col("both")).otherwise(0)).alias(f"b_{j}") for j in range(n)]
+    summed = placed.groupBy("k", DATASET).agg(*sums, *[F.max(c).alias(c) for c in ("code", *also)])
+    tasks = [F.col(f"b_{j}").bitwiseAND(F.lit((1 << 31) - 1)).alias(f"n_{j}") for j in range(n)]
+    users = [F.shiftright(f"b_{j}", 31).alias(f"u_{j}") for j in range(n)]
+    return summed.select("k", DATASET, *tasks, *users, "code", *also)
 
-def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Datasets with their sizes, use per (window, dataset), and the calendar with each window's group average."""
+
+def _use(df: DataFrame, axis: _Axis, n: int, scheme: str, time_col: str) -> tuple[DataFrame, DataFrame]:
+    """Use and size per (window, dataset), and the calendar with each window's group average."""
     code = latest_code("ds_replicas_number", time_col, df.schema["ds_replicas_number"].dataType)
-    records = df.select(
-        DATASET, "jeditaskid", "username", seconds(time_col).alias("s"), code.alias("code"), "ds_bytes"
+    records = shared(
+        df.select(DATASET, "jeditaskid", "username", seconds(time_col).alias("s"), code.alias("code"), "ds_bytes")
     )
     windows = window_bounds(records.select("s"), axis)
     weighted = [F.col(f"n_{j}") * audience_weight(F.col(f"u_{j}")) for j in range(n)]
-    use = use_per_window(records, windows, axis, n).select(
-        "k",
-        DATASET,
-        (weighted_total(weighted, scheme) / float(n)).alias("af"),
-        F.col(f"n_{n - 1}").alias("accesses"),
-        F.col(f"u_{n - 1}").alias("users"),
-        "code",
-    )
+    visits, places = visits_per_segment(records, windows, axis, n)
+
+    def use_of(visits: DataFrame, *also: str) -> DataFrame:
+        return use_per_window(visits, places, axis, n, list(also)).select(
+            "k",
+            DATASET,
+            (weighted_total(weighted, scheme) / float(n)).alias("af"),
+            F.col(f"n_{n - 1}").alias("accesses"),
+            F.col(f"u_{n - 1}").alias("users"),
+            "code",
+            *also,
+        )
+
     sizes = records.where(F.col(DATASET).isNotNull()).groupBy(DATASET).agg(div(F.max("ds_bytes"), GB).alias("ds_size_GB"))
     # The size is named so that both readers of the sizes share one shuffle.
     n_datasets = sizes.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("ds_size_GB"))).scalar()["n"]
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    # Numbers of the use are named so that both readers of it share its shuffles.
-    named = [F.max(c) for c in ("accesses", "users", "code")]
-    totals = use.groupBy("k").agg(F.struct(F.sum("af").alias("total"), *named).alias("t"))
+    totals = use_of(visits).groupBy("k").agg(F.sum("af").alias("total"))
     calendar = windows.join(totals, "k", "left").select(
         "k",
         plus_seconds(epoch, F.col("first") + F.col("k") * axis.step).alias("window_start"),
         plus_seconds(epoch, F.col("first") + F.col("hi")).alias("timestamp"),
-        div(F.coalesce("t.total", F.lit(0.0)), n_datasets).alias("groupAF"),
+        div(F.coalesce("total", F.lit(0.0)), n_datasets).alias("groupAF"),
     )
-    return sizes, use, calendar
+    return use_of(visits.join(sizes, DATASET), "ds_size_GB"), calendar
 
 
 def rolling_advice(
@@ -195,8 +234,8 @@ def rolling_advice(
     time_col: str = "task_modificationtime",
 ) -> DataFrame:
     """Advice for every dataset in every window that holds a record of it."""
-    sizes, use, calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)
-    rows = use.join(sizes, DATASET).join(F.broadcast(calendar), "k")
+    use, calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)
+    rows = use.join(F.broadcast(calendar), "k")
     optimum = round_even(round_9(div("af", "groupAF")))
     return rows.select(
         DATASET,
@@ -222,7 +261,7 @@ def rolling_calendar(
     time_col: str = "task_modificationtime",
 ) -> DataFrame:
     """timestamp, window_start and groupAF of every non-empty window: one row per step of time."""
-    calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)[2]
+    calendar = _use(df, _Axis(length_days, step_days), n, scheme, time_col)[1]
     return calendar.select("timestamp", "window_start", "groupAF")
 
 

@@ -153,3 +153,15 @@ def test_one_counted_value_is_made_distinct_once(spark):
     """Groups by site and user are held by one aggregate on either side of their shuffle, not by three."""
     text = plan(QUERIES["dashboard_clouds"](spark, SF))
     assert len(re.findall(r"HashAggregate\(keys=\[[^\]]*username", text)) == 2
+
+
+def test_the_outcome_reads_the_log_once(spark, no_auto_broadcast, tmp_path):
+    path = str(tmp_path / "log")
+    access_log(spark, SF).write.parquet(path)
+    log = spark.read.parquet(path)
+    rows = gt.advice_outcome(gt.rolling_advice(log), gt.rolling_calendar(log))
+    rows.collect()
+    text = plan(rows).split("== Initial Plan ==")[0]
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert len(scans) <= 1
+    assert not re.search(r"hashpartitioning\(k#\d+L, datasetname", text)
