@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtally.llm.common import written
-from gridtally.llm.pieces import BLANK, vocabulary
+from gridtally.llm.pieces import BLANK
 from gridtally.llm.tokens import NotSplittable, encoder
 
 #: Pairs whose counts every task has (twelve bytes each). It bounds the broadcast and only
@@ -51,24 +52,47 @@ class ByteVocabulary:
         self.bytes = [b""] * self.size
         for token, number in self.encoder.ranks.items():
             self.bytes[number] = token
+        self.opens = np.array([token[:1] == b" " for token in self.bytes])
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a blank and the text; strings of added tokens are plain text.
 
         Tokens are pieces of the text's bytes, so they add up to it.
         """
-        try:
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, text.split(" "))), "<u4")
-        except NotSplittable:
-            return np.array(self.encoder.merge(" " + text), "<u4")
+        runs = text.split(" ")
+        parts = list(map(self.cache.get, runs))
+        if None in parts:
+            try:
+                new = self.encoded(list(dict.fromkeys(run for run, part in zip(runs, parts) if part is None)))
+            except NotSplittable:
+                return np.array(self.encoder.merge(" " + text), "<u4")
+            parts = [new[run] if part is None else part for run, part in zip(runs, parts)]
+            self.keep(new)
+        return np.frombuffer(b"".join(parts), "<u4")
+
+    def encoded(self, runs: list[str]) -> dict[str, bytes]:
+        """Each run's packed ids, from one call: a run holds no blank, so a token that begins with one opens a run."""
+        if any(not run or run[0].isspace() for run in runs):
+            raise NotSplittable
+        ids = np.array(self.encoder.merge(" " + " ".join(runs)), "<u4")
+        cuts = (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+        packed = ids.tobytes()
+        return dict(zip(runs, (packed[a:b] for a, b in pairwise(cuts)), strict=True))
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        """Kept up to the cache's limit; where they do not fit beside the others, it starts over."""
+        if len(self.cache) + len(new) > self.cache.limit:
+            self.cache.clear()
+        self.cache.update(islice(((run, ids) for run, ids in new.items() if len(run) <= 64), self.cache.limit))
 
 
 class PieceBytes:
     """Ids of a piece vocabulary that begins a text with a blank, and the bytes of each."""
 
     def __init__(self, path: str):
-        self.vocabulary = vocabulary(path)
-        pieces = self.vocabulary.library
+        import sentencepiece
+
+        self.library = pieces = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = pieces.vocab_size()
         self.bytes = [
             bytes([int(name[1:-1], 16)]) if pieces.is_byte(i) else name.replace(BLANK, " ").encode()
@@ -76,14 +100,11 @@ class PieceBytes:
         ]
 
     def ids(self, text: str) -> np.ndarray | None:
-        """Ids of the text; None where they do not add up to a blank and the text.
-
-        Tokens are pieces of the normalised text, so they add up to it with its blanks.
-        """
-        normalised = self.vocabulary.library.normalize(text)
-        if normalised.replace(BLANK, " ") != " " + text:
+        """Ids of the text; None where they do not add up to a blank and the text."""
+        ids = self.library.encode(text)
+        if b"".join(map(self.bytes.__getitem__, ids)) != (" " + text).encode():
             return None
-        return np.frombuffer(self.vocabulary.packed(normalised), "<u4")
+        return np.array(ids, "<u4")
 
 
 _SIDES: dict[tuple, ByteVocabulary | PieceBytes] = {}
@@ -173,11 +194,15 @@ class Aligned:
         key, times = np.unique(self.doc[0][a].astype(np.uint64) * space + pair.astype(np.uint64), return_counts=True)
         return (key // space).astype(np.int64), (key % space).astype(np.int64), times
 
-    def groups(self, a: np.ndarray, b: np.ndarray) -> Iterator[str]:
-        """Each text's groups as ids: A's joined by commas, a bar, B's; groups by semicolons."""
-        starts = np.concatenate([np.searchsorted(b, np.unique(b), "left"), [len(b)]])
-        number = np.searchsorted(b[starts[:-1]], a), np.searchsorted(b[starts[:-1]], b)
-        made = len(starts) - 1
+    def groups(self, a: np.ndarray, b: np.ndarray) -> Iterator[memoryview]:
+        """Each text's groups as ids: A's joined by commas, a bar, B's; groups by semicolons.
+
+        All are written one behind the other, and each text has its part of these bytes.
+        """
+        last = b == np.arange(len(b))
+        of_b = np.cumsum(last) - last
+        number = of_b[a], of_b
+        made = np.count_nonzero(last)
         before_b = np.concatenate([[0], np.cumsum(np.bincount(number[1], minlength=made))])
         before_a = np.concatenate([[0], np.cumsum(np.bincount(number[0], minlength=made))])
         codes = np.empty(len(a) + len(b), np.int64)
@@ -187,20 +212,22 @@ class Aligned:
         ):
             closing = np.append(mine[1:] != mine[:-1], True) if len(mine) else np.zeros(0, bool)
             codes[place] = first + 2 * ids + closing
-        written = written_ids(self.one.size, self.two.size)
-        at = 0
-        for n in (self.counts[0] + self.counts[1]).tolist():
-            yield "".join(map(written.__getitem__, codes[at : at + n].tolist()))[:-1]
-            at += n
+        written = written_ids(self.one.size, self.two.size).take(pa.array(codes))
+        _, offsets, data = written.buffers()
+        text = memoryview(data or b"")
+        tokens = np.append(0, np.cumsum(self.counts[0] + self.counts[1]))
+        for start, end in pairwise(np.frombuffer(offsets, "<i8")[tokens].tolist()):
+            yield text[start : max(start, end - 1)]
 
 
-_WRITTEN: dict[tuple[int, int], list[str]] = {}
+_WRITTEN: dict[tuple[int, int], pa.Array] = {}
 
 
-def written_ids(*sizes: int) -> list[str]:
+def written_ids(*sizes: int) -> pa.Array:
     """Each id of A followed by a comma or a bar, then each of B by a comma or a semicolon."""
     if sizes not in _WRITTEN:
-        _WRITTEN[sizes] = [f"{i}{sign}" for size, signs in zip(sizes, (",|", ",;")) for i in range(size) for sign in signs]
+        ids = (f"{i}{sign}" for size, signs in zip(sizes, (",|", ",;")) for i in range(size) for sign in signs)
+        _WRITTEN[sizes] = pa.array(ids, pa.large_string())
     return _WRITTEN[sizes]
 
 
@@ -316,9 +343,9 @@ def aligned_groups(
                 cuts = np.searchsorted(doc[missed], np.arange(n + 1)).astype(np.int32)
                 fields = [pa.array(pair[missed]), pa.array(times[missed].astype(np.int64))]
                 misses = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(fields, ["pair", "times"]))
-                last_b = np.bincount(texts.doc[1][np.unique(gb)], minlength=n).astype(np.int64)
+                last_b = np.bincount(texts.doc[1][gb == np.arange(len(gb))], minlength=n).astype(np.int64)
                 links = np.bincount(doc, times, n).astype(np.int64)
-                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in texts.groups(ga, gb)]
+                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in texts.groups(ga, gb)]
                 columns = {
                     ROW: slice_.column(ROW),
                     "doc_id": slice_.column("doc_id"),

@@ -275,3 +275,41 @@ def test_a_full_cache_of_the_alignment_starts_over():
     for i in range(5):
         assert side.ids(f"word{i} and more").tolist() == side.encoder.merge(f" word{i} and more")
         assert len(side.cache) <= 2
+
+
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 12))) for _ in range(n))
+
+
+def test_new_runs_of_a_text_are_encoded_in_one_call():
+    side = alignment.ByteVocabulary(BYTE_BPE)
+    merge, asked = side.encoder.merge, []
+
+    def counted(text):
+        asked.append(text)
+        return merge(text)
+
+    side.encoder.merge = counted
+    try:
+        for text in (words(1, 300), words(1, 300) + " " + words(2, 300), words(2, 300)):
+            assert side.ids(text).tolist() == merge(" " + text)
+    finally:
+        side.encoder.merge = merge
+    assert len(asked) == 2
+
+
+def test_pieces_of_new_words_take_no_longer_than_the_library(pieces):
+    """Words that no cache knows cost little more than the library's own call for the whole text."""
+    side = alignment.PieceBytes(PIECES)
+    ours = theirs = float("inf")
+    for seed in range(5):
+        text = words(seed, 20_000)
+        started = time.process_time()
+        want = pieces.encode(text)
+        theirs = min(theirs, time.process_time() - started)
+        started = time.process_time()
+        got = side.ids(text)
+        ours = min(ours, time.process_time() - started)
+        assert got.tolist() == want
+    assert ours < 2 * theirs
